@@ -4,6 +4,7 @@ token-id files. Each stage works on all that the stage before it kept."""
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from pagewarden.llm import decontaminate, mixing, near_join, quality, tokens
 from pagewarden.llm.shared import stage_table
@@ -16,7 +17,9 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and the likelihood ratio."""
     trusted = _table(spark, sf_dir, "labels").where("quality = 1")
-    return quality.judge(docs, trusted).where("kept").select(*docs.columns)
+    # written first: Spark would else compute the verdict's parts again for the filter
+    judged = stage_table(quality.judge(docs, trusted).select(*docs.columns, F.col("kept").alias("quality_kept_")), "quality-judged")
+    return judged.where("quality_kept_").select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
