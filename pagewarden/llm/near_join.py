@@ -214,7 +214,10 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, recall: float
     keyed = classes.select("row", F.explode("bands").alias("key"))
     heads = keyed.groupBy("key").agg(F.min("row").alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "head")
     chained = keyed.join(heads, "key").where("row <> head").select(F.col("row").alias("a"), F.col("head").alias("b")).distinct()
-    groups = connected_components(stage_table(chained, "near-chained"))
+    # a row's smallest head stands for its other heads (one a band at most): same groups, fewer pairs
+    headed = stage_table(chained.groupBy("a").agg(F.min("b").alias("m"), F.collect_set("b").alias("heads")), "near-chained")
+    between = headed.select(F.col("m").alias("a"), F.explode("heads").alias("b")).where("a <> b").distinct()
+    groups = connected_components(headed.select("a", F.col("m").alias("b")).union(between))
     sized = groups.groupBy("root").agg(F.count(F.lit(1)).alias("members"))
     chunks = F.ceil(F.col("members") / block).cast("int")
     members = stage_table(
