@@ -25,7 +25,7 @@ WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 MAX_COPIES = 2.0
 #: Rows of a source that one task rounds together, about; and open rows of one node of the tree.
-GROUP_ROWS = 20_000
+GROUP_ROWS = 2_000
 FAN_IN = 512
 SEED = 20_240_601
 
