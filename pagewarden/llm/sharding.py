@@ -93,9 +93,9 @@ def store_map(slot_map: DataFrame, folder: str) -> None:
 
 
 def load_map(spark: SparkSession, folder: str, version: int | None = None) -> DataFrame:
-    stored = spark.read.parquet(folder)
+    stored = spark.read.schema("vslot int, shard int, bytes bigint, n_rows bigint, version int").parquet(folder)
     if version is None:
-        version = stored.agg(F.max("version")).first()[0]
+        version = stored.agg(F.coalesce(F.max("version"), F.lit(1))).first()[0]
     return stored.where(F.col("version") == version)
 
 
