@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
-ELEMENTS = "page_id bigint, idx int, parent_idx int, depth int, tag string, attrs map<string,string>, own_text string, path array<int>"
+ELEMENTS = "page_id bigint, idx int, parent_idx int, depth int, tag string, attrs map<string,string>, own_text string, path array<int>, texts array<struct<at: int, text: string>>"
 
 
 class _Rows(HTMLParser):
@@ -19,6 +19,7 @@ class _Rows(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.rows: list[dict] = []
         self.open: list[int] = []
+        self.n_texts = 0
 
     def handle_starttag(self, tag, attrs):
         idx = len(self.rows)
@@ -39,7 +40,8 @@ class _Rows(HTMLParser):
 
     def handle_data(self, data):
         if self.open:
-            self.rows[self.open[-1]]["text"].append(data)
+            self.rows[self.open[-1]]["text"].append({"at": self.n_texts, "text": data})
+            self.n_texts += 1
 
 
 def elements(pages: DataFrame) -> DataFrame:
@@ -49,16 +51,16 @@ def elements(pages: DataFrame) -> DataFrame:
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.map_(pa.string(), pa.string())
         for batch in batches:
-            out: list[list] = [[] for _ in range(8)]
+            out: list[list] = [[] for _ in range(9)]
             for page_id, html in zip(batch.column("page_id").to_pylist(), batch.column("html").to_pylist()):
                 parser = _Rows()
                 parser.feed(html or "")
                 parser.close()
                 for idx, r in enumerate(parser.rows):
-                    for column, value in zip(out, (page_id, idx, r["parent"], r["depth"], r["tag"], r["attrs"], "".join(r["text"]), r["path"])):
+                    for column, value in zip(out, (page_id, idx, r["parent"], r["depth"], r["tag"], r["attrs"], "".join(x["text"] for x in r["text"]), r["path"], r["text"])):
                         column.append(value)
-            kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.string(), kind, pa.string(), pa.list_(pa.int32())]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], [x.split()[0] for x in ELEMENTS.split(", ")])
+            kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.string(), kind, pa.string(), pa.list_(pa.int32()), pa.list_(pa.struct([("at", pa.int32()), ("text", pa.string())]))]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], ["page_id", "idx", "parent_idx", "depth", "tag", "attrs", "own_text", "path", "texts"])
 
     return pages.select("page_id", "html").mapInArrow(parse, ELEMENTS)
 
@@ -121,8 +123,8 @@ def category(tag: Column, attrs: Column) -> Column:
 
 def subtree_text(rows: DataFrame) -> DataFrame:
     """page_id, idx and the text of an element with all its descendants, in document order."""
-    told = rows.where("own_text <> ''").select("page_id", "idx", "own_text", F.explode("path").alias("ancestor"))
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("idx", "own_text"))), lambda x: x["own_text"]), " ")
+    told = rows.where("own_text <> ''").select("page_id", "path", F.explode("texts").alias("t")).select("page_id", "t", F.explode("path").alias("ancestor"))
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list("t")), lambda x: x["text"]), " ")
     return told.groupBy("page_id", F.col("ancestor").alias("idx")).agg(F.trim(F.regexp_replace(joined, r"\s+", " ")).alias("text"))
 
 
