@@ -146,7 +146,7 @@ def train(docs: DataFrame, labels: DataFrame, per_label: int = MAX_PER_LABEL) ->
         yield pd.DataFrame({"feature": list(model.keys()), "weight": list(model.values())}, dtype="float64").astype({"feature": "int64"})
 
     texts = docs.select("doc_id", "text").join(F.broadcast(sample), F.col("doc_id") == F.col("id_"))  # 2 * per_label rows
-    fitted = texts.select("id_", "text", F.col("toxic").cast("double").alias("toxic")).coalesce(1).mapInPandas(one_task, "feature bigint, weight double")
+    fitted = texts.select("id_", "text", F.col("toxic").cast("double").alias("toxic")).repartition(1).mapInPandas(one_task, "feature bigint, weight double")
     return {r.feature: r.weight for r in fitted.collect()}
 
 
