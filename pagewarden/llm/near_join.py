@@ -5,7 +5,7 @@
    share a band hash are chained to the bucket's smallest class: one pair a member, not
    all pairs. Chains give candidate groups.
 3. In each candidate group every pair of classes is compared on full n-gram sets, in
-   blocks of at most ``BLOCK`` classes; only counts and a spanning set of links leave a task.
+   blocks of about ``BLOCK`` classes or ``BLOCK_NGRAMS`` n-grams at most; only counts and a spanning set of links leave a task.
    A large group is cut into blocks and each pair of blocks is a task of its own. So a pair
    is found if any chain of bands joins it: recall is that of the banding, or better.
 
@@ -38,7 +38,9 @@ THRESHOLD = 0.8
 RECALL = 0.9999
 MAX_HASHES = 512
 BLOCK = 1024
-_SLAB = 8192
+BLOCK_NGRAMS = 2_000_000
+_SLAB = 2048
+_STRIP = 256
 _SLICE_BYTES = 2 << 20
 
 
@@ -154,32 +156,50 @@ def _local_roots(adjacent: np.ndarray) -> np.ndarray:
     return root
 
 
+def _distinct_grams(data: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Each text's distinct n-grams and the text's number, a few texts at a time."""
+    grams, member, a = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], 0
+    while a < len(offsets) - 1:
+        b = max(a + 1, int(np.searchsorted(offsets, offsets[a] + _SLICE_BYTES, side="right")) - 1)
+        some, first = ngrams(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], n)
+        of = np.repeat(np.arange(a, b), np.diff(first))
+        order = np.lexsort((some, of))
+        some, of = some[order], of[order]
+        new = np.append(True, (some[1:] != some[:-1]) | (of[1:] != of[:-1]))[: len(some)]
+        grams.append(some[new])
+        member.append(of[new])
+        a = b
+    return np.concatenate(grams), np.concatenate(member)
+
+
 def _compare(threshold: float, n: int):
     def compare(group: pd.DataFrame) -> pd.DataFrame:
         """Links among a block's classes, or between two blocks': counts and spanning links."""
         group = group.drop_duplicates("row").sort_values("row").reset_index(drop=True)
-        data, offsets = flat_text(pa.array(group["text"], pa.large_string()))
-        grams, first = ngrams(data, offsets, n)
         m = len(group)
-        member = np.repeat(np.arange(m), np.diff(first))
-        distinct, code = np.unique(grams, return_inverse=True)
-        pairs = np.unique(code.astype(np.int64) * m + member)  # by n-gram, then member
-        code, member = pairs // m, pairs % m
+        grams, member = _distinct_grams(*flat_text(pa.array(group.pop("text"), pa.large_string())), n)
         sizes = np.bincount(member, minlength=m)
+        order = np.argsort(grams)
+        grams, member = grams[order], member[order]
+        code = np.cumsum(np.append(True, grams[1:] != grams[:-1])[: len(grams)]) - 1
         # only n-grams of two members or more count towards intersections
-        held = np.bincount(code, minlength=len(distinct))
-        shared = held[code] > 1
+        shared = np.bincount(code)[code] > 1 if len(code) else np.zeros(0, bool)
         code, member = code[shared], member[shared]
         _, code = np.unique(code, return_inverse=True)
-        common = np.zeros((m, m), np.float64)
+        # counts below 2^24 are exact in 32 bits
+        common = np.zeros((m, m), np.float32 if sizes.max(initial=0) < 1 << 24 else np.float64)
         width = int(code[-1]) + 1 if len(code) else 0
         for low in range(0, width, _SLAB):
             a, b = np.searchsorted(code, [low, low + _SLAB])
             slab = np.zeros((m, min(_SLAB, width - low)), np.float32)
             slab[member[a:b], code[a:b] - low] = 1
             common += slab @ slab.T
-        either = sizes[:, None] + sizes[None, :] - common
-        adjacent = common >= threshold * either - 1e-9
+        adjacent = np.empty((m, m), bool)
+        for low in range(0, m, _STRIP):
+            strip = common[low : low + _STRIP].astype(np.float64)
+            either = sizes[low : low + _STRIP, None] + sizes[None, :] - strip
+            adjacent[low : low + _STRIP] = strip >= threshold * either - 1e-9
+        del common
         np.fill_diagonal(adjacent, False)
         chunk = group["chunk"].to_numpy()
         counted = adjacent
@@ -204,10 +224,10 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, recall: float
     signed = stage_table(
         texts.mapInArrow(_signatures(bands, rows, n), "row bigint, doc_id bigint, kind binary, n_ngrams int, bands array<bigint>"), "near-signed"
     )
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row", "bands"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row", "bands", "n_ngrams"))
     classes = stage_table(
         signed.groupBy("kind").agg(first.alias("first"), F.count(F.lit(1)).alias("n_docs")).select(
-            "kind", "n_docs", F.col("first.row").alias("row"), F.col("first.doc_id").alias("copy_id"), F.col("first.bands").alias("bands")
+            "kind", "n_docs", F.col("first.row").alias("row"), F.col("first.doc_id").alias("copy_id"), F.col("first.bands").alias("bands"), F.col("first.n_ngrams").alias("n_ngrams")
         ),
         "near-classes",
     )
@@ -218,12 +238,12 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, recall: float
     headed = stage_table(chained.groupBy("a").agg(F.min("b").alias("m"), F.collect_set("b").alias("heads")), "near-chained")
     between = headed.select(F.col("m").alias("a"), F.explode("heads").alias("b")).where("a <> b").distinct()
     groups = connected_components(headed.select("a", F.col("m").alias("b")).union(between))
-    sized = groups.groupBy("root").agg(F.count(F.lit(1)).alias("members"))
-    chunks = F.ceil(F.col("members") / block).cast("int")
+    grouped = groups.join(classes.select(F.col("row").alias("node"), "copy_id", "n_docs", "n_ngrams"), "node")
+    grouped = stage_table(grouped, "near-grouped")
+    sized = grouped.groupBy("root").agg(F.count(F.lit(1)).alias("members"), F.sum("n_ngrams").alias("grams"))
+    chunks = F.greatest(F.ceil(F.col("members") / block), F.ceil(F.col("grams") / BLOCK_NGRAMS)).cast("int")
     members = stage_table(
-        groups.join(sized, "root")
-        .join(classes.select(F.col("row").alias("node"), "copy_id", "kind", "n_docs"), "node")
-        .select(F.col("node").alias("row"), F.col("root").alias("group"), "copy_id", "n_docs", chunks.alias("chunks"), F.pmod(F.xxhash64("node"), chunks).cast("int").alias("chunk")),
+        grouped.join(sized, "root").select(F.col("node").alias("row"), F.col("root").alias("group"), "copy_id", "n_docs", chunks.alias("chunks"), F.pmod(F.xxhash64("node"), chunks).cast("int").alias("chunk")),
         "near-members",
     )
     # a member's text is that of any row with its class's smallest doc_id and n-grams

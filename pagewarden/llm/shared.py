@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 #: A join side of at most this many rows of a few numbers (about 30 MB as a
 #: hash table) is broadcast; a larger one is joined by a shuffle.
 BROADCAST_ROWS = 500_000
+#: Bytes of text whose words are hashed at once.
+PART_BYTES = 2 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -104,21 +106,39 @@ def mix64(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray, separator: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of all words of the texts, in order, and each text's first word
-    (n + 1 positions). Words are maximal runs of bytes for which ``separator`` is false."""
+def _hash_part(data: np.ndarray, first: np.ndarray, separator: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and first bytes of all words; ``first`` tells where texts begin."""
     n = len(data)
-    if not n:
-        return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
     word = ~separator[data]
-    first = np.zeros(n + 1, bool)
-    first[offsets[:-1]] = True
     starts = word.copy()
-    starts[1:] &= ~word[:-1] | first[1:n]
+    starts[1:] &= ~word[:-1] | first[1:]
     ends = word.copy()
-    ends[:-1] &= ~word[1:] | first[1:n]
+    ends[:-1] &= ~word[1:] | first[1:]
     at, to = np.flatnonzero(starts), np.flatnonzero(ends) + 1
     sums = np.zeros(n + 1, np.uint64)
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _power_table(_ODD, n), out=sums[1:])
-    h = (sums[to] - sums[at]) * _power_table(_INVERSE, n)[at]
-    return mix64(h), np.searchsorted(at, offsets).astype(np.int64)
+    return mix64((sums[to] - sums[at]) * _power_table(_INVERSE, n)[at]), at
+
+
+def word_hashes(data: np.ndarray, offsets: np.ndarray, separator: np.ndarray, part: int = PART_BYTES) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of all words of the texts, in order, and each text's first word
+    (n + 1 positions). Words are maximal runs of bytes for which ``separator`` is false.
+    The work takes about 50 times the bytes held at once, so they are hashed in parts of
+    about ``part`` bytes, cut before separators."""
+    n = len(data)
+    first = np.zeros(n + 1, bool)
+    first[offsets[:-1]] = True
+    hashes, places, start = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], 0
+    while start < n:
+        stop, step = min(start + part, n), 1 << 12
+        while stop < n:  # to the next separator
+            cut = np.flatnonzero(separator[data[stop : stop + step]])
+            if len(cut):
+                stop += int(cut[0])
+                break
+            stop = min(stop + step, n)
+        some, at = _hash_part(data[start:stop], first[start:stop], separator)
+        hashes.append(some)
+        places.append(at + start)
+        start = stop
+    return np.concatenate(hashes), np.searchsorted(np.concatenate(places), offsets).astype(np.int64)
