@@ -41,7 +41,7 @@ BLOCK = 1024
 BLOCK_NGRAMS = 2_000_000
 _SLAB = 2048
 _STRIP = 256
-_SLICE_BYTES = 2 << 20
+_SLICE_BYTES = 1 << 20
 
 
 def choose_bands(threshold: float = THRESHOLD, recall: float = RECALL, most: int = MAX_HASHES) -> tuple[int, int]:

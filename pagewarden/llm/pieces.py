@@ -21,7 +21,7 @@ MEMORY_PIECES = 1_000_000
 #: Pieces handed to the library at once.
 ENCODE_PIECES = 4096
 #: Bytes of text worked on at once.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 
 _WHITE = np.zeros(256, bool)
 _WHITE[[0x20, *range(0x09, 0x0E)]] = True

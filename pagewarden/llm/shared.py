@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 #: hash table) is broadcast; a larger one is joined by a shuffle.
 BROADCAST_ROWS = 500_000
 #: Bytes of text whose words are hashed at once.
-PART_BYTES = 2 << 20
+PART_BYTES = 1_000_000
 
 
 def shared_dir(spark: SparkSession) -> str:
