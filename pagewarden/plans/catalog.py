@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import rules as R
 from ..functions import text as X
-from ..operators import detect, dom, redact, risk, sessions, texts
+from ..operators import actions, detect, dom, redact, risk, screens, sessions, texts
 from ..sources import history
 
 QUERIES: dict = {}
@@ -470,3 +470,121 @@ def recent_messages(spark, d):
     e = table(spark, d, "events")
     last = e.agg((F.max("ts") - F.expr("INTERVAL 5 MINUTES")).alias("since"))
     return e.join(F.broadcast(last), F.col("ts") > F.col("since")).orderBy(F.desc("ts"), "event_id").limit(50).select("event_id", "ts")
+
+
+@query(f"SELECT session, step, CASE WHEN max_repetition >= 12 THEN 'stop' WHEN max_repetition >= 8 THEN 'strong' WHEN max_repetition >= 5 OR stagnation >= 5 THEN 'gentle' ELSE 'none' END AS nudge FROM ({ORACLES['loop_detector']}) JOIN ({ORACLES['stagnation']}) USING (session, step)")
+def nudges(spark, d):
+    s = _steps(spark, d)
+    both = sessions.repetition(s, exempt=("view",)).join(sessions.stagnation(s, "hash"), ["session", "step"])
+    return both.select("session", "step", sessions.nudge(F.col("max_repetition"), F.col("stagnation")).alias("nudge"))
+
+
+# --- planned actions: events as steps --------------------------------------
+
+_KINDS = {"click": "click", "view": "scroll", "purchase": "fill", "signup": "type", "error": "run"}
+
+
+def _actions(spark, d):
+    e, n = table(spark, d, "events"), F.col("event_id")
+    kind = F.coalesce(*[F.when(F.col("event_type") == a, b) for a, b in _KINDS.items()])
+    attrs = F.when(n % 5 == 0, F.create_map(F.lit("type"), F.lit("password"))).when(n % 5 == 1, F.create_map(F.lit("href"), F.lit("javascript"))).otherwise(F.create_map(F.lit("target"), F.lit("_blank")))
+    return e.select(
+        F.col("user_id").alias("plan"), n.alias("step"), kind.alias("type"), F.col("props").alias("value"), F.lit("#f").alias("selector"), F.lit("go").alias("description"), F.lit("input").alias("tag"),
+        attrs.alias("attrs"), (n % 2 == 0).alias("requires_approval"), (n % 11 != 0).alias("safe"), (n % 31 * 1000).alias("timeout_ms"), F.array(n - F.col("user_id") % 3).alias("depends_on"),
+    )
+
+
+_STEP_VERDICTS = f"""SELECT plan, step, allowed AND NOT circular AS allowed, CASE WHEN allowed AND circular THEN 'medium' ELSE risk END AS risk FROM (SELECT *, r IN ('none', 'low', 'ok') AS allowed, CASE r WHEN 'ok' THEN 'medium' ELSE r END AS risk FROM (
+SELECT user_id AS plan, event_id AS step, user_id % 3 = 0 AS circular, CASE WHEN event_type = 'error' THEN 'critical' WHEN event_id % 11 = 0 THEN 'high' WHEN event_id % 31 = 0 THEN 'bad'
+WHEN event_type = 'purchase' THEN CASE WHEN event_id % 2 = 1 THEN 'high' WHEN event_id % 5 = 0 THEN 'critical' ELSE 'ok' END
+WHEN event_type = 'click' THEN CASE WHEN event_id % 5 > 1 THEN 'low' ELSE 'none' END
+WHEN event_type = 'signup' AND event_id % 5 = 0 AND event_id % 2 = 1 THEN 'high' ELSE 'none' END AS r FROM events))"""
+_STEP_VERDICTS = f"SELECT plan, step, allowed, CASE risk WHEN 'bad' THEN 'medium' ELSE risk END AS risk FROM ({_STEP_VERDICTS})"
+
+
+@query(_STEP_VERDICTS)
+def action_verdicts(spark, d):
+    return actions.step_verdicts(_actions(spark, d)).select("plan", "step", "allowed", "risk")
+
+
+@query(f"SELECT plan, bool_and(allowed) AS allowed, CASE max({_RANK.format('risk')}) WHEN 4 THEN 'critical' WHEN 3 THEN 'high' WHEN 2 THEN 'medium' WHEN 1 THEN 'low' ELSE 'none' END AS risk, count(*) FILTER (NOT allowed) AS n_blocked FROM ({_STEP_VERDICTS}) GROUP BY 1")
+def plan_audit(spark, d):
+    return actions.plan_verdicts(actions.step_verdicts(_actions(spark, d)))
+
+
+_OPEN = r"\.open\s*\(\s*['\"](?!https?://)"
+
+
+def _sql_group(name: str, patterns: tuple[str, ...]) -> str:
+    tests = [f"regexp_matches(text, '{_q(p)}', 'i')" for p in patterns if p != _OPEN]
+    if _OPEN in patterns:
+        tests.append("regexp_matches(regexp_replace(text, '\\.open\\s*\\(\\s*[''\"]https?://', '', 'gi'), '\\.open\\s*\\(\\s*[''\"]', 'i')")
+    return f"WHEN {' OR '.join(tests)} THEN '{_q(name)}'"
+
+
+@query("SELECT page_id, CASE " + " ".join(_sql_group(n, p) for n, _, p in R.ACTION_PATTERNS) + " END AS category FROM (SELECT page_id, html AS text FROM pages)")
+def dangerous_patterns(spark, d):
+    return table(spark, d, "pages").select("page_id", actions.pattern_group(F.col("html"))["category"].alias("category"))
+
+
+# --- screens: documents as read text, vectors as boxes ---------------------
+
+_NORMAL = "trim(regexp_replace(regexp_replace(lower(text), '[^A-Za-z0-9_\\s]', '', 'g'), '\\s+', ' ', 'g'))"
+
+
+def _sql_word(words: tuple[str, ...]) -> str:
+    return "CASE " + " ".join(f"WHEN contains(n, '{w}') THEN '{w}'" for w in words) + " END"
+
+
+@query(f"WITH s AS (SELECT doc_id AS page_id, {_NORMAL} AS n FROM documents WHERE trim(text) <> '') SELECT * FROM (" + " UNION ALL ".join(
+    f"SELECT page_id, '{k}' AS type, '{s}' AS severity, round(floor({b} * CAST(0.9 AS DOUBLE) * {w} * 100 + 0.5) / 100, 2) AS confidence, {_sql_word(words)} AS word FROM s"
+    for k, s, b, w, words in [(r[0], r[1], r[2], r[3], r[4]) for r in R.VISUAL_REQUESTS if r[3]] + [("VISUAL_DOM_MISMATCH", "medium", 0.75, 0.8, R.VISUAL_SENSITIVE)]
+) + ") WHERE word IS NOT NULL")
+def visual_requests(spark, d):
+    read = docs(spark, d).select(F.col("doc_id").alias("page_id"), "text", F.lit(0.9).alias("confidence"))
+    found = screens.visual_requests(read, screens.inputs_of(_elements(spark, d)))
+    return found.select("page_id", "type", "severity", F.round("confidence", 2).alias("confidence"), "word")
+
+
+_BOXES = "(SELECT label AS image_id, vec_id AS box_id, floor(embedding[1] * 300) AS x, floor(embedding[2] * 300) AS y, 60.0::DOUBLE AS width, 40.0::DOUBLE AS height FROM embeddings)"
+
+
+@query(f"""SELECT image_id, a, b, i / (4800 - i) AS iou FROM (SELECT a.image_id, a.box_id AS a, b.box_id AS b, greatest(least(a.x, b.x) + 60 - greatest(a.x, b.x), 0) * greatest(least(a.y, b.y) + 40 - greatest(a.y, b.y), 0) AS i
+FROM {_BOXES} a JOIN {_BOXES} b ON a.image_id = b.image_id AND a.box_id < b.box_id) WHERE i / (4800 - i) > 0.5""")
+def box_overlaps(spark, d):
+    side = lambda i: F.floor(F.get("embedding", F.lit(i)) * F.lit(300).cast("float")).cast("double")
+    v = table(spark, d, "embeddings")
+    return screens.overlapping_boxes(v.select(F.col("label").alias("image_id"), F.col("vec_id").alias("box_id"), side(0).alias("x"), side(1).alias("y"), F.lit(60.0).alias("width"), F.lit(40.0).alias("height")))
+
+
+@query("""SELECT event_id, above, below, CASE WHEN h > v THEN round(t / (h - v) * 100, 1) ELSE 0.0 END AS percent, round(above / v, 1) AS pages_above, round(below / v, 1) AS pages_below, round(h / v, 1) AS total_pages FROM (
+SELECT event_id, t, h, v, t AS above, greatest(h - v - t, 0) AS below FROM (SELECT event_id, event_id % 300 AS t, event_id % 5000 AS h, 128 AS v FROM events))""")
+def scroll_positions(spark, d):
+    n = F.col("event_id")
+    return table(spark, d, "events").select("event_id", screens.scroll_info(n % 300, n % 5000, F.lit(128)).alias("s")).select("event_id", "s.*")
+
+
+# --- reports ---------------------------------------------------------------
+
+
+@query(f"SELECT severity, count(*) AS n FROM ({ORACLES['findings_merged']}) GROUP BY 1")
+def finding_severities(spark, d):
+    return findings_merged(spark, d).groupBy("severity").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"SELECT max(privacy) AS max_privacy, max(injection) AS max_injection, count(*) AS n_pages, count(*) FILTER (overall = 'critical') AS n_critical, count(*) FILTER (overall = 'none') AS n_clean FROM ({ORACLES['legacy_risk']})")
+def report_totals(spark, d):
+    return legacy_risk(spark, d).agg(
+        F.max("privacy").alias("max_privacy"), F.max("injection").alias("max_injection"), F.count(F.lit(1)).alias("n_pages"), F.count_if(F.col("overall") == "critical").alias("n_critical"), F.count_if(F.col("overall") == "none").alias("n_clean")
+    )
+
+
+@query(f"SELECT conv_id, turn, {_NORMAL} AS normal FROM conversations")
+def normalized_texts(spark, d):
+    return talks(spark, d).select("conv_id", "turn", X.normalize(F.col("text")).alias("normal"))
+
+
+@query("SELECT conv_id, turn, CASE WHEN contains(lower(text), 'success') THEN 'success' WHEN contains(lower(text), 'failure') THEN 'failure' ELSE 'neutral' END AS verdict FROM conversations")
+def evaluation_verdicts(spark, d):
+    low = F.lower("text")
+    return talks(spark, d).select("conv_id", "turn", F.when(F.contains(low, F.lit("success")), "success").when(F.contains(low, F.lit("failure")), "failure").otherwise("neutral").alias("verdict"))

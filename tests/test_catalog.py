@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pagewarden.functions import text as X
-from pagewarden.operators import detect, dom, redact, sessions
+from pagewarden.operators import actions, detect, dom, redact, screens, sessions
 from pagewarden.plans import catalog
 
 DATA = "/root/testdata/sf0.001"
@@ -26,7 +26,7 @@ def plain(v):
     return round(v, 6) if isinstance(v, float) else v
 
 
-@pytest.mark.parametrize("name", ["pii_email", "pii_credit_card", "injection_matches", "injection_scores", "prompt_intent", "domain_stats", "risk_trend", "semantic_topk", "loop_detector", "stagnation", "page_tag_counts", "search_in_texts"])
+@pytest.mark.parametrize("name", ["pii_email", "pii_credit_card", "injection_matches", "injection_scores", "prompt_intent", "domain_stats", "risk_trend", "semantic_topk", "loop_detector", "stagnation", "page_tag_counts", "search_in_texts", "nudges", "action_verdicts", "plan_audit", "dangerous_patterns", "visual_requests", "box_overlaps", "scroll_positions", "finding_severities", "report_totals", "normalized_texts", "evaluation_verdicts"])
 def test_same_rows_as_sql(spark, sql, name):
     frame = catalog.QUERIES[name](spark, DATA)
     got = sql.execute(catalog.ORACLES[name])
@@ -78,3 +78,25 @@ def test_plan_states_and_vectors(spark):
     assert [r.state for r in sessions.plan_states(items, moves).orderBy("item").collect()] == ["done", "current", "pending", "pending"]
     v = spark.createDataFrame([([1.0, 0.0], [0.0, 1.0], [-1.0, 0.0])], "a array<float>, b array<float>, c array<float>")
     assert tuple(v.select(X.cosine(F.col("a"), F.col("a")), X.cosine(F.col("a"), F.col("b")), X.cosine(F.col("a"), F.col("c"))).first()) == (1.0, 0.0, -1.0)
+
+
+def test_action_verdicts(spark):
+    plain = dict(plan="p", step=1, type="click", value=None, selector="#a", description="d", tag="input", attrs={}, requires_approval=True, safe=True, timeout_ms=5, depends_on=[])
+    cases = [
+        ({}, True, "none"), ({"attrs": {"href": "javascript:x"}}, False, "critical"), ({"attrs": {"download": ""}}, False, "high"), ({"type": "navigate", "value": "ftp://x"}, False, "critical"),
+        ({"type": "fill", "attrs": {"type": "password"}}, False, "critical"), ({"type": "fill", "attrs": {"type": "password", "data-value-source": "user-provided"}}, True, "low"),
+        ({"type": "fill", "requires_approval": False}, False, "high"), ({"value": "document.cookie"}, False, "critical"), ({"timeout_ms": None}, False, "medium"), ({"depends_on": [1]}, False, "medium"), ({"type": None}, False, "critical"),
+        ({"type": "type", "tag": None}, False, "medium"),
+    ]
+    schema = "plan string, step long, type string, value string, selector string, description string, tag string, attrs map<string,string>, requires_approval boolean, safe boolean, timeout_ms long, depends_on array<long>"
+    rows = [tuple({**plain, "plan": str(i), **change}.values()) for i, (change, _, _) in enumerate(cases)]
+    got = {r.plan: (r.allowed, r.risk) for r in actions.step_verdicts(spark.createDataFrame(rows, schema)).collect()}
+    assert got == {str(i): (allowed, risk) for i, (_, allowed, risk) in enumerate(cases)}
+
+
+def test_screens_and_inputs(spark):
+    html = "<form><input type='text' name='user'><input type='password' name='pw'><input name='aadhaar_no'></form>"
+    inputs = screens.inputs_of(dom.elements(spark.createDataFrame([(1, html)], "page_id long, html string")))
+    shown = spark.createDataFrame([(1, "Enter your PASSWORD and Aadhaar!", 0.9), (2, "password; upload document", 0.9), (3, None, 0.9)], "page_id long, text string, confidence double")
+    got = sorted((r.page_id, r.type, r.confidence, r.input_idx) for r in screens.visual_requests(shown, inputs).collect())
+    assert got == [(1, "VISUAL_CREDENTIAL_REQUEST", 0.86, 2), (1, "VISUAL_PII_REQUEST", 0.81, 3), (2, "VISUAL_DOM_MISMATCH", 0.54, None)]
