@@ -546,7 +546,7 @@ def visual_requests(spark, d):
     return found.select("page_id", "type", "severity", F.round("confidence", 2).alias("confidence"), "word")
 
 
-_BOXES = "(SELECT label AS image_id, vec_id AS box_id, floor(embedding[1] * 300) AS x, floor(embedding[2] * 300) AS y, 60.0::DOUBLE AS width, 40.0::DOUBLE AS height FROM embeddings)"
+_BOXES = "(SELECT label AS image_id, vec_id AS box_id, CAST(floor(embedding[1] * 300) AS DOUBLE) AS x, CAST(floor(embedding[2] * 300) AS DOUBLE) AS y, 60.0::DOUBLE AS width, 40.0::DOUBLE AS height FROM embeddings)"
 
 
 @query(f"""SELECT image_id, a, b, i / (4800 - i) AS iou FROM (SELECT a.image_id, a.box_id AS a, b.box_id AS b, greatest(least(a.x, b.x) + 60 - greatest(a.x, b.x), 0) * greatest(least(a.y, b.y) + 40 - greatest(a.y, b.y), 0) AS i
