@@ -201,3 +201,16 @@ def time_ago(ts: Column, now: Column) -> Column:
     s = F.unix_timestamp(now.cast("timestamp")) - F.unix_timestamp(ts.cast("timestamp"))
     n = lambda k, unit: F.concat(F.floor(s / k).cast("string"), F.lit(unit))
     return F.when(s < 60, "just now").when(s < 3600, n(60, "m ago")).when(s < 86400, n(3600, "h ago")).when(s < 30 * 86400, n(86400, "d ago")).otherwise(n(30 * 86400, "mo ago"))
+
+
+def replace_first(text: Column, value: Column, by: Column) -> Column:
+    """The first occurrence of a literal value replaced; the text as it is without one."""
+    at = F.position(value, text)
+    return F.when((at > 0) & (F.length(value) > 0), F.concat(F.substring(text, F.lit(1), at - 1), by, F.substring(text, at + F.length(value), F.length(text)))).otherwise(text)
+
+
+def lookup(key: Column, entries: dict[str, str], default: str) -> Column:
+    out = None
+    for name, value in entries.items():
+        out = F.when(key == name, value) if out is None else out.when(key == name, value)
+    return out.otherwise(default)

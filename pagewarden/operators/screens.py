@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import rules as R
 from ..functions import text as X
+from ..functions.ordered import fold_by_key
 
 
 def first_word(normal: Column, words: tuple[str, ...]) -> Column:
@@ -85,3 +86,66 @@ def sensitive_field(attrs: Column) -> Column:
     """Fields whose live value must not be kept: by type, or autocomplete of cards and one-time codes."""
     attr = lambda n: F.lower(F.coalesce(F.try_element_at(attrs, F.lit(n)), F.lit("")))
     return attr("type").isin("password", "file", "hidden") | attr("autocomplete").startswith("cc-") | attr("autocomplete").startswith("one-time-code")
+
+
+def hidden_mismatches(hidden: DataFrame, screens: DataFrame) -> DataFrame:
+    """Hidden text (page_id, idx, text) of whose longer words, in the first 80 characters, fewer than 30 % occur
+    in what the page's screen (page_id, text, confidence) shows: page_id, idx, severity, confidence, ratio."""
+    shown = screens.where(F.trim("text") != "").select("page_id", X.normalize(F.col("text")).alias("shown_"), "confidence")
+    own = F.substring(X.normalize(F.col("text")), 1, 80)
+    words = F.filter(F.split("own_", " "), lambda w: F.length(w) > 3)
+    joined = hidden.withColumn("own_", own).where(F.length("own_") >= 5).withColumn("words_", words).where(F.size("words_") > 0).join(shown, "page_id")
+    ratio = F.size(F.filter("words_", lambda w: F.contains(F.col("shown_"), w))) / F.size("words_")
+    odd = first_word(F.col("own_"), R.INJECTION_KEYWORDS).isNotNull()
+    found = joined.withColumn("ratio", ratio).where("ratio < 0.3")
+    return found.select("page_id", "idx", F.when(odd, "high").otherwise("low").alias("severity"), X.correlation_confidence(F.lit(0.85), F.col("confidence"), 1 - F.col("ratio")).alias("confidence"), "ratio")
+
+
+def _click_box() -> Column:
+    role = F.try_element_at("attrs", F.lit("role"))
+    tests = [F.col("tag") == t if r is None else (F.col("tag") == t) & F.coalesce(role == r, F.lit(False)) for t, r in R.CLICK_BOXES]
+    out = tests[0]
+    for t in tests[1:]:
+        out = out | t
+    return out
+
+
+def contained_elements(rows: DataFrame, least: float = 0.99) -> DataFrame:
+    """page_id, idx, within of elements (with x, y, width, height, null without a box) that lie to ``least`` of their area in
+    their nearest ancestor whose box stands for all within it. Fields, labels, such boxes themselves and elements with a
+    handler, a label or a role of their own stay out of it."""
+    tops = rows.where(_click_box() & F.col("x").isNotNull()).select("page_id", F.col("idx").alias("top"), F.struct("x", "y", "width", "height").alias("b"))
+    attr = lambda n: F.try_element_at("attrs", F.lit(n))
+    own_right = (
+        F.col("tag").isin("input", "select", "textarea", "label") | _click_box() | F.map_contains_key("attrs", "onclick")
+        | (F.trim(F.coalesce(attr("aria-label"), F.lit(""))) != "") | F.coalesce(attr("role").isin(*R.CLICK_ROLES), F.lit(False))
+    )
+    inner = rows.where(~own_right & F.col("x").isNotNull() & (F.col("width") * F.col("height") != 0))
+    above = inner.select("page_id", "idx", F.struct("x", "y", "width", "height").alias("a"), F.posexplode("path").alias("depth", "top")).where("top <> idx")
+    nearest = above.join(tops, ["page_id", "top"]).groupBy("page_id", "idx").agg(F.max_by(F.struct("top", "a", "b"), "depth").alias("n"))
+    side = lambda p, s: F.greatest(F.least(F.col(f"n.a.{p}") + F.col(f"n.a.{s}"), F.col(f"n.b.{p}") + F.col(f"n.b.{s}")) - F.greatest(f"n.a.{p}", f"n.b.{p}"), F.lit(0.0))
+    share = side("x", "width") * side("y", "height") / (F.col("n.a.width") * F.col("n.a.height"))
+    return nearest.where(share >= least).select("page_id", "idx", F.col("n.top").alias("within"))
+
+
+def suppress_boxes(boxes: DataFrame, least: float = 0.5) -> DataFrame:
+    """Boxes (image_id, box_id, x, y, width, height, score) that stay when each, by falling score and then by box_id, removes those that overlap it
+    by more than ``least``. Only overlapping pairs are passed in order; state is the removed boxes of an image."""
+    pairs = overlapping_boxes(boxes, least)
+    rank = boxes.select("image_id", "box_id", "score")
+    a, b = rank.select("image_id", F.col("box_id").alias("a"), F.col("score").alias("sa")), rank.select("image_id", F.col("box_id").alias("b"), F.col("score").alias("sb"))
+    known = pairs.join(a, ["image_id", "a"]).join(b, ["image_id", "b"])
+    first = F.col("sa") >= F.col("sb")  # a is the smaller id
+    either = lambda x, y: F.when(first, F.col(x)).otherwise(F.col(y))
+    ordered = known.select("image_id", (-either("sa", "sb")).alias("place"), either("a", "b").alias("high"), either("b", "a").alias("low"))
+
+    def remove(gone: set, row: tuple) -> tuple | None:
+        image, _, high, low = row
+        if high in gone or low in gone:
+            return None
+        gone.add(low)
+        return image, low
+
+    kind = dict(boxes.dtypes)
+    out = fold_by_key(ordered, "image_id", ["place", "high", "low"], set, remove, f"image_id {kind['image_id']}, box_id {kind['box_id']}")
+    return boxes.join(out, ["image_id", "box_id"], "left_anti")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import rules as R
 from ..functions import text as X
-from ..operators import actions, detect, dom, redact, risk, screens, sessions, texts
+from ..operators import actions, detect, dom, forms, redact, risk, screens, sessions, texts, views
 from ..sources import history
 
 QUERIES: dict = {}
@@ -494,11 +494,13 @@ def _actions(spark, d):
     )
 
 
-_STEP_VERDICTS = f"""SELECT plan, step, allowed AND NOT circular AS allowed, CASE WHEN allowed AND circular THEN 'medium' ELSE risk END AS risk FROM (SELECT *, r IN ('none', 'low', 'ok') AS allowed, CASE r WHEN 'ok' THEN 'medium' ELSE r END AS risk FROM (
-SELECT user_id AS plan, event_id AS step, user_id % 3 = 0 AS circular, CASE WHEN event_type = 'error' THEN 'critical' WHEN event_id % 11 = 0 THEN 'high' WHEN event_id % 31 = 0 THEN 'bad'
+#: Risk of an action; ok and bad are medium risks, allowed and not.
+_STEP_RISK = """CASE WHEN event_type = 'error' THEN 'critical' WHEN event_id % 11 = 0 THEN 'high' WHEN event_id % 31 = 0 THEN 'bad'
 WHEN event_type = 'purchase' THEN CASE WHEN event_id % 2 = 1 THEN 'high' WHEN event_id % 5 = 0 THEN 'critical' ELSE 'ok' END
 WHEN event_type = 'click' THEN CASE WHEN event_id % 5 > 1 THEN 'low' ELSE 'none' END
-WHEN event_type = 'signup' AND event_id % 5 = 0 AND event_id % 2 = 1 THEN 'high' ELSE 'none' END AS r FROM events))"""
+WHEN event_type = 'signup' AND event_id % 5 = 0 AND event_id % 2 = 1 THEN 'high' ELSE 'none' END"""
+_STEP_VERDICTS = f"""SELECT plan, step, allowed AND NOT circular AS allowed, CASE WHEN allowed AND circular THEN 'medium' ELSE risk END AS risk FROM (SELECT *, r IN ('none', 'low', 'ok') AS allowed, CASE r WHEN 'ok' THEN 'medium' ELSE r END AS risk FROM (
+SELECT user_id AS plan, event_id AS step, user_id % 3 = 0 AS circular, {_STEP_RISK} AS r FROM events))"""
 _STEP_VERDICTS = f"SELECT plan, step, allowed, CASE risk WHEN 'bad' THEN 'medium' ELSE risk END AS risk FROM ({_STEP_VERDICTS})"
 
 
@@ -552,9 +554,7 @@ _BOXES = "(SELECT label AS image_id, vec_id AS box_id, CAST(floor(embedding[1] *
 @query(f"""SELECT image_id, a, b, i / (4800 - i) AS iou FROM (SELECT a.image_id, a.box_id AS a, b.box_id AS b, greatest(least(a.x, b.x) + 60 - greatest(a.x, b.x), 0) * greatest(least(a.y, b.y) + 40 - greatest(a.y, b.y), 0) AS i
 FROM {_BOXES} a JOIN {_BOXES} b ON a.image_id = b.image_id AND a.box_id < b.box_id) WHERE i / (4800 - i) > 0.5""")
 def box_overlaps(spark, d):
-    side = lambda i: F.floor(F.get("embedding", F.lit(i)) * F.lit(300).cast("float")).cast("double")
-    v = table(spark, d, "embeddings")
-    return screens.overlapping_boxes(v.select(F.col("label").alias("image_id"), F.col("vec_id").alias("box_id"), side(0).alias("x"), side(1).alias("y"), F.lit(60.0).alias("width"), F.lit(40.0).alias("height")))
+    return screens.overlapping_boxes(_boxes(spark, d))
 
 
 @query("""SELECT event_id, above, below, CASE WHEN h > v THEN round(t / (h - v) * 100, 1) ELSE 0.0 END AS percent, round(above / v, 1) AS pages_above, round(below / v, 1) AS pages_below, round(h / v, 1) AS total_pages FROM (
@@ -588,3 +588,190 @@ def normalized_texts(spark, d):
 def evaluation_verdicts(spark, d):
     low = F.lower("text")
     return talks(spark, d).select("conv_id", "turn", F.when(F.contains(low, F.lit("success")), "success").when(F.contains(low, F.lit("failure")), "failure").otherwise("neutral").alias("verdict"))
+
+
+# --- forms: customers as filled fields -------------------------------------
+
+
+def _form(spark, d) -> DataFrame:
+    """Six fields and a button for each customer."""
+    name, market, account = F.col("c_name"), F.col("c_mktsegment"), F.concat(F.lit("token-"), F.col("c_nationkey").cast("string"), F.lit("-secret"))
+    attrs = lambda **given: F.create_map(*[x for k, v in given.items() for x in (F.lit(k.strip("_").replace("_", "-")), v if not isinstance(v, str) else F.lit(v))])
+    every = [
+        ("input", attrs(type="text", name="fullName", value=name)),
+        ("input", attrs(type="PASSWORD", id="pw", value=market)),
+        ("input", attrs(name="q", value=market)),
+        ("input", attrs(type="hidden", name="again", value=market)),
+        ("input", attrs(name="emailOrName", value="")),
+        ("textarea", attrs(aria_label="street address", data_account=name)),
+        ("button", attrs(title="a secret token", formaction=account)),
+    ]
+    rows = F.array(*[F.struct(F.lit(i).alias("idx"), F.lit(t).alias("tag"), a.alias("attrs"), (market if t == "textarea" else F.lit("")).alias("own_text")) for i, (t, a) in enumerate(every)])
+    return table(spark, d, "customer").select(F.col("c_custkey").alias("page_id"), F.explode(rows).alias("r")).select("page_id", "r.*", F.array("r.idx").alias("path"))
+
+
+_FIELDS = """(SELECT c_custkey AS page_id, unnest([
+ {'idx': 0, 'selector': 'input[name="fullName"]', 'category': 'name', 'value': c_name, 'confidence': CAST(0.92 AS DOUBLE), 'risk': 'medium'},
+ {'idx': 1, 'selector': 'input#pw', 'category': 'password_field', 'value': '[password input]', 'confidence': CAST(1.0 AS DOUBLE), 'risk': 'high'},
+ {'idx': 4, 'selector': 'input[name="emailOrName"]', 'category': 'name', 'value': '[name field]', 'confidence': CAST(0.75 AS DOUBLE), 'risk': 'medium'},
+ {'idx': 5, 'selector': 'textarea', 'category': 'address', 'value': c_mktsegment, 'confidence': CAST(0.92 AS DOUBLE), 'risk': 'medium'}]) AS f FROM customer)"""
+
+
+@query(f"SELECT page_id, f.idx AS idx, f.selector AS selector, f.category AS category, f.value AS value, f.confidence AS confidence, f.risk AS risk FROM {_FIELDS}")
+def field_findings(spark, d):
+    return forms.field_findings(forms.fields(_form(spark, d))).select("page_id", "idx", "selector", "category", "value", "confidence", "risk")
+
+
+def _form_redactions(spark, d):
+    every = forms.fields(_form(spark, d))
+    return forms.form_redactions(every, forms.field_findings(every))
+
+
+@query("""SELECT c_custkey AS page_id, f.idx AS idx, f.category AS category, f.placeholder AS placeholder, f.fresh AS fresh FROM (SELECT c_custkey, unnest([
+ {'idx': 0, 'category': 'name', 'placeholder': '[NAME_001]', 'fresh': true}, {'idx': 1, 'category': 'password_field', 'placeholder': '[PASSWORD_001]', 'fresh': true},
+ {'idx': 2, 'category': 'custom', 'placeholder': '[SENSITIVE_001]', 'fresh': true}, {'idx': 3, 'category': 'custom', 'placeholder': '[SENSITIVE_001]', 'fresh': false},
+ {'idx': 5, 'category': 'address', 'placeholder': '[SENSITIVE_001]', 'fresh': false}]) AS f FROM customer)""")
+def form_redactions(spark, d):
+    return _form_redactions(spark, d).select("page_id", "idx", "category", "placeholder", "fresh")
+
+
+@query("""SELECT c_custkey AS page_id, f.idx AS idx, f.name AS name, f.original AS original, f.placeholder AS placeholder FROM (SELECT c_custkey, unnest([
+ {'idx': 5, 'name': 'data-account', 'original': c_name, 'placeholder': '[SENSITIVE_002]'},
+ {'idx': 6, 'name': 'formaction', 'original': 'token-' || c_nationkey || '-secret', 'placeholder': '[SENSITIVE_003]'}]) AS f FROM customer)""")
+def attribute_redactions(spark, d):
+    marks = _form_redactions(spark, d)
+    return forms.attribute_redactions(forms.with_values_redacted(_form(spark, d), marks), marks)
+
+
+@query("SELECT event_id, event_type IN ('signup', 'purchase', 'click') AND event_id % 4 < 3 OR event_id % 7 = 0 AS sensitive FROM (SELECT *, event_id % 4 AS r FROM events)")
+def sensitive_fields(spark, d):
+    n = F.col("event_id")
+    kind = F.coalesce(*[F.when(F.col("event_type") == a, b) for a, b in (("signup", "PASSWORD"), ("purchase", "file"), ("click", "hidden"))], F.lit("text"))
+    attrs = F.create_map(F.lit("type"), F.when(n % 4 < 3, kind).otherwise("text"), F.lit("autocomplete"), F.when(n % 7 == 0, "cc-number").otherwise("name"))
+    return table(spark, d, "events").select("event_id", screens.sensitive_field(attrs).alias("sensitive"))
+
+
+@query("SELECT event_id, (h > 901 OR w > 801) AND CASE WHEN event_id % 3 = 0 THEN event_type = 'view' ELSE event_id % 3 = 1 END AS scrolls FROM (SELECT event_id, event_type, event_id % 1800 AS h, event_id % 1000 AS w FROM events)")
+def scrollable_boxes(spark, d):
+    n = F.col("event_id")
+    tag = F.when(F.col("event_type") == "view", "DIV").otherwise("span")
+    overflow = F.when(n % 3 == 1, "auto").when(n % 3 == 2, "hidden")
+    return table(spark, d, "events").select("event_id", screens.scrollable(tag, n % 1800, F.lit(900), n % 1000, F.lit(800), overflow).alias("scrolls"))
+
+
+# --- pages as text ---------------------------------------------------------
+
+
+def _page_texts(spark, d):
+    return dom.subtree_text(_elements(spark, d)).where("idx = 0").select("page_id", "text")
+
+
+@query()
+def marked_injections(spark, d):
+    found = detect.injections(_page_texts(spark, d), ("page_id",))
+    return forms.mark_injections(_elements(spark, d), found)
+
+
+@query()
+def page_views(spark, d):
+    rows, whole = _elements(spark, d), _page_texts(spark, d)
+    pii = detect.distinct_pii(detect.pii_matches(whole, "page_id"), "page_id").select("page_id", "ord", "value", "category")
+    found = detect.injections(whole, ("page_id",))
+    return views.structured_view(rows, pii, found, dom.hidden_content(rows), "2024-01-01T00:00:00Z")
+
+
+@query()
+def markdown_pages(spark, d):
+    return views.markdown(table(spark, d, "pages"))
+
+
+@query()
+def markdown_chunks(spark, d):
+    return views.markdown_chunks(docs(spark, d), most=2000)
+
+
+# --- plans -----------------------------------------------------------------
+
+_PLANNER = """concat('{"riskLevel": "', event_type, '", "steps": [{"type": "', event_type, '", "selector": "", "value": 5}, {"type": "fill", "selector": "#a", "requiresApproval": false, "dependsOn": [1, 0, 2, 1.5, "1"]}, ', props, ']}')"""
+
+
+@query("""SELECT event_id AS plan, s.step AS step, s.type AS type, s.selector AS selector, s.description AS description, s.requires_approval AS requires_approval, s.timeout_ms AS timeout_ms, s.n_needs AS n_needs FROM (SELECT event_id, unnest([
+ {'step': 1::BIGINT, 'type': CASE event_type WHEN 'click' THEN 'click' ELSE 'wait' END, 'selector': NULL, 'description': 'Step 1: ' || CASE event_type WHEN 'click' THEN 'click' ELSE 'wait' END, 'requires_approval': false, 'timeout_ms': CASE event_type WHEN 'click' THEN 5000 ELSE 3000 END, 'n_needs': 0},
+ {'step': 2::BIGINT, 'type': 'fill', 'selector': '#a', 'description': 'Step 2: fill', 'requires_approval': true, 'timeout_ms': 5000, 'n_needs': 2},
+ {'step': 3::BIGINT, 'type': 'wait', 'selector': NULL, 'description': 'Step 3: wait', 'requires_approval': false, 'timeout_ms': 3000, 'n_needs': 0}]) AS s FROM events)""")
+def planner_steps(spark, d):
+    raw = table(spark, d, "events").select(F.col("event_id").alias("plan"), F.expr(_PLANNER).alias("raw"), F.lit("go").alias("prompt"))
+    return actions.plans_from_json(raw).select("plan", "step", "type", "selector", "description", "requires_approval", "timeout_ms", F.size("depends_on").alias("n_needs"))
+
+
+def _gated(spark, d):
+    n = F.col("step")
+    return _actions(spark, d).withColumns({
+        "approved": n % 3 == 0, "completed": n % 13 != 0, "description": F.when(n % 2 == 0, "submit form").otherwise("go"),
+        "depends_on": F.when(n % 17 == 0, F.array(n + 1)).otherwise(F.array().cast("array<bigint>")),
+    })
+
+
+@query(f"""SELECT plan, step, CASE WHEN NOT ok THEN 'blocked' WHEN step % 2 = 0 AND NOT approved THEN 'needs_approval' WHEN submits AND NOT approved AND filled = 1 THEN 'pending_submit' WHEN secret AND NOT approved THEN 'password_source' ELSE 'run' END AS outcome FROM (
+SELECT *, coalesce(max(CAST(writes AND step % 13 <> 0 AS INTEGER)) OVER (PARTITION BY plan ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS filled FROM (
+SELECT user_id AS plan, event_id AS step, {_STEP_RISK} IN ('none', 'low', 'ok') AS ok, event_id % 3 = 0 AS approved, event_type = 'click' AND event_id % 2 = 0 AS submits, event_type IN ('purchase', 'signup') AS writes,
+event_type IN ('purchase', 'signup') AND event_id % 5 = 0 AS secret FROM events)))""")
+def gate_outcomes(spark, d):
+    return actions.gate_outcomes(_gated(spark, d))
+
+
+@query()
+def plan_runs(spark, d):
+    return actions.run_plans(_gated(spark, d))
+
+
+@query()
+def plan_results(spark, d):
+    return actions.plan_results(actions.run_plans(_gated(spark, d)))
+
+
+@query("SELECT p_partkey, p_size % 4 = 0 OR (p_size % 4 <> 0 AND p_type = 'ECONOMY' AND p_size % 2 = 0) AS opens, p_type = 'PROMO' OR contains(p_name, 'ring') AS lies_in FROM part")
+def menu_steps(spark, d):
+    size, kind = F.col("p_size"), F.col("p_type")
+    attrs = F.map_from_arrays(
+        F.array(F.lit("class"), F.lit("role"), F.lit("aria-expanded"), F.lit("aria-haspopup")),
+        F.array(F.when(F.contains("p_name", F.lit("ring")), "Dropdown-Menu").otherwise("plain"), F.when(kind == "PROMO", "option").when(kind == "ECONOMY", "button").otherwise("none"), F.when(size % 2 == 0, "true").otherwise("mixed"), F.when(size % 4 == 0, "menu").otherwise("no")),
+    )
+    rows = table(spark, d, "part").select("p_partkey", attrs.alias("attrs"), F.lit("name").alias("ax_name"))
+    return rows.select("p_partkey", actions.menu_opener().alias("opens"), actions.menu_item().alias("lies_in"))
+
+
+# --- screens ---------------------------------------------------------------
+
+
+def _sql_normal(column: str) -> str:
+    return _NORMAL.replace("lower(text)", f"lower({column})")
+
+
+@query(f"""SELECT page_id, idx, severity, round(floor(least(0.85 * CAST(0.9 AS DOUBLE) * (1 - ratio), 1) * 100 + 0.5) / 100, 2) AS confidence FROM (
+SELECT page_id, idx, CASE WHEN {" OR ".join(f"contains(own, '{w}')" for w in R.INJECTION_KEYWORDS)} THEN 'high' ELSE 'low' END AS severity, len(list_filter(words, lambda w: contains(shown, w))) / CAST(len(words) AS DOUBLE) AS ratio
+FROM (SELECT *, list_filter(string_split(own, ' '), lambda w: length(w) > 3) AS words FROM (SELECT conv_id AS page_id, CAST(turn AS INTEGER) AS idx, left({_sql_normal('c.text')}, 80) AS own, {_sql_normal('d.text')} AS shown FROM conversations c JOIN documents d ON conv_id = doc_id WHERE trim(d.text) <> '') WHERE length(own) >= 5)
+WHERE len(words) > 0) WHERE ratio < 0.3""")
+def hidden_mismatches(spark, d):
+    hidden = talks(spark, d).select(F.col("conv_id").alias("page_id"), F.col("turn").cast("int").alias("idx"), "text")
+    shown = docs(spark, d).select(F.col("doc_id").alias("page_id"), "text", F.lit(0.9).alias("confidence"))
+    return screens.hidden_mismatches(hidden, shown).select("page_id", "idx", "severity", F.round("confidence", 2).alias("confidence"))
+
+
+def _boxes(spark, d):
+    side = lambda i: F.floor(F.get("embedding", F.lit(i)) * F.lit(300).cast("float")).cast("double")
+    return table(spark, d, "embeddings").select(F.col("label").alias("image_id"), F.col("vec_id").alias("box_id"), side(0).alias("x"), side(1).alias("y"), F.lit(60.0).alias("width"), F.lit(40.0).alias("height"))
+
+
+@query(f"SELECT image_id AS page_id, box_id AS idx, CAST(-1 AS BIGINT) AS within FROM {_BOXES} WHERE greatest(least(x + 60, 80) - greatest(x, -80), 0) * greatest(least(y + 40, 60) - greatest(y, -60), 0) / 2400 >= 0.99 AND box_id % 5 <> 0")
+def contained_elements(spark, d):
+    boxes = _boxes(spark, d).select(F.col("image_id").alias("page_id"), F.col("box_id").alias("idx"), "x", "y", "width", "height")
+    attrs = F.when(F.col("idx") % 5 == 0, F.create_map(F.lit("onclick"), F.lit("f()"))).otherwise(F.create_map(F.lit("role"), F.lit("none")))
+    inner = boxes.select("*", F.array(F.lit(-1).cast("bigint"), F.col("idx")).alias("path"), F.lit("b").alias("tag"), attrs.alias("attrs"))
+    top = boxes.select("page_id").distinct().select("page_id", F.lit(-1).cast("bigint").alias("idx"), F.lit(-80.0).alias("x"), F.lit(-60.0).alias("y"), F.lit(160.0).alias("width"), F.lit(120.0).alias("height"), F.array(F.lit(-1).cast("bigint")).alias("path"), F.lit("a").alias("tag"), F.create_map(F.lit("href"), F.lit("/")).alias("attrs"))
+    return screens.contained_elements(inner.unionByName(top))
+
+
+@query()
+def kept_boxes(spark, d):
+    return screens.suppress_boxes(_boxes(spark, d).withColumn("score", F.col("box_id") * 7919 % 101 / 101.0))

@@ -43,3 +43,57 @@ def loops(stream: DataFrame, window: int = 20) -> DataFrame:
     return stream.groupBy("session").applyInPandasWithState(
         update, "session bigint, step bigint, max_repetition int", "last array<string>", "append", GroupStateTimeout.NoTimeout
     )
+
+
+def session_phases(stream: DataFrame, gap: str = "30 minutes", late: str = "10 minutes") -> DataFrame:
+    """Progress of sessions (session, ts, type, phase): the newest phase, steps begun, ended and open, by session window. Events later than
+    the watermark are left out; an older event never replaces a newer phase."""
+    grouped = stream.withWatermark("ts", late).groupBy("session", F.session_window("ts", gap).alias("during"))
+    counted = grouped.agg(F.max_by("phase", "ts").alias("phase"), F.count_if(F.col("type") == "step-start").alias("begun"), F.count_if(F.col("type").isin("step-complete", "step-fail")).alias("ended"))
+    return counted.select("session", F.col("during.start").alias("since"), "phase", "begun", "ended", (F.col("begun") - F.col("ended")).alias("open"))
+
+
+def keep_newest(folder: str, key: str = "page_id", ts: str = "ts"):
+    """A ``foreachBatch`` function that writes the newest row of each key of a batch; a batch that is tried again replaces what it wrote."""
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        newest(batch, key, ts).write.mode("overwrite").parquet(f"{folder}/batch={batch_id}")
+
+    return write
+
+
+def newest(rows: DataFrame, key: str = "page_id", ts: str = "ts") -> DataFrame:
+    """The row of each key with the latest time; of equal times the greatest row."""
+    rest = [c for c in rows.columns if c not in (key, ts)]
+    best = rows.groupBy(key).agg(F.max(F.struct(ts, *rest)).alias("r_"))
+    return best.select(key, *[F.col(f"r_.{c}").alias(c) for c in (ts, *rest)])
+
+
+def plan_gates(stream: DataFrame) -> DataFrame:
+    """plan, step, status of steps as they arrive (plan, step, depends_on, ok), in step order from 1: a step waits for those before it, is skipped if
+    a dependency is not completed, and the first failure ends the plan."""
+
+    def update(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        at, over, done, ids, oks, needs = state.get if state.exists else (1, False, [], [], [], [])
+        held = {i: (ok, list(n)) for i, ok, n in zip(ids, oks, needs)}
+        for frame in frames:
+            for step, need, ok in zip(frame["step"], frame["depends_on"], frame["ok"]):
+                if step >= at:
+                    held.setdefault(int(step), (bool(ok), [] if need is None else [int(n) for n in need]))
+        out, done = [], list(done)
+        while at in held and not over:
+            ok, need = held.pop(at)
+            status = "skipped" if not set(need) <= set(done) else "completed" if ok else "failed"
+            if status == "completed":
+                done.append(at)
+            over = status == "failed"
+            out.append((key[0], at, status))
+            at += 1
+        if over:
+            held = {}
+        state.update((at, over, done, list(held), [h[0] for h in held.values()], [h[1] for h in held.values()]))
+        yield pd.DataFrame(out, columns=["plan", "step", "status"])
+
+    return stream.groupBy("plan").applyInPandasWithState(
+        update, "plan string, step bigint, status string", "at bigint, over boolean, done array<bigint>, ids array<bigint>, oks array<boolean>, needs array<array<bigint>>", "append", GroupStateTimeout.NoTimeout
+    )

@@ -26,7 +26,7 @@ def plain(v):
     return round(v, 6) if isinstance(v, float) else v
 
 
-@pytest.mark.parametrize("name", ["pii_email", "pii_credit_card", "injection_matches", "injection_scores", "prompt_intent", "domain_stats", "risk_trend", "semantic_topk", "loop_detector", "stagnation", "page_tag_counts", "search_in_texts", "nudges", "action_verdicts", "plan_audit", "dangerous_patterns", "visual_requests", "box_overlaps", "scroll_positions", "finding_severities", "report_totals", "normalized_texts", "evaluation_verdicts"])
+@pytest.mark.parametrize("name", ["pii_email", "pii_credit_card", "injection_matches", "injection_scores", "prompt_intent", "domain_stats", "risk_trend", "semantic_topk", "loop_detector", "stagnation", "page_tag_counts", "search_in_texts", "nudges", "action_verdicts", "plan_audit", "dangerous_patterns", "visual_requests", "box_overlaps", "scroll_positions", "finding_severities", "report_totals", "normalized_texts", "evaluation_verdicts", "field_findings", "form_redactions", "attribute_redactions", "planner_steps", "gate_outcomes", "menu_steps", "hidden_mismatches", "contained_elements", "sensitive_fields", "scrollable_boxes"])
 def test_same_rows_as_sql(spark, sql, name):
     frame = catalog.QUERIES[name](spark, DATA)
     got = sql.execute(catalog.ORACLES[name])
