@@ -714,8 +714,8 @@ def _gated(spark, d):
 
 @query(f"""SELECT plan, step, CASE WHEN NOT ok THEN 'blocked' WHEN step % 2 = 0 AND NOT approved THEN 'needs_approval' WHEN submits AND NOT approved AND filled = 1 THEN 'pending_submit' WHEN secret AND NOT approved THEN 'password_source' ELSE 'run' END AS outcome FROM (
 SELECT *, coalesce(max(CAST(writes AND step % 13 <> 0 AS INTEGER)) OVER (PARTITION BY plan ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS filled FROM (
-SELECT user_id AS plan, event_id AS step, {_STEP_RISK} IN ('none', 'low', 'ok') AS ok, event_id % 3 = 0 AS approved, event_type = 'click' AND event_id % 2 = 0 AS submits, event_type IN ('purchase', 'signup') AS writes,
-event_type IN ('purchase', 'signup') AND event_id % 5 = 0 AS secret FROM events)))""")
+SELECT user_id AS plan, event_id AS step, ({_STEP_RISK}) IN ('none', 'low', 'ok') AS ok, event_id % 3 = 0 AS approved, event_type = 'click' AND event_id % 2 = 0 AS submits, event_type IN ('purchase', 'signup') AS writes,
+event_type IN ('purchase', 'signup') AND event_id % 5 = 0 AS secret FROM events))""")
 def gate_outcomes(spark, d):
     return actions.gate_outcomes(_gated(spark, d))
 
