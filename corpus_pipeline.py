@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagewarden.llm import decontaminate, mixing, near_join, quality, tokens
-from pagewarden.llm.shared import stage_table
+from pagewarden.llm.shared import ROW_KEY, stage_table
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,11 +15,12 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the base rules and the likelihood ratio."""
+    """Documents that pass the base rules and the likelihood ratio, each row with a number of its own."""
     trusted = _table(spark, sf_dir, "labels").where("quality = 1")
     # written first: Spark would else compute the verdict's parts again for the filter
-    judged = stage_table(quality.judge(docs, trusted).select(*docs.columns, F.col("kept").alias("quality_kept_")), "quality-judged")
-    return judged.where("quality_kept_").select(*docs.columns)
+    told = quality.judge(docs, trusted).select(*docs.columns, F.monotonically_increasing_id().alias(ROW_KEY), F.col("kept").alias("quality_kept_"))
+    judged = stage_table(told, "quality-judged")
+    return judged.where("quality_kept_").select(*docs.columns, ROW_KEY)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,7 +30,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are not contaminated by the benchmark."""
-    return decontaminate.drop_contaminated(docs, _table(spark, sf_dir, "benchmark")).select(*docs.columns)
+    return decontaminate.drop_contaminated(docs, _table(spark, sf_dir, "benchmark")).drop(ROW_KEY)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -27,12 +27,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .shared import byte_slices, flat_text, small_side, stage_table
+from .shared import ROW_KEY, byte_slices, flat_text, numbered_rows, small_side, stage_table
 
 WINDOW = 13
 #: Anchors of a window: the rarest word, and those whose lists are intersected with its.
@@ -124,7 +123,6 @@ def build_index(docs: DataFrame, vocabulary: list[bytes], anchors: list[int], ar
         values = pa.array(vocabulary, pa.large_binary())
         anchor = np.zeros(len(vocabulary) + 1, bool)
         anchor[anchors] = True
-        row = TaskContext.get().partitionId() << 40
         for batch in batches:
             for some in byte_slices(batch, "text", _SLICE_BYTES):
                 codes, first = codes_in(some.column("text"), values)
@@ -142,13 +140,13 @@ def build_index(docs: DataFrame, vocabulary: list[bytes], anchors: list[int], ar
                 )
                 held = np.append(0, np.cumsum(np.bincount(own, minlength=n))).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(row + np.arange(n)), some.column("doc_id"), pa.array(np.diff(first)), pa.ListArray.from_arrays(pa.array(held), posts)],
+                    [some.column("row"), some.column("doc_id"), pa.array(np.diff(first)), pa.ListArray.from_arrays(pa.array(held), posts)],
                     ["row", "doc_id", "n_words", "postings"],
                 )
-                row += n
 
     kind = "row bigint, doc_id bigint, n_words bigint, postings array<struct<code: int, pos: bigint, beside: array<int>>>"
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(index, kind)
+    row = F.col(ROW_KEY) if ROW_KEY in docs.columns else F.monotonically_increasing_id()
+    return docs.select(row.alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(index, kind)
 
 
 def _coded_windows(windows: DataFrame, codes: DataFrame, anchors: int) -> DataFrame:
@@ -202,7 +200,8 @@ def covered_words(found: DataFrame) -> DataFrame:
 
 
 def contamination(docs: DataFrame, items: DataFrame, size: int = WINDOW, anchors: int = ANCHORS, parts: int = PARTS, max_words: int = MAX_WORDS) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated for each row of ``docs``."""
+    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated for each row of
+    ``docs``, and ``ROW_KEY`` if ``docs`` has it."""
     items = stage_table(item_words(items), "bench-items")
     words = stage_table(items.select(F.explode("words").alias("word")).distinct(), "bench-words")
     blocks = -(-words.count() // max_words)
@@ -240,6 +239,7 @@ def contamination(docs: DataFrame, items: DataFrame, size: int = WINDOW, anchors
     told = index.select("row", "doc_id", "n_words").join(small_side(hits), "row", "left")
     n_hit = F.coalesce("n_hit", F.lit(0)).cast("long")
     return told.select(
+        *[F.col("row").alias(c) for c in docs.columns if c == ROW_KEY],
         "doc_id",
         "n_words",
         n_hit.alias("n_hit"),
@@ -258,6 +258,6 @@ def windows_of_items(items: DataFrame, size: int = WINDOW) -> DataFrame:
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
     """``docs`` without the contaminated documents."""
-    judged = stage_table(contamination(docs, items, **options), "bench-judged")
-    bad = stage_table(judged.where("contaminated").select(F.col("doc_id").alias("bench_id_")).distinct(), "bench-bad")
-    return docs.join(small_side(bad), F.col("doc_id").eqNullSafe(F.col("bench_id_")), "left_anti")
+    rows = numbered_rows(docs, "bench-rows")
+    bad = stage_table(contamination(rows, items, **options).where("contaminated").select(ROW_KEY), "bench-bad")
+    return rows.join(small_side(bad), ROW_KEY, "left_anti").select(*docs.columns)

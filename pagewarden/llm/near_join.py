@@ -26,12 +26,11 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .shared import WHITE, byte_slices, flat_text, mix64, small_side, stage_table, word_hashes
+from .shared import ROW_KEY, WHITE, byte_slices, flat_text, mix64, numbered_rows, small_side, stage_table, word_hashes
 
 NGRAM = 5
 THRESHOLD = 0.8
@@ -101,13 +100,13 @@ def min_hashes(grams: np.ndarray, first: np.ndarray, n_hashes: int) -> np.ndarra
 
 def _signatures(bands: int, rows: int, n: int):
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        row_id = TaskContext.get().partitionId() << 40
         for batch in batches:
             for some in byte_slices(batch, "text", _SLICE_BYTES):
                 data, offsets = flat_text(some.column("text"))
                 grams, first = ngrams(data, offsets, n)
                 counts = np.diff(first)
                 full = np.flatnonzero(counts)
+                own = some.column("row").to_numpy()
                 kinds, sizes = [], np.zeros(len(counts), np.int32)
                 for i in range(len(counts)):
                     if counts[i]:
@@ -115,7 +114,7 @@ def _signatures(bands: int, rows: int, n: int):
                         sizes[i] = len(distinct)
                         kinds.append(hashlib.blake2b(distinct.tobytes(), digest_size=16).digest())
                     else:
-                        kinds.append(b"row" + (row_id + i).to_bytes(8, "big"))
+                        kinds.append(b"row" + int(own[i]).to_bytes(8, "big"))
                 keys = np.zeros((len(full), bands), np.uint64)
                 if len(full):
                     hashes = min_hashes(grams, np.append(first[full], first[-1]), bands * rows)
@@ -127,7 +126,7 @@ def _signatures(bands: int, rows: int, n: int):
                 lengths = np.where(counts > 0, bands, 0)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(np.arange(row_id, row_id + len(counts))),
+                        some.column("row"),
                         some.column("doc_id"),
                         pa.array(kinds, pa.binary()),
                         pa.array(sizes),
@@ -135,7 +134,6 @@ def _signatures(bands: int, rows: int, n: int):
                     ],
                     ["row", "doc_id", "kind", "n_ngrams", "bands"],
                 )
-                row_id += len(counts)
 
     return sign
 
@@ -218,9 +216,11 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, recall: float
     """One row for each row of ``docs``: doc_id, class_id (smallest doc_id that links join it
     to, its own if none), copy_id (smallest doc_id with the same n-grams), n_ngrams, n_links
     (other documents at or above the threshold, copies included), n_class_links (other
-    n-gram sets), keep (true for one row of each class_id)."""
+    n-gram sets), keep (true for one row of all that links join), and ``ROW_KEY`` if ``docs`` has it."""
     bands, rows = choose_bands(threshold, recall)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    its_key = [c for c in docs.columns if c == ROW_KEY]
+    rows_of = numbered_rows(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *its_key), "near-rows")
+    texts = rows_of.select(F.col(ROW_KEY).alias("row"), "doc_id", "text")
     signed = stage_table(
         texts.mapInArrow(_signatures(bands, rows, n), "row bigint, doc_id bigint, kind binary, n_ngrams int, bands array<bigint>"), "near-signed"
     )
@@ -247,7 +247,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, recall: float
         "near-members",
     )
     # a member's text is that of any row with its class's smallest doc_id and n-grams
-    its_text = texts.join(small_side(members), F.col("doc_id").eqNullSafe(F.col("copy_id"))).select("row", "group", "n_docs", "chunks", "chunk", "text")
+    its_text = texts.drop("row").join(small_side(members), F.col("doc_id").eqNullSafe(F.col("copy_id"))).select("row", "group", "n_docs", "chunks", "chunk", "text")
     dealt = its_text.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).select(
         "row", "group", "n_docs", "chunk", F.least("chunk", "other").alias("low"), F.greatest("chunk", "other").alias("high"), "text"
     )
@@ -273,15 +273,12 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, recall: float
         F.coalesce("n_class_links", F.lit(0)).alias("n_class_links"),
     )
     return signed.join(told, "kind").select(
-        "doc_id", "class_id", "copy_id", "n_ngrams", "n_links", "n_class_links", (F.col("row") == F.col("head_row")).alias("keep")
+        *[F.col("row").alias(c) for c in its_key], "doc_id", "class_id", "copy_id", "n_ngrams", "n_links", "n_class_links", (F.col("row") == F.col("head_row")).alias("keep")
     )
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
     """``docs`` without all but one row of each group of near duplicates."""
-    judged = stage_table(near_duplicates(docs, **options), "near-judged")
-    ids = judged.groupBy(F.col("doc_id").alias("near_id_")).agg(F.count(F.lit(1)).alias("n"), F.bool_or("keep").alias("kept")).where("kept")
-    ids = stage_table(ids.select("near_id_", "n"), "near-kept")
-    kept = docs.join(small_side(ids.select("near_id_")), F.col("doc_id").eqNullSafe(F.col("near_id_"))).drop("near_id_")
-    # rows that repeat a doc_id: the first text of that id stays
-    return kept.dropDuplicates(["doc_id"]) if ids.where("n > 1").limit(1).count() else kept
+    rows = numbered_rows(docs, "near-rows")
+    kept = stage_table(near_duplicates(rows, **options).where("keep").select(ROW_KEY), "near-kept")
+    return rows.join(small_side(kept), ROW_KEY, "left_semi").select(*docs.columns)

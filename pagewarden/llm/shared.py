@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 500_000
 #: Bytes of text whose words are hashed at once.
 PART_BYTES = 1_000_000
+#: The column of a row's own number; doc_id may be null or repeat.
+ROW_KEY = "row_key_"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -46,6 +48,12 @@ def stage_table(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def numbered_rows(docs: DataFrame, label: str) -> DataFrame:
+    """``docs`` with ``ROW_KEY``. Where it lacks the column the table is written with it,
+    so that every later read finds the same numbers."""
+    return docs if ROW_KEY in docs.columns else stage_table(docs.withColumn(ROW_KEY, F.monotonically_increasing_id()), label)
+
+
 def small_side(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     """``df`` with a broadcast hint if it has at most ``limit`` rows, else as it
     is, so that Spark shuffles it. ``df`` should be a staged table: it is counted."""

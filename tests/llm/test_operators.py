@@ -180,6 +180,19 @@ def test_near_duplicates_lose_no_link(spark, none, block):
     assert near_join.near_duplicates(none).count() == 0
 
 
+def test_rows_of_null_or_repeated_ids_are_kept_each(spark):
+    near = LINE + " fourteen fifteen sixteen"
+    texts = [" ".join(f"{c}{i}" for i in range(30)) for c in "abcdef"]
+    ids = [None, None, None, 5, 5, 6]
+    docs = spark.createDataFrame([*zip(ids, texts), (None, texts[0]), (5, near), (7, near)], "doc_id long, text string")
+    kept = [(r.doc_id, r.text) for r in near_join.keep_one(docs).collect()]
+    assert sorted(kept, key=repr) == sorted([*zip(ids, texts), (5, near)], key=repr)
+    items = spark.createDataFrame([(1, LINE)], "item_id long, text string")
+    dirty = docs.where(F.col("text") != near).union(spark.createDataFrame([(None, near), (5, near)], docs.schema))
+    clean = [(r.doc_id, r.text) for r in decontaminate.drop_contaminated(dirty, items).collect()]
+    assert sorted(clean, key=repr) == sorted([*zip(ids, texts), (None, texts[0])], key=repr)
+
+
 def test_bands_reach_the_recall():
     bands, rows = near_join.choose_bands()
     assert bands * rows <= near_join.MAX_HASHES and 1 - (1 - 0.8**rows) ** bands >= near_join.RECALL
