@@ -173,7 +173,7 @@ def _distinct_grams(data: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.n
 def _compare(threshold: float, n: int):
     def compare(group: pd.DataFrame) -> pd.DataFrame:
         """Links among a block's classes, or between two blocks': counts and spanning links."""
-        group = group.drop_duplicates("row").sort_values("row").reset_index(drop=True)
+        group = group.sort_values("row").reset_index(drop=True)
         m = len(group)
         grams, member = _distinct_grams(*flat_text(pa.array(group.pop("text"), pa.large_string())), n)
         sizes = np.bincount(member, minlength=m)
@@ -238,16 +238,16 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, recall: float
     headed = stage_table(chained.groupBy("a").agg(F.min("b").alias("m"), F.collect_set("b").alias("heads")), "near-chained")
     between = headed.select(F.col("m").alias("a"), F.explode("heads").alias("b")).where("a <> b").distinct()
     groups = connected_components(headed.select("a", F.col("m").alias("b")).union(between))
-    grouped = groups.join(classes.select(F.col("row").alias("node"), "copy_id", "n_docs", "n_ngrams"), "node")
+    grouped = groups.join(classes.select(F.col("row").alias("node"), "n_docs", "n_ngrams"), "node")
     grouped = stage_table(grouped, "near-grouped")
     sized = grouped.groupBy("root").agg(F.count(F.lit(1)).alias("members"), F.sum("n_ngrams").alias("grams"))
     chunks = F.greatest(F.ceil(F.col("members") / block), F.ceil(F.col("grams") / BLOCK_NGRAMS)).cast("int")
     members = stage_table(
-        grouped.join(sized, "root").select(F.col("node").alias("row"), F.col("root").alias("group"), "copy_id", "n_docs", chunks.alias("chunks"), F.pmod(F.xxhash64("node"), chunks).cast("int").alias("chunk")),
+        grouped.join(sized, "root").select(F.col("node").alias("row"), F.col("root").alias("group"), "n_docs", chunks.alias("chunks"), F.pmod(F.xxhash64("node"), chunks).cast("int").alias("chunk")),
         "near-members",
     )
-    # a member's text is that of any row with its class's smallest doc_id and n-grams
-    its_text = texts.drop("row").join(small_side(members), F.col("doc_id").eqNullSafe(F.col("copy_id"))).select("row", "group", "n_docs", "chunks", "chunk", "text")
+    # a class's text is that of the row that stands for it
+    its_text = texts.join(small_side(members), "row").select("row", "group", "n_docs", "chunks", "chunk", "text")
     dealt = its_text.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).select(
         "row", "group", "n_docs", "chunk", F.least("chunk", "other").alias("low"), F.greatest("chunk", "other").alias("high"), "text"
     )

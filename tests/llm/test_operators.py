@@ -193,6 +193,15 @@ def test_rows_of_null_or_repeated_ids_are_kept_each(spark):
     assert sorted(clean, key=repr) == sorted([*zip(ids, texts), (None, texts[0])], key=repr)
 
 
+def test_links_of_rows_that_share_an_id(spark):
+    a, b, c = ([f"{x}{i}" for i in range(60)] for x in "abc")
+    near = a[:30] + ["changed"] + a[31:]
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in ((None, b), (None, a), (9, c), (9, near))], "doc_id long, text string")
+    found = near_join.near_duplicates(docs).select("doc_id", "class_id", "n_links", "n_class_links", "keep").collect()
+    rows = [(None, None, 0, 0, True), (None, 9, 1, 1, False), (9, 9, 0, 0, True), (9, 9, 1, 1, True)]
+    assert sorted(map(tuple, found), key=repr) == sorted(rows, key=repr)
+
+
 def test_bands_reach_the_recall():
     bands, rows = near_join.choose_bands()
     assert bands * rows <= near_join.MAX_HASHES and 1 - (1 - 0.8**rows) ** bands >= near_join.RECALL
