@@ -201,7 +201,7 @@ def _compare(threshold: float, n: int):
         np.fill_diagonal(adjacent, False)
         chunk = group["chunk"].to_numpy()
         counted = adjacent
-        if chunk.min() != chunk.max():  # pairs within a block belong to another task
+        if group["low"].iat[0] != group["high"].iat[0]:  # pairs within a block belong to another task, even if one block is empty
             counted = adjacent & (chunk[:, None] != chunk[None, :])
         weights = group["n_docs"].to_numpy()
         root = _local_roots(counted)

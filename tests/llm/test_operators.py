@@ -5,6 +5,7 @@ import re
 import zlib
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -202,6 +203,16 @@ def test_links_of_rows_that_share_an_id(spark):
     assert sorted(map(tuple, found), key=repr) == sorted(rows, key=repr)
 
 
+def test_an_empty_block_counts_no_link_again():
+    text = " ".join(f"w{i}" for i in range(60))
+    compare = near_join._compare(0.8, 5)
+    counted = []
+    for low, high in ((0, 0), (0, 1)):  # block 1 has no member
+        rows = {"row": [1, 2], "group": 1, "n_docs": 1, "chunk": 0, "low": low, "high": high, "text": [text, text + " more"]}
+        counted.append(compare(pd.DataFrame(rows)))
+    assert [list(c["classes"]) for c in counted] == [[1, 1], [0, 0]] and [list(c["docs"]) for c in counted] == [[1, 1], [0, 0]]
+
+
 def test_bands_reach_the_recall():
     bands, rows = near_join.choose_bands()
     assert bands * rows <= near_join.MAX_HASHES and 1 - (1 - 0.8**rows) ** bands >= near_join.RECALL
