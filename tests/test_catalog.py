@@ -36,6 +36,14 @@ def test_same_rows_as_sql(spark, sql, name):
     assert sorted([tuple(map(plain, r)) for r in frame.select(*names).collect()], key=repr) == theirs
 
 
+def test_queries_see_aadhaar_numbers(spark, tmp_path):
+    rows = [(1, "id 2341 2341 2346 end"), (2, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    run = lambda name: catalog.QUERIES[name](spark, str(tmp_path))
+    assert {r.doc_id: r.redacted for r in run("redacted_texts").collect()} == {1: "id [GOVID_001] end", 2: None}
+    assert ("aadhaar", "critical", 1) in [(r.category, r.risk, r.n) for r in run("pii_counts").collect()]
+
+
 @pytest.mark.parametrize(
     "text, category, values",
     [
