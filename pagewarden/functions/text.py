@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -10,21 +12,26 @@ from .rules import BLOCKED_SCHEMES, LEVELS, PLACEHOLDER_PREFIX, SEVERITY_WEIGHT,
 MATCH = "array<struct<value: string, start: int, end: int>>"
 
 
-def find_all(text: Column, pattern: str) -> Column:
-    """All matches, left to right, with code-point offsets (end exclusive)."""
+def holds(text: Column, needs: str) -> Column:
+    """Whether a text holds a literal, or a pattern if ``needs`` has other characters than letters, digits, @, _ and -."""
+    return F.contains(text, F.lit(needs)) if re.fullmatch(r"[\w@-]+", needs) else text.rlike(needs)
+
+
+def find_all(text: Column, pattern: str, needs: str | None = None) -> Column:
+    """All matches, left to right, with code-point offsets (end exclusive). The pattern must not match an
+    empty text. ``needs`` is cheap to look for (see ``holds``) and occurs in every text with a match."""
     java = pattern.replace(r"\b", WORD_EDGE) if WORD_EDGE not in pattern else pattern
-    clean = F.translate(text, "\x01\x02", "")
-    parts = F.split(F.regexp_replace(clean, f"(?:{java})" if not java.startswith("(?") else java, "\x01$0\x02"), "\x01")
+    between = F.zip_with(F.split(text, java), F.regexp_extract_all(text, F.lit(java), F.lit(0)), lambda gap, value: F.struct(F.length(gap).alias("gap"), value.alias("value")))
 
-    def step(state: Column, part: Column) -> Column:
-        value = F.substring_index(part, "\x02", 1)
-        hit = F.contains(part, F.lit("\x02"))
-        width = F.length(part) - hit.cast("int")
-        one = F.array(F.struct(value.alias("value"), state["pos"].alias("start"), (state["pos"] + F.length(value)).alias("end")))
-        return F.struct((state["pos"] + width).alias("pos"), F.when(hit, F.concat(state["found"], one)).otherwise(state["found"]).alias("found"))
+    def step(state: Column, x: Column) -> Column:
+        start = state["pos"] + x["gap"]
+        end = start + F.length(x["value"])
+        one = F.array(F.struct(x["value"].alias("value"), start.alias("start"), end.alias("end")))
+        return F.when(x["value"].isNotNull(), F.struct(end.alias("pos"), F.concat(state["found"], one).alias("found"))).otherwise(state)
 
     start = F.struct(F.lit(0).alias("pos"), F.array().cast(MATCH).alias("found"))
-    return F.when(text.rlike(java), F.aggregate(parts, start, step, lambda s: s["found"])).otherwise(F.array().cast(MATCH))
+    hit = text.rlike(java) if needs is None else holds(text, needs) & text.rlike(java)
+    return F.when(hit, F.aggregate(between, start, step, lambda s: s["found"])).otherwise(F.array().cast(MATCH))
 
 
 def digits(value: Column) -> Column:

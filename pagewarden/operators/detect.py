@@ -20,7 +20,7 @@ def register_rule(rule: R.Rule) -> None:
 
 
 def rule_matches(text: Column, rule: R.Rule) -> Column:
-    found = X.find_all(text, rule.java)
+    found = X.find_all(text, rule.java, rule.guard)
     if rule.near:
         near = rule.near.replace(r"\b", R.WORD_EDGE)
         before = lambda m: F.substring(text, F.greatest(m["start"] - rule.within, F.lit(0)) + 1, F.least(m["start"], F.lit(rule.within)))

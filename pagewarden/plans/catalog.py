@@ -9,6 +9,8 @@ from ..functions import rules as R
 from ..functions import text as X
 from ..operators import actions, detect, dom, forms, redact, risk, screens, sessions, texts, views
 from ..sources import history
+from ..sources.tables import read_table as table
+from ..sources.tables import spread
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -24,12 +26,8 @@ def query(sql: str | None = None):
     return keep
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 def docs(spark, d):
-    return table(spark, d, "documents")
+    return spread(table(spark, d, "documents"), "doc_id")
 
 
 def talks(spark, d):
@@ -54,11 +52,17 @@ FROM (SELECT *, unnest(range(2, len(parts) + 1)) AS i
 
 
 _LUHN = "(length(regexp_replace(value, '\\D', '', 'g')) BETWEEN 13 AND 19 AND list_sum(list_transform(range(1, length(regexp_replace(value, '\\D', '', 'g')) + 1), lambda i: CASE WHEN i % 2 = 0 THEN CASE WHEN 2 * CAST(substr(reverse(regexp_replace(value, '\\D', '', 'g')), i, 1) AS INT) > 9 THEN 2 * CAST(substr(reverse(regexp_replace(value, '\\D', '', 'g')), i, 1) AS INT) - 9 ELSE 2 * CAST(substr(reverse(regexp_replace(value, '\\D', '', 'g')), i, 1) AS INT) END ELSE CAST(substr(reverse(regexp_replace(value, '\\D', '', 'g')), i, 1) AS INT) END)) % 10 = 0)"
-#: Rules that the SQL can express: all but aadhaar (Verhoeff), which the queries run too.
-_NO_GOV = ("email", "phone", "ssn", "credit_card", "pan", "upi_id", "bank_account", "date_of_birth", "api_key", "session_id", "address")
+#: Verhoeff's check over the reversed digits: each is moved by its place (8 rows of 10), then multiplied (10 rows of 10).
+_MOVED = ", ".join(str(x) for k in range(8) for x in X.shuffle(k))
+_PRODUCT = ", ".join(str(X.dihedral(a, b)) for a in range(10) for b in range(10))
+_DIGITS = "regexp_replace(value, '\\D', '', 'g')"
+_VERHOEFF = f"""(regexp_matches({_DIGITS}, '^[2-9][0-9]{{11}}$') AND list_reduce(list_concat([0], list_transform(range(1, 13), lambda i: CAST([{_MOVED}][(i - 1) % 8 * 10 + CAST(substr(reverse({_DIGITS}), i, 1) AS INT) + 1] AS INT))),
+ lambda c, x: CAST([{_PRODUCT}][c * 10 + x + 1] AS INT)) = 0)"""
+_CHECKS = {"luhn": _LUHN, "verhoeff": _VERHOEFF}
+_CATEGORIES = tuple(dict.fromkeys(r.category for r in R.PII_RULES))
 
 
-def sql_pii(source: str = "documents", keys: str = "doc_id", categories=_NO_GOV) -> str:
+def sql_pii(source: str = "documents", keys: str = "doc_id", categories=_CATEGORIES) -> str:
     parts = []
     for i, r in enumerate(R.PII_RULES):
         if r.category in categories:
@@ -66,7 +70,7 @@ def sql_pii(source: str = "documents", keys: str = "doc_id", categories=_NO_GOV)
             if r.near:
                 cond += f" AND regexp_matches(right(before, {r.within}), '{_q(r.near)}')"
             if r.check:
-                cond += f" AND {_LUHN}"
+                cond += f" AND {_CHECKS[r.check]}"
             parts.append(
                 f"SELECT {keys}, {i} AS ord, '{r.category}' AS category, value, start, CAST(start + length(value) AS INTEGER) AS \"end\", '{r.risk}' AS risk, CAST({r.confidence} AS DOUBLE) AS confidence, '{_q(r.action)}' AS action, '{r.detected_by}' AS detected_by FROM ({sql_matches(r.pattern, source, keys)}) {cond}"
             )
@@ -84,6 +88,9 @@ _RANK = "CASE {0} WHEN 'critical' THEN 4 WHEN 'high' THEN 3 WHEN 'medium' THEN 2
 _FIRST = f"SELECT * EXCLUDE n_ FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, category, value ORDER BY ord, start) AS n_ FROM ({sql_pii()})) WHERE n_ = 1"
 _MASK = """CASE category
  WHEN 'email' THEN left(value, 1) || repeat('*', greatest(length(split_part(value, '@', 1)) - 1, 2)) || '@' || split_part(value, '@', 2)
+ WHEN 'phone' THEN array_to_string(list_transform(range(1, length(value) + 1), lambda i: CASE WHEN regexp_matches(substr(value, i, 5), '^\\d{5}') THEN '*' ELSE substr(value, i, 1) END), '')
+ WHEN 'credit_card' THEN array_to_string(list_transform(range(1, length(value) + 1), lambda i: CASE WHEN regexp_matches(substr(value, i), '^\\d[\\d\\s\\-]*\\d{4}$') THEN '*' ELSE substr(value, i, 1) END), '')
+ WHEN 'aadhaar' THEN '**** **** ' || right(regexp_replace(value, '\\D', '', 'g'), 4)
  WHEN 'ssn' THEN '***-**-' || right(value, 4) WHEN 'pan' THEN '*****' || substr(value, 6, 4) || '*'
  WHEN 'upi_id' THEN '****@***' WHEN 'bank_account' THEN repeat('*', greatest(length(value) - 4, 3)) || right(value, 4)
  WHEN 'date_of_birth' THEN '**/**/****' WHEN 'api_key' THEN left(value, 4) || repeat('*', greatest(length(value) - 8, 4)) || right(value, 4)
@@ -111,23 +118,18 @@ def _per_category(name: str):
     ORACLES[run.__name__] = f'SELECT doc_id, ord, value, start, "end", confidence FROM ({sql_pii(categories=(name,))})'
 
 
-for _name in _NO_GOV:
+for _name in _CATEGORIES:
     _per_category(_name)
 
 
-@query()
-def pii_aadhaar(spark, d):
-    return detect.pii_matches(docs(spark, d), categories=("aadhaar",))
-
-
 @query(f"SELECT doc_id, ord, category, value, risk, confidence, {_RANK.format('risk')} AS rank FROM ({_FIRST})")
 def pii_distinct(spark, d):
     return _once(spark, d).select("doc_id", "ord", "category", "value", "risk", "confidence", X.rank_of(F.col("risk")).alias("rank"))
 
 
-@query(f"SELECT doc_id, category, value, {_MASK} AS masked FROM ({_FIRST}) WHERE category NOT IN ('phone', 'credit_card')")
+@query(f"SELECT doc_id, category, value, {_MASK} AS masked FROM ({_FIRST})")
 def pii_mask(spark, d):
-    return _once(spark, d).where("category NOT IN ('phone', 'credit_card')").select("doc_id", "category", "value", "masked")
+    return _once(spark, d).select("doc_id", "category", "value", "masked")
 
 
 @query(f"SELECT category, risk, count(*) AS n, count(DISTINCT doc_id) AS n_docs FROM ({_FIRST}) GROUP BY ALL")
@@ -381,7 +383,7 @@ def semantic_topk(spark, d):
 
 
 def _elements(spark, d):
-    return dom.elements(table(spark, d, "pages"))
+    return dom.elements(spread(table(spark, d, "pages"), "page_id"))
 
 
 _TAGS = ("a", "p", "li", "b")
