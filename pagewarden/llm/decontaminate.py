@@ -1,23 +1,27 @@
 """Benchmark decontamination on a positional inverted index.
 
 1. Test items become windows of 13 consecutive words; an item of fewer words is one window.
-2. One pass counts in how many documents each test word occurs. Of each window the
-   rarest words are chosen as its anchors.
-3. A second pass writes the index: for every document and every anchor word its positions
-   (postings), each with the codes of the test words around it.
-4. Postings are joined to windows by their rarest word; position minus offset is where the
-   window would start. The lists of the next rarest words, adjusted by their offsets, are
-   intersected with it; what is left is compared word by word with the codes beside it.
-
-The test words are broadcast in blocks of at most ``MAX_WORDS`` (a larger vocabulary takes
-a pass for each block), postings and windows are joined by shuffles.
+2. One pass over the documents stores the postings of every test word: for each document
+   and word the sorted positions. The vocabulary is looked up in blocks of about
+   ``MAX_WORDS`` words, cut by a hash of the word, so what a task holds does not grow with
+   the test set; a larger vocabulary takes a pass for each block.
+3. The stored lists tell in how many documents each word occurs. A window's words are ranked
+   by that. Its rarest word's list, moved back by the word's offset, gives the candidate
+   starts; they are intersected by a join with the list of the next rarest word, moved by
+   its own offset, and what is left with those of all other words.
+4. Starts that every list holds exactly are phrase matches. With ``slop`` a word may lie so
+   many places off: starts where every word is near but not all are in place are proximity
+   matches.
+
+Nothing but the vocabulary's blocks and the number of blocks passes the driver. Windows and
+candidate documents are broadcast if they are small, else joined by shuffles.
 
 Words are runs of ASCII letters, digits and all non-ASCII characters, with A-Z lower-cased.
 
 Defined results: a null text and one without words have no words and are not
 contaminated; a null or wordless item matches nothing; equal items count each by its id;
-equal rows are judged alike; an empty table on either side gives no hits; further columns
-are ignored.
+equal rows and rows of equal or null doc_id are judged one by one; an empty table on either
+side gives no hits; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,13 +35,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .shared import ROW_KEY, byte_slices, flat_text, numbered_rows, small_side, stage_table
+from .shared import ROW_KEY, byte_slices, flat_text, is_small, numbered_rows, small_side, stage_table
 
 WINDOW = 13
-#: Anchors of a window: the rarest word, and those whose lists are intersected with its.
-ANCHORS = 2
-#: Test words that one pass over the documents looks up (about 100 bytes each).
-MAX_WORDS = 2_000_000
+#: Test words that one pass over the documents looks up, about (100 bytes each), and their bytes.
+MAX_WORDS = 500_000
+MAX_WORD_BYTES = 16 << 20
 #: A document is contaminated if 20 times its hit words are at least its words.
 PARTS = 20
 _SLICE_BYTES = 4 << 20
@@ -52,7 +55,6 @@ for _b in range(0x41, 0x5B):
 def words_in(data: np.ndarray, offsets: np.ndarray) -> tuple[pa.Array, np.ndarray]:
     """All words of the texts, in order, and each text's first (n + 1)."""
     folded = _FOLD[data]
-    n = len(folded)
     texts = pa.LargeBinaryArray.from_buffers(
         pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(folded)]
     )
@@ -60,17 +62,9 @@ def words_in(data: np.ndarray, offsets: np.ndarray) -> tuple[pa.Array, np.ndarra
     words = split.flatten()
     full = pc.greater(pc.binary_length(words), 0)
     before = np.append(0, np.cumsum(full.to_numpy(zero_copy_only=False)))
-    del n
     return words.filter(full), before[split.offsets.to_numpy()]
 
 
-def codes_in(column: pa.Array, vocabulary: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Place in ``vocabulary`` of every word of the texts (-1: none), and each text's first."""
-    words, first = words_in(*flat_text(column))
-    codes = pc.fill_null(pc.index_in(words, vocabulary), -1).to_numpy().astype(np.int32)
-    return codes, first
-
-
 # --- test items ------------------------------------------------------------
 
 
@@ -87,173 +81,160 @@ def item_words(items: DataFrame) -> DataFrame:
     return texts.mapInArrow(split, "item_id string, words array<string>").where("size(words) > 0")
 
 
-def windows_of(items: DataFrame, size: int = WINDOW) -> DataFrame:
-    """window (its words joined) and the words: each distinct window once."""
+def item_windows(items: DataFrame, size: int = WINDOW) -> DataFrame:
+    """item_id, window (a hash of its words), words: the windows of every item."""
     starts = F.sequence(F.lit(1), F.greatest(F.size("words") - size + 1, F.lit(1)))
-    return items.select(F.explode(F.transform(starts, lambda i: F.slice("words", i, size))).alias("words")).distinct()
+    each = items.select("item_id", F.explode(F.transform(starts, lambda i: F.slice("words", i, size))).alias("words"))
+    return each.select("item_id", F.xxhash64(F.array_join("words", " ")).alias("window"), "words").distinct()
 
 
-def document_counts(docs: DataFrame, vocabulary: list[bytes]) -> DataFrame:
-    """code, n_docs: documents that hold each word of ``vocabulary``."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        values = pa.array(vocabulary, pa.large_binary())
-        seen = np.zeros(len(vocabulary), np.int64)
-        for batch in batches:
-            for some in byte_slices(batch, "text", _SLICE_BYTES):
-                codes, first = codes_in(some.column("text"), values)
-                doc = np.repeat(np.arange(len(first) - 1), np.diff(first))
-                known = codes >= 0
-                pairs = np.unique(doc[known] * len(vocabulary) + codes[known])
-                seen += np.bincount(pairs % len(vocabulary), minlength=len(vocabulary))
-        at = np.flatnonzero(seen)
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(seen[at])], ["code", "n_docs"])
-
-    return docs.select("text").mapInArrow(count, "code int, n_docs bigint").groupBy("code").agg(F.sum("n_docs").alias("n_docs"))
+def vocabulary_of(windows: DataFrame, max_words: int = MAX_WORDS) -> tuple[DataFrame, int]:
+    """word, code, block of every test word, and the number of blocks. A block is taken by the
+    word's hash, so its words are about ``max_words`` at most, whichever windows they stand in."""
+    words = windows.select(F.explode("words").alias("word")).distinct()
+    coded = stage_table(words.withColumn("code", F.monotonically_increasing_id()), "bench-words")
+    n, size = coded.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("word")), F.lit(0))).first()
+    blocks = max(1, -(-n // max_words), -(-size // MAX_WORD_BYTES))
+    return coded.withColumn("block", F.pmod(F.xxhash64("word"), F.lit(blocks)).cast("int")), blocks
 
 
 # --- index -----------------------------------------------------------------
 
+_INDEX = "row bigint, doc_id bigint, n_words bigint, postings array<struct<code: bigint, places: array<int>>>"
+
 
-def build_index(docs: DataFrame, vocabulary: list[bytes], anchors: list[int], around: int) -> DataFrame:
-    """row, doc_id, n_words and postings (word code, position, codes of the words from
-    ``around`` before to ``around`` after) of every document."""
+def build_index(docs: DataFrame, words: list[str], codes: list[int]) -> DataFrame:
+    """row, doc_id, n_words and postings (code of a word, its sorted positions) of every document for
+    the given words; ``docs`` has row, doc_id and text."""
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        values = pa.array(vocabulary, pa.large_binary())
-        anchor = np.zeros(len(vocabulary) + 1, bool)
-        anchor[anchors] = True
+        values, of = pa.array([w.encode() for w in words], pa.large_binary()), np.array(codes, np.int64)
         for batch in batches:
             for some in byte_slices(batch, "text", _SLICE_BYTES):
-                codes, first = codes_in(some.column("text"), values)
+                told, first = words_in(*flat_text(some.column("text")))
                 n = len(first) - 1
+                at = pc.fill_null(pc.index_in(told, values), -1).to_numpy()
                 doc = np.repeat(np.arange(n), np.diff(first))
-                at = np.flatnonzero(anchor[codes])
-                reach = at[:, None] + np.arange(-around, around + 1)[None, :]
-                own = doc[at]
-                inside = (reach >= first[own][:, None]) & (reach < first[own + 1][:, None])
-                beside = np.where(inside, codes[np.clip(reach, 0, max(len(codes) - 1, 0))] if len(codes) else 0, -1).astype(np.int32)
-                width = 2 * around + 1
-                beside = pa.ListArray.from_arrays(pa.array(np.arange(0, len(at) * width + 1, width, dtype=np.int32)), pa.array(beside.reshape(-1)))
-                posts = pa.StructArray.from_arrays(
-                    [pa.array(codes[at]), pa.array((at - first[own]).astype(np.int64)), beside], ["code", "pos", "beside"]
-                )
-                held = np.append(0, np.cumsum(np.bincount(own, minlength=n))).astype(np.int32)
+                known = np.flatnonzero(at >= 0)
+                key = doc[known] * max(len(of), 1) + at[known]
+                order = np.argsort(key, kind="stable")
+                key, place = key[order], (known - first[doc[known]])[order].astype(np.int32)
+                head = np.flatnonzero(np.append(True, key[1:] != key[:-1])[: len(key)])
+                lists = pa.ListArray.from_arrays(pa.array(np.append(head, len(key)).astype(np.int32)), pa.array(place))
+                posts = pa.StructArray.from_arrays([pa.array(of[key[head] % max(len(of), 1)]), lists], ["code", "places"])
+                held = np.append(0, np.cumsum(np.bincount(key[head] // max(len(of), 1), minlength=n))).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
                     [some.column("row"), some.column("doc_id"), pa.array(np.diff(first)), pa.ListArray.from_arrays(pa.array(held), posts)],
                     ["row", "doc_id", "n_words", "postings"],
                 )
 
-    kind = "row bigint, doc_id bigint, n_words bigint, postings array<struct<code: int, pos: bigint, beside: array<int>>>"
+    return docs.mapInArrow(index, _INDEX)
+
+
+def stored_index(docs: DataFrame, vocabulary: DataFrame, blocks: int) -> DataFrame:
+    """The written index of ``docs`` for all blocks, with the block of each row of it. More than
+    one block takes passes that must agree on rows, so those get numbers that are written first."""
+    if blocks > 1:
+        docs = numbered_rows(docs, "bench-rows")
     row = F.col(ROW_KEY) if ROW_KEY in docs.columns else F.monotonically_increasing_id()
-    return docs.select(row.alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(index, kind)
-
-
-def _coded_windows(windows: DataFrame, codes: DataFrame, anchors: int) -> DataFrame:
-    """window (number), codes of its words, and its rarest words as (code, offset) in order
-    of the documents that hold them; null if some word occurs nowhere."""
-    spread = windows.select("window", F.posexplode("words").alias("offset", "word")).join(codes, "word")
-    rare = F.array_sort(F.collect_list(F.struct(F.col("n_docs"), F.col("code"), F.col("offset"))))
-    whole = F.transform(F.array_sort(F.collect_list(F.struct("offset", "code"))), lambda x: x["code"])
-    grouped = spread.groupBy("window").agg(whole.alias("codes"), rare.alias("rare"), F.min("n_docs").alias("least"))
-    # a word's first place in the window stands for it
-    first = F.filter(F.col("rare"), lambda x, i: (i == 0) | (F.get(F.col("rare"), i - 1)["code"] != x["code"]))
-    return grouped.where("least > 0").select("window", "codes", F.slice(first, 1, anchors).alias("anchors"))
-
-
-def find_phrases(index: DataFrame, windows: DataFrame, around: int, slop: int = 0) -> DataFrame:
-    """row, window, start, length of every occurrence of a window.
-
-    With ``slop`` the anchors may lie that many words off (proximity): candidates are then
-    those whose anchors agree within it, and the words between are not compared."""
-    lists = index.select("row", F.explode("postings").alias("p")).select("row", "p.*")
-    length = F.size("codes")
-    lead = windows.select("window", "codes", "anchors", F.get("anchors", 0)["code"].alias("code"), F.get("anchors", 0)["offset"].alias("offset"))
-    starts = lists.join(lead, "code").select(
-        "row", "window", "codes", "anchors", "beside", "offset", (F.col("pos") - F.col("offset")).alias("start")
-    ).where("start >= 0")
-    if not slop:
-        # the next rarest lists, read beside the posting: the word at its offset must be there
-        def there(a: Column) -> Column:
-            return F.get("beside", (F.lit(around) - F.col("offset") + a["offset"]).cast("int")) == a["code"]
-
-        crossed = starts.where(F.forall("anchors", there))
-        exact = F.slice("beside", F.lit(around + 1) - F.col("offset"), length) == F.col("codes")
-        return crossed.where(exact).select("row", "window", "start", length.cast("long").alias("length"))
-    second = windows.where(F.size("anchors") > 1).select(
-        F.col("window").alias("window2"), F.get("anchors", 1)["code"].alias("code"), F.get("anchors", 1)["offset"].alias("offset2")
+    every = None
+    for block in range(blocks):
+        words = vocabulary.where(F.col("block") == block).select("word", "code").toPandas()  # about MAX_WORDS rows
+        named = docs.select(row.alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+        table = stage_table(build_index(named, words["word"].tolist(), words["code"].tolist()), "bench-index").withColumn("block", F.lit(block))
+        every = table if every is None else every.unionByName(table)
+    return every
+
+
+def posting_lists(index: DataFrame) -> DataFrame:
+    """row, code, places: one row for each document and word."""
+    return index.select("row", F.explode("postings").alias("p")).select("row", "p.code", "p.places")
+
+
+def ranked_words(windows: DataFrame, vocabulary: DataFrame, lists: DataFrame) -> DataFrame:
+    """window, length, rank, offset, code: a window's words from that in the fewest documents on, ties by
+    word and offset; without windows of which a word occurs nowhere."""
+    counts = lists.groupBy("code").agg(F.count(F.lit(1)).alias("n_docs"))
+    known = vocabulary.select("word", "code").join(counts, "code")
+    spread = windows.select("window", F.size("words").alias("length"), F.posexplode("words").alias("offset", "word")).join(known, "word")
+    grouped = spread.groupBy("window", "length").agg(F.array_sort(F.collect_list(F.struct("n_docs", "word", "offset", "code"))).alias("r"))
+    placed = grouped.where(F.size("r") == F.col("length")).select("window", "length", F.posexplode("r").alias("rank", "p"))
+    return placed.select("window", "length", "rank", "p.offset", "p.code")
+
+
+def _intersect(starts: DataFrame, parts: DataFrame, n_parts: Column, lists: DataFrame, slop: int) -> DataFrame:
+    """Of ``starts`` (row, window, length, start, exact) those at which the lists of all ``n_parts`` parts (window,
+    offset, code) hold start + offset, ``slop`` places off at most; exact stays where none is off."""
+    there = lists.select("row", "code", F.explode("places").alias("place"))
+    reach = F.sequence(F.lit(-slop), F.lit(slop)) if slop else F.array(F.lit(0))
+    needs = starts.join(parts, "window").withColumn("off", F.explode(reach)).withColumn("place", (F.col("start") + F.col("offset") + F.col("off")).cast("int"))
+    held = needs.join(there, ["row", "code", "place"]).groupBy("row", "window", "length", "start", "exact").agg(
+        F.count_distinct("offset").alias("n_"), F.count_if(F.col("off") == 0).alias("n_exact_")
     )
-    near = lists.join(second, "code").select(F.col("row").alias("row2"), "window2", (F.col("pos") - F.col("offset2")).alias("start2"))
-    close = (F.col("row") == F.col("row2")) & (F.col("window") == F.col("window2")) & (F.abs(F.col("start") - F.col("start2")) <= slop)
-    single = starts.where(F.size("anchors") < 2).select("row", "window", "start", length.cast("long").alias("length"))
-    met = starts.where(F.size("anchors") > 1).join(near, close, "left_semi")
-    return met.select("row", "window", "start", length.cast("long").alias("length")).union(single)
+    return held.where(F.col("n_") == n_parts).select("row", "window", "length", "start", (F.col("exact") & (F.col("n_exact_") == n_parts)).alias("exact"))
+
+
+def find_windows(index: DataFrame, ranked: DataFrame, slop: int = 0) -> DataFrame:
+    """row, window, length, start, exact of every match of a window. ``ranked`` is a staged table."""
+    hint = F.broadcast if is_small(ranked) else lambda df: df  # a part of a small table is small
+    part = lambda ranks: ranked.where(ranks).select("window", "offset", "code")
+    lead = ranked.where("rank = 0").select("window", "length", F.col("offset").alias("lead"), "code")
+    led = posting_lists(index).join(hint(lead), "code").select("row", "window", "length", "lead", F.explode("places").alias("place"))
+    starts = led.select("row", "window", "length", (F.col("place") - F.col("lead")).alias("start"), F.lit(True).alias("exact")).where("start >= 0")
+    starts = stage_table(starts, "bench-starts")
+    # lists of candidate documents alone go on
+    rows = stage_table(starts.where("length > 1").select("row").distinct(), "bench-candidates")
+    own = index.join(small_side(rows), "row", "left_semi")
+    second = part("rank = 1")
+    lists = posting_lists(own).join(hint(second.select("code").distinct()), "code", "left_semi")
+    crossed = stage_table(_intersect(starts, hint(second), F.lit(1), lists, slop), "bench-crossed")
+    left = stage_table(crossed.where("length > 2").select("row").distinct(), "bench-candidates")
+    own = index.join(small_side(left), "row", "left_semi")
+    whole = _intersect(crossed, hint(part("rank > 1")), F.col("length") - 2, posting_lists(own), slop)
+    return starts.where("length = 1").union(crossed.where("length = 2")).union(whole)
 
 
 def covered_words(found: DataFrame) -> DataFrame:
     """row, n_hit: words inside any found window."""
     along = W.partitionBy("row").orderBy("start", "end").rowsBetween(W.unboundedPreceding, -1)
-    spans = found.groupBy("row", "start").agg((F.col("start") + F.max("length")).alias("end"))
+    spans = found.groupBy("row", "start").agg((F.col("start") + F.max("length")).cast("long").alias("end"))
     reached = spans.withColumn("reached", F.coalesce(F.max("end").over(along), F.lit(0)))
     fresh = F.greatest(F.col("end") - F.greatest("start", "reached"), F.lit(0))
     return reached.groupBy("row").agg(F.sum(fresh).alias("n_hit"))
 
 
-def contamination(docs: DataFrame, items: DataFrame, size: int = WINDOW, anchors: int = ANCHORS, parts: int = PARTS, max_words: int = MAX_WORDS) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated for each row of
-    ``docs``, and ``ROW_KEY`` if ``docs`` has it."""
-    items = stage_table(item_words(items), "bench-items")
-    words = stage_table(items.select(F.explode("words").alias("word")).distinct(), "bench-words")
-    blocks = -(-words.count() // max_words)
-    index, found, held = None, None, None
-    # a window belongs to the block of its first word's hash; one block unless the test set is huge
-    all_windows = windows_of(items, size).withColumn("window", F.xxhash64(F.array_join("words", " ")))
-    all_windows = stage_table(all_windows.withColumn("block", F.pmod("window", F.lit(max(blocks, 1)))), "bench-windows")
-    around = size - 1
-    for block in range(max(blocks, 1)):
-        mine = all_windows.where(F.col("block") == block)
-        spelled = [bytes(r[0], "utf8") for r in mine.select(F.explode("words").alias("w")).distinct().sort("w").collect()]
-        codes = docs.sparkSession.createDataFrame(pa.table({"word": pa.array([w.decode() for w in spelled], pa.string()), "code": pa.array(range(len(spelled)), pa.int32())})) 
-        counted = stage_table(document_counts(docs, spelled), "bench-counts") if spelled else None
-        if counted is None:
-            chosen = []
-            coded = None
-        else:
-            known = codes.join(counted, "code")
-            coded = stage_table(_coded_windows(mine, known, anchors).where(F.size("codes") > 0).join(mine.select("window", F.size("words").alias("n_")), "window").where(F.size("codes") == F.col("n_")).drop("n_"), "bench-coded")
-            chosen = [r[0] for r in coded.select(F.get("anchors", 0)["code"].alias("c")).distinct().collect()]
-        table = stage_table(build_index(docs, spelled, chosen, around), "bench-index")
-        index = index if index is not None else table
-        if coded is not None:
-            some = find_phrases(table, coded, around)
-            found = some if found is None else found.union(some)
-    if found is None:
-        hits = index.select("row", F.lit(0).cast("long").alias("n_hit"), F.lit(0).cast("long").alias("n_items"), F.lit("").alias("items")).limit(0)
-    else:
-        found = stage_table(found, "bench-found")
-        of_item = windows_of_items(items, size)
-        held = found.select("row", "window").distinct().join(of_item, "window").select("row", "item_id").distinct()
-        named = held.groupBy("row").agg(F.sort_array(F.collect_list("item_id")).alias("ids"))
-        hits = covered_words(found).join(named, "row").select("row", "n_hit", F.size("ids").cast("long").alias("n_items"), F.array_join("ids", ",").alias("items"))
-    hits = stage_table(hits, "bench-hits")
-    told = index.select("row", "doc_id", "n_words").join(small_side(hits), "row", "left")
-    n_hit = F.coalesce("n_hit", F.lit(0)).cast("long")
-    return told.select(
-        *[F.col("row").alias(c) for c in docs.columns if c == ROW_KEY],
+def contamination(docs: DataFrame, items: DataFrame, size: int = WINDOW, slop: int = 0, parts: int = PARTS, max_words: int = MAX_WORDS) -> DataFrame:
+    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated, n_near (proximity matches that are no
+    phrase matches; 0 without ``slop``) for each row of ``docs``, and ``ROW_KEY`` if ``docs`` has it."""
+    its_key = [c for c in docs.columns if c == ROW_KEY]
+    of_items = stage_table(item_windows(item_words(items), size), "bench-windows")
+    windows = of_items.select("window", "words").distinct()
+    vocabulary, blocks = vocabulary_of(windows, max_words)
+    index = stored_index(docs, vocabulary, blocks)
+    ranked = stage_table(ranked_words(windows, vocabulary, posting_lists(index)), "bench-coded")
+    found = stage_table(find_windows(index, ranked, slop), "bench-found")
+    exact = found.where("exact")
+    named = exact.select("row", "window").distinct().join(of_items.select("window", "item_id"), "window").select("row", "item_id").distinct()
+    named = named.groupBy("row").agg(F.sort_array(F.collect_list("item_id")).alias("ids"))
+    told = named.select("row", F.size("ids").cast("long").alias("n_items"), F.sha2(F.array_join("ids", ","), 256).alias("items_sha256"))
+    near = found.where("NOT exact").groupBy("row").agg(F.count(F.lit(1)).alias("n_near"))
+    hits = stage_table(covered_words(exact).join(told, "row").join(near, "row", "full_outer"), "bench-hits")
+    all_rows = index.where("block = 0").select("row", "doc_id", "n_words").join(small_side(hits), "row", "left")
+    n_hit = zero("n_hit")
+    return all_rows.select(
+        *[F.col("row").alias(c) for c in its_key],
         "doc_id",
         "n_words",
         n_hit.alias("n_hit"),
-        F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"),
-        F.sha2(F.coalesce("items", F.lit("")), 256).alias("items_sha256"),
+        zero("n_items").alias("n_items"),
+        F.coalesce("items_sha256", F.sha2(F.lit(""), 256)).alias("items_sha256"),
         ((n_hit > 0) & (parts * n_hit >= F.col("n_words"))).alias("contaminated"),
+        zero("n_near").alias("n_near"),
     )
 
 
-def windows_of_items(items: DataFrame, size: int = WINDOW) -> DataFrame:
-    """window, item_id of every item's windows."""
-    starts = F.sequence(F.lit(1), F.greatest(F.size("words") - size + 1, F.lit(1)))
-    named = items.select("item_id", F.explode(F.transform(starts, lambda i: F.slice("words", i, size))).alias("words"))
-    return named.select(F.xxhash64(F.array_join("words", " ")).alias("window"), "item_id").distinct()
+def zero(name: str) -> Column:
+    return F.coalesce(F.col(name), F.lit(0)).cast("long")
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, **options) -> DataFrame:

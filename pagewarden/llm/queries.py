@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from . import decontaminate, mixing, near_join, quality, secrets, sharding, tokens, toxicity, warc
 
 
+#: Places that a word of a proximity match may lie off.
+SLOP = 1
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -36,7 +40,7 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), slop=SLOP)
 
 
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -107,7 +111,7 @@ ORACLES = {
     "op3_decontamination": f"""
 WITH d AS (SELECT doc_id, {_ITEM_WORDS} AS w FROM documents),
 b AS (SELECT DISTINCT CAST(item_id AS VARCHAR) AS item_id, {_ITEM_WORDS} AS w FROM benchmark),
-bw AS (SELECT item_id, array_to_string(w[i : i + 12], ' ') AS k, least(len(w), 13) AS n
+bw AS (SELECT item_id, array_to_string(w[i : i + 12], ' ') AS k, w[i : i + 12] AS ws, least(len(w), 13) AS n
        FROM (SELECT *, unnest(range(1, greatest(len(w) - 12, 1) + 1)) AS i FROM b WHERE len(w) > 0)),
 sizes AS (SELECT DISTINCT n FROM bw),
 dw AS (SELECT doc_id, i, n, array_to_string(w[i : i + n - 1], ' ') AS k
@@ -115,11 +119,21 @@ dw AS (SELECT doc_id, i, n, array_to_string(w[i : i + n - 1], ' ') AS k
 m AS (SELECT dw.doc_id, dw.i, dw.n, bw.item_id FROM dw JOIN bw ON dw.k = bw.k AND dw.n = bw.n),
 h AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM m) GROUP BY 1),
 t AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS items
-      FROM (SELECT DISTINCT doc_id, item_id FROM m) GROUP BY 1)
+      FROM (SELECT DISTINCT doc_id, item_id FROM m) GROUP BY 1),
+tokens AS (SELECT doc_id, i - 1 AS pos, w[i] AS word FROM (SELECT *, unnest(range(1, len(w) + 1)) AS i FROM d)),
+holders AS (SELECT word, count(DISTINCT doc_id) AS n_docs FROM tokens GROUP BY 1),
+parts AS (SELECT k, n, off, word, row_number() OVER (PARTITION BY k ORDER BY n_docs, word, off) AS r
+          FROM (SELECT k, n, i - 1 AS off, ws[i] AS word FROM (SELECT k, ws, n, unnest(range(1, n + 1)) AS i FROM (SELECT DISTINCT k, ws, n FROM bw))) JOIN holders USING (word)),
+starts AS (SELECT doc_id, k, pos - off AS start FROM parts JOIN tokens USING (word) WHERE r = 1 AND pos >= off),
+kept AS (SELECT k FROM parts GROUP BY k, n HAVING count(*) = n),
+needs AS (SELECT doc_id, k, start, n, off, word, r = 1 AS r_lead, unnest(range(-{SLOP}, {SLOP} + 1)) AS shift FROM starts JOIN kept USING (k) JOIN parts USING (k)),
+met AS (SELECT x.doc_id, k, start, n, count(DISTINCT off) AS n_met, count(*) FILTER (shift = 0) AS n_exact
+        FROM needs x JOIN tokens y ON x.doc_id = y.doc_id AND x.word = y.word AND y.pos = start + off + shift WHERE NOT (r_lead AND shift <> 0) GROUP BY ALL),
+near AS (SELECT doc_id, count(*) AS n_near FROM met WHERE n_met = n AND n_exact < n GROUP BY 1)
 SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit,
        CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(items, '')) AS items_sha256,
-       coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
-FROM d LEFT JOIN h USING (doc_id) LEFT JOIN t USING (doc_id)""",
+       coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated, CAST(coalesce(n_near, 0) AS BIGINT) AS n_near
+FROM d LEFT JOIN h USING (doc_id) LEFT JOIN t USING (doc_id) LEFT JOIN near USING (doc_id)""",
     "op10_near_join": f"""
 WITH RECURSIVE w AS (SELECT doc_id, {_WORDS} AS w FROM documents),
 g AS (SELECT DISTINCT doc_id, array_to_string(w[i : i + 4], ' ') AS g

@@ -11,9 +11,10 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A join side of at most this many rows of a few numbers (about 30 MB as a
-#: hash table) is broadcast; a larger one is joined by a shuffle.
+#: A join side of at most so many rows, and so many bytes as JSON, is broadcast;
+#: a larger one is joined by a shuffle.
 BROADCAST_ROWS = 500_000
+BROADCAST_BYTES = 48 << 20
 #: Bytes of text whose words are hashed at once.
 PART_BYTES = 1_000_000
 #: The column of a row's own number; doc_id may be null or repeat.
@@ -23,14 +24,16 @@ ROW_KEY = "row_key_"
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share (``spark.checkpoint.dir``).
 
-    Where the session names none (tests on one machine), a new temporary folder
-    becomes the checkpoint folder.
+    Where the session names none, a new temporary folder becomes the checkpoint folder
+    on a local master; on a cluster, whose executors would not see it, that is an error.
     """
     there = spark.conf.get("spark.checkpoint.dir", None)
     if not there:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         if held.isDefined():
             return held.get().rstrip("/")
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         there = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
         spark.sparkContext.setCheckpointDir(there)
     return there.rstrip("/")
@@ -54,10 +57,17 @@ def numbered_rows(docs: DataFrame, label: str) -> DataFrame:
     return docs if ROW_KEY in docs.columns else stage_table(docs.withColumn(ROW_KEY, F.monotonically_increasing_id()), label)
 
 
-def small_side(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` with a broadcast hint if it has at most ``limit`` rows, else as it
-    is, so that Spark shuffles it. ``df`` should be a staged table: it is counted."""
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+def is_small(df: DataFrame, rows: int = BROADCAST_ROWS, most: int = BROADCAST_BYTES) -> bool:
+    """Whether ``df`` has at most ``rows`` rows and ``most`` bytes as JSON. It should be a staged
+    table: it is measured, and the measuring ends soon after ``rows`` rows."""
+    width = F.octet_length(F.to_json(F.struct("*")))
+    n, size = df.limit(rows + 1).agg(F.count(F.lit(1)), F.coalesce(F.sum(width), F.lit(0))).first()
+    return n <= rows and size <= most
+
+
+def small_side(df: DataFrame, rows: int = BROADCAST_ROWS, most: int = BROADCAST_BYTES) -> DataFrame:
+    """``df`` with a broadcast hint if it is small, else as it is, so that Spark shuffles it."""
+    return F.broadcast(df) if is_small(df, rows, most) else df
 
 
 # --- Arrow text ------------------------------------------------------------
