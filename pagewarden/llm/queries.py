@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontaminate, mixing, near_join, quality, secrets, sharding, tokens, toxicity, warc
+from .shared import new_folder
 
 
 #: Places that a word of a proximity match may lie off.
@@ -17,7 +18,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def held_out(doc_id: Column) -> Column:
-    return F.pmod(F.crc32(doc_id.cast("string")), F.lit(4)) == 2
+    """A null doc_id is never held out."""
+    return F.coalesce(F.pmod(F.crc32(doc_id.cast("string")), F.lit(4)) == 2, F.lit(False))
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,7 +54,11 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sharding.shard_records(table(spark, sf_dir, "documents")).select(
+    """Version 1 of the stored map decides; ``next_shard`` is the shard of version 2, with one more."""
+    folder = new_folder(spark, "slot-map")
+    told = sharding.shard_records(table(spark, sf_dir, "documents"), folder=folder)
+    grown = sharding.grow(spark, folder).select("vslot", F.col("shard").alias("next_shard"))  # a row a slot
+    return told.join(F.broadcast(grown), "vslot").select(
         "doc_id",
         "size",
         "text_crc32",
@@ -62,6 +68,7 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(None).cast("int").alias("grown_shard"),
         "vslot",
         "map_version",
+        "next_shard",
     )
 
 
