@@ -8,7 +8,7 @@ within one row's size of its target. Groups of a source leave one open row each,
 those meet again in a reduction tree. Random numbers are hashes of the row: reruns agree.
 
 Defined results: a null or empty text has size 0 and takes nothing; a null source is a
-source of its own, last in order; equal rows are rounded one by one; an empty table
+source of its own, last in order; equal rows are rounded together, to nearly equal numbers of copies; an empty table
 gives an empty result; further columns are ignored.
 """
 
@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .shared import small_side, stage_table
+from .shared import own_columns, small_side, stage_table
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
@@ -27,6 +27,8 @@ MAX_COPIES = 2.0
 #: Rows of a source that one task rounds together, about; and open rows of one node of the tree.
 GROUP_ROWS = 2_000
 FAN_IN = 512
+#: Equal rows that one task tells.
+EQUAL_ROWS = 100_000
 SEED = 20_240_601
 
 WHITE_SPACE = r" \t\n\x0B\f\r"
@@ -95,7 +97,12 @@ def _pivot(group: pd.DataFrame) -> pd.DataFrame:
     return group
 
 
-_OPEN = "doc_id bigint, key bigint, source string, source_size bigint, target double, size bigint, whole int, p double, u double, node bigint, done boolean"
+_OPEN = "doc_id bigint, key bigint, key2 bigint, source string, source_size bigint, target double, size bigint, whole int, n bigint, p double, u double, node bigint, done boolean"
+
+
+def row_keys() -> list[Column]:
+    """128 bits that stand for a row: hashes of doc_id and text."""
+    return [F.xxhash64("doc_id", "text").alias("key"), F.xxhash64(F.lit("second"), "text", "doc_id").alias("key2")]
 
 
 def mix(
@@ -107,29 +114,38 @@ def mix(
     group_rows: int = GROUP_ROWS,
     fan_in: int = FAN_IN,
 ) -> DataFrame:
-    """doc_id, key (a hash of doc_id and text), size, source_size, target, copies, taken."""
-    key = F.xxhash64("doc_id", "text")
+    """doc_id, key and key2 (hashes of doc_id and text), size, source_size, target, copies, taken.
+
+    n equal rows that meet each other leave floor(n * p) of 1, one open row with the rest, and zeros:
+    so they are counted first and go on as one row each of these, however many they are."""
     sizes = stage_table(
-        docs.select(F.col("doc_id").cast("long").alias("doc_id"), key.alias("key"), F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size")),
+        docs.select(F.col("doc_id").cast("long").alias("doc_id"), *row_keys(), F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size")),
         "mix-sizes",
     )
-    targets = stage_table(source_targets(sizes, weights, share, cap), "mix-targets")
+    targets = source_targets(sizes, weights, share, cap)
     counted = sizes.groupBy("source").agg(F.count(F.lit(1)).alias("n_rows")).withColumnRenamed("source", "source_")
-    targets = targets.join(counted, F.col("source").eqNullSafe(F.col("source_"))).drop("source_").withColumnRenamed("source", "of")
+    targets = stage_table(targets.join(counted, F.col("source").eqNullSafe(F.col("source_"))).drop("source_").withColumnRenamed("source", "of"), "mix-sources")
+    equal = sizes.groupBy("doc_id", "key", "key2", "source", "size").agg(F.count(F.lit(1)).alias("n_equal"))
     u = F.xxhash64("key", "doc_id", "size", F.lit(seed)).cast("double") / F.lit(2.0**64) + F.lit(0.5)
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
+    left = F.col("n_equal") * F.col("ratio_p")
+    ones = F.floor(left + F.lit(1e-9)).cast("bigint")
+    rest = F.when(left - ones < 1e-9, 0.0).otherwise(left - ones)
+    part = lambda n, p: F.struct(n.cast("bigint").alias("n"), p.cast("double").alias("p"))
+    parts = F.array(part(ones, F.lit(1.0)), part(F.when(rest > 0, 1).otherwise(0), rest), part(F.col("n_equal") - ones - F.when(rest > 0, 1).otherwise(0), F.lit(0.0)))
     rows = (
-        sizes.join(small_side(stage_table(targets, "mix-sources")), F.col("source").eqNullSafe(F.col("of")))
+        equal.join(small_side(targets), F.col("source").eqNullSafe(F.col("of")))
         .withColumn("ratio", F.when(F.col("size") > 0, ratio).otherwise(0.0))
         .withColumn("whole", F.floor(F.col("ratio") + F.lit(1e-9)).cast("int"))
-        .withColumn("p", F.greatest(F.col("ratio") - F.col("whole"), F.lit(0.0)))
-        .withColumn("p", F.when(F.col("p") < 1e-9, 0.0).otherwise(F.col("p")))
+        .withColumn("ratio_p", F.greatest(F.col("ratio") - F.col("whole"), F.lit(0.0)))
         .withColumn("u", u)
         .withColumn("node", F.pmod(F.xxhash64("doc_id", "key", F.lit(seed)), F.ceil(F.col("n_rows") / group_rows)).cast("long"))
-        .withColumn("done", F.col("p") == 0.0)
+        .withColumn("part", F.explode(F.filter(parts, lambda x: x["n"] > 0)))
+        .withColumns({"n": F.col("part.n"), "p": F.col("part.p"), "done": F.col("part.p").isin(0.0, 1.0)})
         .select(*[c.split()[0] for c in _OPEN.split(", ")])
     )
-    largest = counted.agg(F.max("n_rows")).first()[0] or 0
+    rows = stage_table(rows, "mix-rows")
+    largest = targets.agg(F.max("n_rows")).first()[0] or 0
     nodes = -(-largest // group_rows)
     decided = rows.where("done")
     level = stage_table(rows.where("NOT done").groupBy("source", "node").applyInPandas(_pivot, _OPEN), "mix-level")
@@ -144,21 +160,29 @@ def mix(
     # one open row a source is left: rounded to the nearer side, which errs by half its size at most
     last = open_rows.withColumn("p", F.when(F.col("p") >= 0.5, 1.0).otherwise(0.0))
     copies = (F.col("whole") + F.col("p")).cast("int")
-    return decided.unionByName(last).select(
-        "doc_id", "key", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).cast("long").alias("taken")
+    return as_often(decided.unionByName(last), rows).select(
+        "doc_id", "key", "key2", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).cast("long").alias("taken")
     )
 
 
+def as_often(told: DataFrame, counted: DataFrame, chunk: int = EQUAL_ROWS) -> DataFrame:
+    """Each row of ``told`` ``n`` times; more than ``chunk`` times in several tasks."""
+    most = counted.agg(F.max("n")).first()[0] or 0
+    if most > chunk:
+        told = told.withColumn("chunk_", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / chunk)))).repartition("key", "chunk_")
+        return told.withColumn("nth_", F.explode(F.sequence(F.lit(1), F.least(F.lit(chunk), F.col("n") - F.col("chunk_") * chunk))))
+    return told.withColumn("nth_", F.explode(F.sequence(F.lit(1), F.col("n"))))
+
+
 def take_mix(docs: DataFrame, mixed: DataFrame) -> DataFrame:
-    """The rows of ``docs`` as often as ``mixed`` takes them. Rows of no words are not taken."""
-    spark_key = F.xxhash64("doc_id", "text")
+    """The rows of ``docs`` as often as ``mixed`` takes them; equal rows together as often as all of
+    them. Rows of no words are not taken. Names that begin with mix_ are taken by the operator."""
     copies = stage_table(
-        mixed.groupBy("key").agg(F.sum("copies").alias("copies"), F.count(F.lit(1)).alias("n_rows")), "mix-copies"
-    )
-    repeated = copies.where("n_rows > 1").limit(1).count() > 0
-    rows = docs.withColumn("mix_key_", spark_key)
-    if repeated:
-        rows = rows.dropDuplicates(["mix_key_"])
-    taken = copies.where("copies > 0").select(F.col("key").alias("mix_key_"), F.col("copies").alias("mix_copies_"))
-    joined = rows.join(small_side(taken), "mix_key_")
-    return joined.withColumn("mix_copy_", F.explode(F.sequence(F.lit(1), F.col("mix_copies_")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+        mixed.groupBy(F.col("key").alias("mix_key_"), F.col("key2").alias("mix_key2_")).agg(F.sum("copies").cast("int").alias("mix_copies_"), F.count(F.lit(1)).alias("mix_rows_")), "mix-copies"
+    ).where("mix_copies_ > 0")
+    keys = ["mix_key_", "mix_key2_"]
+    rows = docs.select(*own_columns(docs), *[k.alias(c) for k, c in zip(row_keys(), keys)])
+    joined = rows.join(small_side(copies), keys)
+    if copies.where("mix_rows_ > 1").limit(1).count():
+        joined = joined.where("mix_rows_ = 1").unionByName(joined.where("mix_rows_ > 1").dropDuplicates(keys))
+    return joined.withColumn("mix_copy_", F.explode(F.sequence(F.lit(1), F.col("mix_copies_")))).select(*own_columns(docs))

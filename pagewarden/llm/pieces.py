@@ -60,7 +60,7 @@ class PieceEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.mark_text = next(t.content for t in self.tokenizer.get_added_tokens_decoder().values())
+        self.marks = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.id_bytes = np.zeros(self.tokenizer.get_vocab_size(), np.int64)  # one letter of a token stands for a byte
         for token, i in self.tokenizer.get_vocab().items():
             self.id_bytes[i] = len(token)
@@ -88,7 +88,7 @@ class PieceEncoder:
         """Encodes new pieces. Those that begin with a single white space and end with none
         are again safe side by side, so one call encodes many as one text; the ids' known
         byte lengths tell where each piece ends. The others are encoded one by one."""
-        joint = [p for p in pieces if _JOINABLE(p) and self.mark_text not in p]
+        joint = [p for p in pieces if _JOINABLE(p) and not any(m in p for m in self.marks)]
         for k in range(0, len(joint), ENCODE_PIECES):
             some = joint[k : k + ENCODE_PIECES]
             texts = ["".join(some[j : j + 64]) for j in range(0, len(some), 64)]

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import small_side, stage_table
+from .shared import own_columns, small_side, stage_table
 
 BUCKETS = 16_384
 SMOOTHING = 8.0
@@ -99,7 +99,7 @@ def with_hashes(docs: DataFrame) -> DataFrame:
     )
 
 
-_OWN = ("text_", "words_", "hashes_", "pairs_")
+COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
 def base_counts(hashed: DataFrame) -> DataFrame:
@@ -158,7 +158,8 @@ def judge(
     buckets: int = BUCKETS,
     smoothing: float = SMOOTHING,
 ) -> DataFrame:
-    """All columns of ``docs`` with the base counts, base_failed, quality_score and kept."""
+    """Two structs for each row: ``doc``, all its columns as they are, and ``verdict``, the base counts,
+    base_failed, quality_score and kept. So no name of ``docs`` meets one of the verdict's."""
     ratios = log_ratios(bucket_counts(docs, trusted, buckets), buckets, smoothing)
     # ``buckets`` numbers, whatever the corpus, as a constant of the scoring plan
     table = F.from_json(F.lit(ratios.select(F.to_json("ratios")).first()[0]), "array<double>")
@@ -166,5 +167,7 @@ def judge(
         return F.aggregate(grams, F.lit(0.0), lambda acc, h: acc + F.get(table, bucket_of(h, buckets)))
 
     n_grams = F.greatest(2 * F.size("hashes_") - 1, F.lit(1))
-    rated = base_counts(with_hashes(docs)).withColumn("quality_score", (total("hashes_") + total("pairs_")) / n_grams)
-    return rated.withColumn("kept", ~F.col("base_failed") & (F.col("quality_score") >= threshold)).drop(*_OWN)
+    rows = docs.select(F.struct(*own_columns(docs)).alias("doc"), "text")
+    rated = base_counts(with_hashes(rows)).withColumn("quality_score", (total("hashes_") + total("pairs_")) / n_grams)
+    rated = rated.withColumn("kept", ~F.col("base_failed") & (F.col("quality_score") >= threshold))
+    return rated.select("doc", F.struct(*COUNTS, "base_failed", "quality_score", "kept").alias("verdict"))

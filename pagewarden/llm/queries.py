@@ -38,7 +38,7 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     judged = quality.judge(docs.select("doc_id", "text"), labels.where("quality = 1"))
-    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "quality_score")
+    return judged.select("doc.doc_id", *[f"verdict.{c}" for c in (*quality.COUNTS, "base_failed", "kept", "quality_score")])
 
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,12 +73,13 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return warc.records_of(table(spark, sf_dir, "pages"))
+    derived = warc.records_of(table(spark, sf_dir, "pages"))
+    return derived.withColumn("source_type", warc.header(F.col("source_headers"), "Content-Type"))
 
 
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    found = secrets.scan_versions(docs, secrets.BlobLedger(spark))
+    found = secrets.scan_versions(docs.select("doc_id", "text"), secrets.BlobLedger(spark))
     told = F.array_join(F.transform("spans", lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 
     def n(kind: str) -> Column:
@@ -111,6 +112,22 @@ QUERIES = {
     )
 }
 
+_SECRETS = (
+    ("assign", r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 1, 12),
+    ("access", "AKIA[A-Z0-9]+", 0, 18),
+    ("hex", "[0-9a-f]+", 0, 16),
+)
+
+
+def _secret_spans(rank: int, kind: str, pattern: str, group: int, least: int) -> str:
+    """doc_id, rank, kind, start, end of the matches: texts are cut at marks around each match."""
+    quoted = pattern.replace("'", "''")
+    return f"""SELECT doc_id, {rank} AS rank, '{kind}' AS kind, start, start + length(value) AS "end" FROM (
+SELECT doc_id, split_part(parts[i], chr(2), 1) AS value, length(replace(array_to_string(parts[1:i-1], ''), chr(2), '')) AS start
+FROM (SELECT *, unnest(range(2, len(parts) + 1)) AS i FROM (SELECT doc_id, string_split(regexp_replace(text, '(?:{quoted})', chr(1) || '\\0' || chr(2), 'g'), chr(1)) AS parts FROM documents WHERE text IS NOT NULL)))
+WHERE length(regexp_extract(value, '{quoted}', {group})) >= {least}"""
+
+
 _ITEM_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
@@ -141,6 +158,12 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS B
        CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(items, '')) AS items_sha256,
        coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated, CAST(coalesce(n_near, 0) AS BIGINT) AS n_near
 FROM d LEFT JOIN h USING (doc_id) LEFT JOIN t USING (doc_id) LEFT JOIN near USING (doc_id)""",
+    "op8_secrets": f"""
+WITH s AS ({" UNION ALL ".join(_secret_spans(i, *r) for i, r in enumerate(_SECRETS))}),
+g AS (SELECT doc_id, count(*) FILTER (kind = 'assign') AS a, count(*) FILTER (kind = 'access') AS k, count(*) FILTER (kind = 'hex') AS h,
+      string_agg(kind || ':' || start || ':' || "end", ',' ORDER BY start, rank) AS spans FROM s GROUP BY 1)
+SELECT doc_id, coalesce(a, 0) AS n_assign, coalesce(k, 0) AS n_access, coalesce(h, 0) AS n_hex, sha256(coalesce(spans, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM documents LEFT JOIN g USING (doc_id)""",
     "op10_near_join": f"""
 WITH RECURSIVE w AS (SELECT doc_id, {_WORDS} AS w FROM documents),
 g AS (SELECT DISTINCT doc_id, array_to_string(w[i : i + 4], ' ') AS g

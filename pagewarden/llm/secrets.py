@@ -6,8 +6,9 @@ run scans only pairs that the ledger lacks, adds them, and joins findings back t
 and versions.
 
 Defined results: a null content counts as empty; equal contents, whatever their path, are
-scanned once and report the same spans; an empty table gives an empty result; further
-columns are ignored.
+scanned once and report the same spans; a null path is a path like any other; repeated rows
+each get their findings; an empty table gives an empty result; further columns pass
+through, but for own ones named blob or spans, which are replaced.
 """
 
 from __future__ import annotations
@@ -68,30 +69,36 @@ class BlobLedger:
         self.folder = folder or new_folder(spark, "blob-ledger")
 
     def findings(self, rule_version: int) -> DataFrame:
+        """blob and spans of every blob that was scanned with the rules of that version."""
         try:
             held = self.spark.read.schema(f"blob string, spans {_SPANS}, rule_version int").parquet(self.folder)
         except AnalysisException:  # nothing was ever scanned
             return self.spark.createDataFrame([], f"blob string, spans {_SPANS}")
         return held.where(F.col("rule_version") == rule_version).select("blob", "spans")
 
-    def scan_new(self, versions: DataFrame, rule_version: int = RULE_VERSION, rules=RULES) -> None:
-        """Scans the blobs of ``versions`` (doc_id, text) that the ledger lacks for the version, each once.
-
-        Only addresses are grouped; then one row of each new blob is looked up again by
-        its number in the input, so no text is shuffled unless those numbers are many."""
-        rows = versions.select(content_address(F.col("text")).alias("blob"), F.coalesce("text", F.lit("")).alias("text"))
-        marked = rows.withColumn("at", F.monotonically_increasing_id())
-        unseen = marked.groupBy("blob").agg(F.min("at").alias("at")).join(self.findings(rule_version), "blob", "left_anti")
-        unseen = stage_table(unseen, "blobs-unseen")
-        texts = marked.join(small_side(unseen.select("blob", "at")), ["blob", "at"]).select("blob", "text")
+    def scan_new(self, versions: DataFrame, rule_version: int = RULE_VERSION, rules=RULES, path: str = "doc_id") -> None:
+        """Scans the blobs of ``versions`` that the ledger lacks for the version and adds them.
+
+        Only addresses and paths are grouped; then the text of each new blob is taken from the
+        row of its smallest path (of rows equal in path and text each is scanned, and one kept), so no
+        text is shuffled unless the new blobs are many. Both sides name a row by its own values."""
+        named = F.coalesce(F.col(path).cast("string"), F.lit("")).alias("at")
+        rows = versions.select(content_address(F.col("text")).alias("blob"), named, F.coalesce("text", F.lit("")).alias("text"))
+        unseen = rows.groupBy("blob").agg(F.min("at").alias("at")).join(self.findings(rule_version).select("blob"), "blob", "left_anti")
+        unseen = small_side(stage_table(unseen, "blobs-unseen"))
+        texts = rows.join(unseen, ["blob", "at"]).select("blob", "text")
         found = texts.mapInArrow(_scan(rules), f"blob string, spans {_SPANS}")
-        found.withColumn("rule_version", F.lit(rule_version)).write.mode("append").partitionBy("rule_version").parquet(self.folder)
+        stage_table(found, "blobs-scanned").dropDuplicates(["blob"]).withColumn("rule_version", F.lit(rule_version)).write.mode("append").partitionBy("rule_version").parquet(self.folder)
 
 
-def scan_versions(versions: DataFrame, ledger: BlobLedger, rule_version: int = RULE_VERSION, rules=RULES) -> DataFrame:
-    """doc_id, blob and spans of every row of ``versions``, scanning only what is new."""
-    ledger.scan_new(versions, rule_version, rules)
-    found = ledger.findings(rule_version).where(F.size("spans") > 0).dropDuplicates(["blob"])
-    addressed = versions.select(F.col("doc_id"), content_address(F.col("text")).alias("blob"))
+def scan_versions(versions: DataFrame, ledger: BlobLedger, rule_version: int = RULE_VERSION, rules=RULES, path: str = "doc_id") -> DataFrame:
+    """All columns of ``versions`` but the text (``path``, and what else tells versions apart), blob and
+    spans of every row, scanning only what is new. A run that adds the same blobs at the same time may
+    write some twice; they are read once."""
+    ledger.scan_new(versions, rule_version, rules, path)
+    found = ledger.findings(rule_version).where(F.size("spans") > 0).dropDuplicates(["blob"]).select(F.col("blob").alias("blob_of_"), "spans")
+    others = [c for c in versions.columns if c not in ("text", "blob", "spans")]
+    addressed = versions.select(*others, content_address(F.col("text")).alias("blob"))
     spans = F.coalesce("spans", F.array().cast(_SPANS))
-    return addressed.join(small_side(stage_table(found, "blobs-found")), "blob", "left").select("doc_id", "blob", spans.alias("spans"))
+    joined = addressed.join(small_side(stage_table(found, "blobs-found")), F.col("blob") == F.col("blob_of_"), "left")
+    return joined.select(*others, "blob", spans.alias("spans"))

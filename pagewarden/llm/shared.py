@@ -8,7 +8,7 @@ import uuid
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A join side of at most so many rows, and so many bytes as JSON, is broadcast;
@@ -51,6 +51,11 @@ def stage_table(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def own_columns(docs: DataFrame) -> list[Column]:
+    """All columns of ``docs``, whatever their names."""
+    return [F.col(f"`{c}`") for c in docs.columns]
+
+
 def numbered_rows(docs: DataFrame, label: str) -> DataFrame:
     """``docs`` with ``ROW_KEY``. Where it lacks the column the table is written with it,
     so that every later read finds the same numbers."""

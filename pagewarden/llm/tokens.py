@@ -8,7 +8,8 @@ document ids, with 64-bit offsets and document ids beside them. A part's place i
 is the prefix sum of the counts of the parts before it, so parts are written at once.
 
 Defined results: a null text counts as empty (no ids; only the end id in files); a null
-``doc_id`` sorts first; rows of equal ``doc_id`` follow each other in order of their texts;
+``doc_id`` sorts first; rows of equal ``doc_id`` follow each other by a hash of their texts, so that
+many of them make several parts;
 an empty table gives no rows and one manifest of no parts; further columns are ignored.
 """
 
@@ -33,7 +34,6 @@ VOCABULARY = "byte_bpe_50k.json"
 LIMIT = 512
 #: Bytes of text that one part of the files takes, about.
 PART_BYTES = 64 << 20
-DOC_ID_NULL = -(1 << 63)
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
@@ -79,7 +79,8 @@ def _write_file(folder: str, name: str, parts: list[np.ndarray], attempt: int) -
 def write_token_ids(
     docs: DataFrame, vocabulary: str | None = None, end_id: int = 0, folder: str | None = None, part_bytes: int = PART_BYTES
 ) -> DataFrame:
-    """Writes the files and returns their manifest: part, file, width, n_docs, n_tokens, start."""
+    """Writes the files and returns their manifest: part, file, width, n_docs, n_nulls (first documents whose
+    id is null), n_tokens, start."""
     spark = docs.sparkSession
     vocabulary = vocabulary or vocabulary_path()
     folder = folder or new_folder(spark, "token-ids")
@@ -93,7 +94,7 @@ def write_token_ids(
         name = f"part-{part:06d}"
         where, top = pafs.FileSystem.from_uri(folder)
         passing = f"{top}/_{name}.bin.{attempt}"
-        doc_ids, counts = [], []
+        doc_ids, counts, n_nulls = [], [], 0
         with where.open_output_stream(passing) as out:
             for batch in batches:
                 for some in byte_slices(batch, "text", BATCH_BYTES):
@@ -101,7 +102,8 @@ def write_token_ids(
                     ids, first = encoder.encode(data, offsets)
                     out.write(np.insert(ids, first[1:], end_id).astype(encoder.width))
                     counts.append(np.diff(first) + 1)
-                    doc_ids.append(some.column("doc_id").fill_null(DOC_ID_NULL).to_numpy())
+                    doc_ids.append(some.column("doc_id").fill_null(0).to_numpy())
+                    n_nulls += some.column("doc_id").null_count
         if not counts:
             where.delete_file(passing)
             return
@@ -110,15 +112,16 @@ def write_token_ids(
         _write_file(folder, f"{name}.off", [np.append(0, np.cumsum(counts)).astype("<u8")], attempt)
         _write_file(folder, f"{name}.doc", [doc_ids.astype("<i8")], attempt)
         yield pa.RecordBatch.from_arrays(
-            [pa.array([part], pa.int64()), pa.array([name]), pa.array([encoder.width.itemsize], pa.int32()), pa.array([len(counts)], pa.int64()), pa.array([int(counts.sum())], pa.int64())],
-            ["part", "file", "width", "n_docs", "n_tokens"],
+            [pa.array([part], pa.int64()), pa.array([name]), pa.array([encoder.width.itemsize], pa.int32()), pa.array([len(counts)], pa.int64()), pa.array([n_nulls], pa.int64()), pa.array([int(counts.sum())], pa.int64())],
+            ["part", "file", "width", "n_docs", "n_nulls", "n_tokens"],
         )
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
     total = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     n_parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // part_bytes))
-    ordered = rows.repartitionByRange(n_parts, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
-    parts = stage_table(ordered.mapInArrow(write, "part bigint, file string, width int, n_docs bigint, n_tokens bigint"), "token-parts")
+    order = [F.col("doc_id").asc_nulls_first(), F.col("text_hash").asc()]
+    ordered = rows.repartitionByRange(n_parts, *order).sortWithinPartitions(*order, "text").select("doc_id", "text")
+    parts = stage_table(ordered.mapInArrow(write, "part bigint, file string, width int, n_docs bigint, n_nulls bigint, n_tokens bigint"), "token-parts")
     before = W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)  # over parts, not documents
     return parts.select("*", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)).alias("start"), F.lit(folder).alias("folder"))
 
@@ -148,7 +151,7 @@ def read_token_ids(manifest: DataFrame) -> DataFrame:
                     sums = [zlib.crc32(ids[a:b].astype("<u4")) for a, b in zip(to[:-1], to[1:])]
                     yield pa.RecordBatch.from_arrays(
                         [
-                            pa.array(some, mask=some == DOC_ID_NULL),
+                            pa.array(some, mask=np.arange(k, k + len(some)) < row["n_nulls"]),
                             pa.array(to[:-1] + row["start"]),
                             pa.array(np.diff(to)),
                             pa.array(sums, pa.int64()),

@@ -6,9 +6,12 @@ carry digests of their own blocks; the metadata record also tells the response's
 digest and header fields. Record ids are name-based, so reruns agree. ``write_warc`` packs
 records into files, each record a gzip member of its own, a file a task.
 
+``pages`` holds no archived headers, so ``responses`` states one date and plain HTTP headers.
+
 Defined results: a response without body (null or empty) gives records with empty text;
-a null URL stays empty, in id and headers; equal rows give records with equal ids; an empty table
-gives none; further columns are ignored; unclosed tags and comments end with the page.
+a null URL stays empty, in id and headers; ids depend on page_id, URL, date and payload, so two captures
+of a URL have ids of their own and equal rows have equal ids; an empty table gives none; further
+columns are ignored; unclosed tags, comments and elements end with the page.
 """
 
 from __future__ import annotations
@@ -32,13 +35,21 @@ from pyspark.sql import functions as F
 from .shared import new_folder
 
 DATE = "2024-01-01T00:00:00Z"
-_DROP = re.compile(r"<!--.*?(?:-->|$)|<(script|style|noscript|template)\b.*?(?:</\1\s*>|$)|<!doctype[^>]*>", re.S | re.I)
-_BREAK = re.compile(r"</?(?:p|div|br|h[1-6]|li|ul|ol|tr|table|article|section|header|footer|nav|title|head|body|html|blockquote|pre)\b[^>]*>", re.I)
-_TAG = re.compile(r"</?[a-zA-Z][^>]*>?")
+#: Elements that stand on lines of their own.
+_BLOCKS = frozenset("p div br h1 h2 h3 h4 h5 h6 li ul ol tr table article section header footer nav title head body html blockquote pre".split())
 _SPACE = re.compile(r"[ \t\r\f\v]+")
 _LINES = re.compile(r" ?\n[ \n]*")
-_TITLE = re.compile(r"<title\b[^>]*>(.*?)(?:</title\s*>|$)", re.S | re.I)
-_LINK = re.compile(r"<a\b[^>]*?\bhref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+#: Markup by the rules of HTML tokenization: comments, elements whose content is not shown, the title with
+#: its text, and tags with their attributes. A quote counts only after an equals sign, so
+#: a > within a quoted value does not end the tag. An unclosed comment, element or tag ends with the page.
+_MARKUP = re.compile(
+    r"<!--(?:-?>|.*?(?:--!?>|\Z))|<[!?][^>]*+>?|</[^a-zA-Z>][^>]*+>?|</>"
+    r"|<(?P<raw>script|style|noscript|template)(?=[\s/>])(?:[^>\"'=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s>\"'][^\s>]*+)?|[\"'])*+>.*?(?:</(?P=raw)(?=[\s/>])[^>]*+>?|\Z)"
+    r"|<title(?=[\s/>])[^>]*+>(?P<title>.*?)(?:</title(?=[\s/>])[^>]*+>?|\Z)"
+    r"|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*+)(?P<attrs>(?:[^>\"'=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s>\"'][^\s>]*+)?|[\"'])*+)(?:>|\Z)",
+    re.S | re.I,
+)
+_ATTR = re.compile(r"([^\s/>=][^\s/>=]*+)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s>]*+)))?")
 
 
 def record_id(name: str) -> str:
@@ -49,23 +60,42 @@ def digest(block: bytes) -> str:
     return "sha1:" + base64.b32encode(hashlib.sha1(block).digest()).decode()
 
 
-def plain_text(page: str) -> str:
-    """Text of a page, a line for each block element."""
-    body = _TAG.sub("", _BREAK.sub("\n", _DROP.sub(" ", page)))
-    return _LINES.sub("\n", _SPACE.sub(" ", html.unescape(body))).strip()
-
-
 def page_facts(page: str, url: str) -> dict:
-    title = _TITLE.search(page)
-    bare = _DROP.sub(" ", page)
-    links = [html.unescape(a or b or c) for a, b, c in _LINK.findall(bare)]
+    """text (a line for each block element), title (the first) and links (href of anchors, in order, joined
+    to the page's URL) of a page."""
+    parts, links, title, at = [], [], None, 0
+    for m in _MARKUP.finditer(page):
+        if m.start() > at:
+            parts.append(page[at : m.start()])
+        at = m.end()
+        name = m["name"]
+        if name is not None:
+            name = name.lower()
+            if name in _BLOCKS:
+                parts.append("\n")
+            elif name == "a" and not m["end"]:
+                for key, *value in _ATTR.findall(m["attrs"]):
+                    if key.lower() == "href":
+                        links.append(html.unescape(value[0] or value[1] or value[2]))
+                        break
+        elif m["title"] is not None:
+            parts += ["\n", m["title"], "\n"]
+            title = m["title"] if title is None else title
+        else:
+            parts.append(" ")
+    parts.append(page[at:])
     joined = []
     for x in links:
         try:
             joined.append(urljoin(url, x))
         except ValueError:
             joined.append(x)
-    return {"title": _SPACE.sub(" ", html.unescape(title[1])).strip() if title else "", "links": joined}
+    text = _LINES.sub("\n", _SPACE.sub(" ", html.unescape("".join(parts)))).strip()
+    return {"text": text, "title": " ".join(html.unescape(title or "").split()), "links": joined}
+
+
+def plain_text(page: str) -> str:
+    return page_facts(page, "")["text"]
 
 
 def responses(pages: DataFrame, date: str = DATE) -> DataFrame:
@@ -80,7 +110,7 @@ def responses(pages: DataFrame, date: str = DATE) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [
                     ids,
-                    pa.array([record_id(f"response {i} {u}") for i, u in zip(ids.to_pylist(), urls)]),
+                    pa.array([record_id(f"response {i} {u} {date} {digest(b.encode())}") for i, u, b in zip(ids.to_pylist(), urls, bodies)]),
                     pa.array(urls),
                     pa.array([date] * len(urls)),
                     pa.array([f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(b.encode())}" for b in bodies]),
@@ -110,7 +140,7 @@ def derive(records: DataFrame) -> DataFrame:
                 lines = [f"title: {facts['title']}", *(f"outlink: {x}" for x in facts["links"]), f"response-headers: {json.dumps(r['http_headers'])}", f"response-payload-digest: {payload}"]
                 for kind, content, block in (
                     ("metadata", "application/warc-fields", "\r\n".join(x.replace("\r", " ").replace("\n", " ") for x in lines) + "\r\n"),
-                    ("conversion", "text/plain", plain_text(r["payload"])),
+                    ("conversion", "text/plain", facts["text"]),
                 ):
                     raw = block.encode()
                     out.append((r["page_id"], kind, record_id(f"{kind} {r['record_id']}"), r["record_id"], r["target_uri"], r["date"], content, r["http_headers"], payload, digest(raw), len(raw), block))
@@ -137,9 +167,11 @@ def write_warc(derived: DataFrame, folder: str | None = None) -> DataFrame:
             for batch in batches:
                 for r in batch.to_pylist():
                     raw = r["block"].encode()
+                    source = "".join(f"X-Source-{line}\r\n" for line in (r["source_headers"] or "").splitlines()[1:] if line)
                     head = (
                         f"WARC/1.1\r\nWARC-Type: {r['record_type']}\r\nWARC-Record-ID: {r['record_id']}\r\nWARC-Refers-To: {r['refers_to']}\r\n"
-                        f"WARC-Target-URI: {r['target_uri']}\r\nWARC-Date: {r['date']}\r\nWARC-Block-Digest: {r['block_digest']}\r\n"
+                        f"WARC-Target-URI: {r['target_uri']}\r\nWARC-Refers-To-Target-URI: {r['target_uri']}\r\n"
+                        f"WARC-Refers-To-Date: {r['date']}\r\nWARC-Date: {r['date']}\r\nWARC-Block-Digest: {r['block_digest']}\r\nX-Source-Payload-Digest: {r['payload_digest']}\r\n{source}"
                         f"Content-Type: {r['content_type']}\r\nContent-Length: {len(raw)}\r\n\r\n"
                     )
                     member = gzip.compress(head.encode() + raw + b"\r\n\r\n", mtime=0)
@@ -151,6 +183,28 @@ def write_warc(derived: DataFrame, folder: str | None = None) -> DataFrame:
     return derived.mapInArrow(write, "file string, n_records bigint, n_bytes bigint").withColumn("folder", F.lit(folder))
 
 
+def read_warc(files: DataFrame) -> DataFrame:
+    """record_type, record_id, headers (a map) and block of every record in the files that ``write_warc`` told."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = [pa.string(), pa.string(), pa.map_(pa.string(), pa.string()), pa.string()]
+        for batch in batches:
+            for r in batch.to_pylist():
+                system, base = pafs.FileSystem.from_uri(r["folder"])
+                with system.open_input_file(f"{base}/{r['file']}") as raw, gzip.open(raw) as f:
+                    while line := f.readline():
+                        heads = {}
+                        while line := f.readline().rstrip(b"\r\n"):
+                            key, _, value = line.decode().partition(": ")
+                            heads[key] = value
+                        block = f.read(int(heads["Content-Length"])).decode()
+                        f.read(4)
+                        row = (heads["WARC-Type"], heads["WARC-Record-ID"], list(heads.items()), block)
+                        yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row, kinds)], ["record_type", "record_id", "headers", "block"])
+
+    return files.select("folder", "file").mapInArrow(read, "record_type string, record_id string, headers map<string,string>, block string")
+
+
 def records_of(pages: DataFrame, date: str = DATE) -> DataFrame:
     return derive(responses(pages, date))
 

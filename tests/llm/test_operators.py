@@ -45,8 +45,10 @@ def words(text):
 
 
 def test_quality_counts(spark, docs, none):
+    """The columns of documents pass through, whatever their names (docs has its own n_words)."""
     trusted = spark.createDataFrame([(3,), (100,)], "doc_id long")
-    rows = {r.doc_id: r for r in quality.judge(docs.drop("n_words"), trusted).collect()}
+    clash = docs.withColumns({c: F.lit(c) for c in ("kept", "text_", "words_", "verdict", "doc", "a.b")})
+    rows = {r.doc.doc_id: r for r in quality.judge(clash, trusted).collect()}
     for i, text, *_ in ROWS:
         w = words(text)
         seen = {}
@@ -54,12 +56,13 @@ def test_quality_counts(spark, docs, none):
             seen.setdefault(tuple(w[k : k + 8]), []).append(k)
         covered = {p for at in seen.values() if len(at) > 1 for k in at for p in range(k, k + 8)}
         lines = [x for x in (text or "").split("\n") if words(x)]
-        got = rows[i]
+        got = rows[i].verdict
         assert (got.n_words, got.word_chars, got.n_dup_lines, got.n_repeat_words) == (len(w), sum(map(len, w)), len(lines) - len(set(lines)), len(covered))
         assert got.n_symbols == len(re.findall(r"[#*$%&|<>]", text or ""))
         assert got.base_failed == (len(w) < 20 or 100 * len(covered) > 30 * len(w))
         assert not (got.kept and got.base_failed)
-    assert quality.judge(none.drop("n_words"), trusted).count() == 0
+        assert (rows[i].doc.n_words, rows[i].doc.kept, rows[i].doc["a.b"]) == (7, "kept", "a.b")
+    assert quality.judge(none, trusted).count() == 0
 
 
 def test_decontamination_matches_windows(spark, docs, none):
