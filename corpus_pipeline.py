@@ -18,9 +18,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """Documents that pass the base rules and the likelihood ratio, each row with a number of its own."""
     trusted = _table(spark, sf_dir, "labels").where("quality = 1")
     # written first: Spark would else compute the verdict's parts again for the filter
-    told = quality.judge(docs, trusted).select(*docs.columns, F.monotonically_increasing_id().alias(ROW_KEY), F.col("kept").alias("quality_kept_"))
-    judged = stage_table(told, "quality-judged")
-    return judged.where("quality_kept_").select(*docs.columns, ROW_KEY)
+    told = quality.judge(docs, trusted).select("doc", "verdict.kept", F.monotonically_increasing_id().alias(ROW_KEY))
+    return stage_table(told, "quality-judged").where("kept").select("doc.*", ROW_KEY)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
