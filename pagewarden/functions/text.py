@@ -221,3 +221,11 @@ def lookup(key: Column, entries: dict[str, str], default: str) -> Column:
     for name, value in entries.items():
         out = F.when(key == name, value) if out is None else out.when(key == name, value)
     return out.otherwise(default)
+
+
+def lookup_rank(key: Column, names: tuple[str, ...]) -> Column:
+    """The place of ``key`` among ``names``; null if it is none of them."""
+    out = None
+    for i, name in enumerate(names):
+        out = F.when(key == name, i) if out is None else out.when(key == name, i)
+    return out

@@ -79,9 +79,10 @@ def suspicious(text: Column) -> Column:
     return any_of(text, R.SUSPICIOUS)
 
 
-def injection_score(text: Column) -> Column:
-    """The stub classifier in closed form: sigma(7) if a trigger word is among the first 126 words, else sigma(-1)."""
-    words = F.slice(F.regexp_extract_all(F.lower(text), F.lit(f"({R.WORD_EDGE}[a-z]+{R.WORD_EDGE})"), F.lit(1)), 1, 126)
+def injection_score(text: Column, most: int | None = None) -> Column:
+    """The stub classifier in closed form: sigma(7) if a trigger word is among the words (the first ``most``), else sigma(-1)."""
+    words = F.regexp_extract_all(F.lower(text), F.lit(f"({R.WORD_EDGE}[a-z]+{R.WORD_EDGE})"), F.lit(1))
+    words = words if most is None else F.slice(words, 1, most)
     hit = F.arrays_overlap(words, F.array(*[F.lit(w) for w in R.TRIGGER_WORDS]))
     return F.when(F.coalesce(hit, F.lit(False)), X.sigmoid(F.lit(7.0))).otherwise(X.sigmoid(F.lit(-1.0)))
 

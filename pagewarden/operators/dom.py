@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions import rules as R
+
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 ELEMENTS = "page_id bigint, idx int, parent_idx int, depth int, tag string, attrs map<string,string>, own_text string, path array<int>, texts array<struct<at: int, text: string>>"
 
@@ -85,7 +87,7 @@ def hiding_technique(attrs: Column) -> Column:
         .when(_number(prop("opacity")) == 0, "opacity_zero")
         .when(F.try_element_at(attrs, F.lit("aria-hidden")) == "true", "aria_hidden")
         .when((_number(prop("width")) == 0) | (_number(prop("height")) == 0), "zero_size")
-        .when((_number(prop("left")) < -1000) | (_number(prop("top")) < -1000), "off_screen")
+        .when(prop("position").isin("absolute", "fixed") & ((_number(prop("left")) < -1000) | (_number(prop("top")) < -1000)), "offscreen")
         .when((prop("overflow") == "hidden") & ((_number(prop("width")) <= 1) | (_number(prop("height")) <= 1)), "overflow_hidden")
     )
 
@@ -121,19 +123,31 @@ def category(tag: Column, attrs: Column) -> Column:
     return F.when(~visible(attrs) & ~kind.isin("script", "style"), "hidden").otherwise(kind)
 
 
-def subtree_text(rows: DataFrame) -> DataFrame:
-    """page_id, idx and the text of an element with all its descendants, in document order."""
-    told = rows.where("own_text <> ''").select("page_id", "path", F.explode("texts").alias("t")).select("page_id", "t", F.explode("path").alias("ancestor"))
+def subtree_text(rows: DataFrame, of: DataFrame | None = None) -> DataFrame:
+    """page_id, idx and the text of an element with all its descendants, in document order; of all elements,
+    or of those in ``of`` (page_id, idx) alone, so that texts meet no other ancestors."""
+    told = rows.where("own_text <> ''").select("page_id", "path", F.explode("texts").alias("t"))
+    if of is None:
+        told = told.select("page_id", "t", F.explode("path").alias("ancestor"))
+    else:
+        wanted = of.groupBy("page_id").agg(F.collect_set("idx").alias("wanted_"))
+        told = told.join(wanted, "page_id").select("page_id", "t", F.explode(F.array_intersect("path", "wanted_")).alias("ancestor"))
     joined = F.array_join(F.transform(F.array_sort(F.collect_list("t")), lambda x: x["text"]), " ")
     return told.groupBy("page_id", F.col("ancestor").alias("idx")).agg(F.trim(F.regexp_replace(joined, r"\s+", " ")).alias("text"))
 
 
-def hidden_content(rows: DataFrame, limit: int = 500) -> DataFrame:
-    """Hidden elements that hold text: page_id, idx, selector, technique, text."""
+def cut(text: Column, limit: int | None) -> Column:
+    return text if limit is None else F.substring(text, 1, limit)
+
+
+def hidden_content(rows: DataFrame, limit: int | None = None) -> DataFrame:
+    """Hidden elements that hold text: page_id, idx, element, selector, technique, text (``limit`` characters)."""
     marked = rows.withColumn("technique", hiding_technique(F.col("attrs"))).where("technique IS NOT NULL")
-    ident = F.try_element_at("attrs", F.lit("id"))
-    selector = F.when(F.length(ident) > 0, F.concat(F.lit("#"), ident)).otherwise(F.col("tag"))
-    return marked.join(subtree_text(rows), ["page_id", "idx"]).where("text <> ''").select("page_id", "idx", selector.alias("selector"), "technique", F.substring("text", 1, limit).alias("text"))
+    ident, names = F.try_element_at("attrs", F.lit("id")), F.trim(F.coalesce(F.try_element_at("attrs", F.lit("class")), F.lit("")))
+    classes = F.when(names != "", F.concat(F.lit("."), F.regexp_replace(names, r"\s+", "."))).otherwise("")
+    selector = F.when(F.length(ident) > 0, F.concat(F.lit("#"), ident)).otherwise(F.concat("tag", classes))
+    told = subtree_text(rows, marked.select("page_id", "idx")).where("text <> ''")
+    return marked.join(told, ["page_id", "idx"]).select("page_id", "idx", F.col("tag").alias("element"), selector.alias("selector"), "technique", cut(F.col("text"), limit).alias("text"))
 
 
 def without_hidden(rows: DataFrame) -> DataFrame:
@@ -163,22 +177,65 @@ def interactive_index(rows: DataFrame) -> DataFrame:
     return rows.where(live & visible(F.col("attrs"))).select("page_id", "idx", "tag", F.row_number().over(W.partitionBy("page_id").orderBy("idx")).alias("n"))
 
 
-def find_elements(rows: DataFrame, tag: str | None = None, css_class: str | None = None, limit: int = 50) -> DataFrame:
+def find_elements(rows: DataFrame, tag: str | None = None, css_class: str | None = None, ident: str | None = None, attr: tuple[str, str | None] | None = None, limit: int | None = None) -> DataFrame:
+    """Elements by tag, class, id and attribute (name, value; None: any value), numbered by page."""
     out = rows
     if tag:
         out = out.where(F.col("tag") == tag)
     if css_class:
         out = out.where(F.array_contains(F.split(F.coalesce(F.try_element_at("attrs", F.lit("class")), F.lit("")), r"\s+"), css_class))
-    return out.withColumn("n", F.row_number().over(W.partitionBy("page_id").orderBy("idx"))).where(F.col("n") <= limit)
-
-
-def links(rows: DataFrame, limit: int = 20) -> DataFrame:
-    """The first ``limit`` links of a page, then those with text, 50 characters of it."""
+    if ident:
+        out = out.where(F.try_element_at("attrs", F.lit("id")) == ident)
+    if attr:
+        name, value = attr
+        out = out.where(F.map_contains_key("attrs", name) if value is None else F.try_element_at("attrs", F.lit(name)) == value)
+    out = out.withColumn("n", F.row_number().over(W.partitionBy("page_id").orderBy("idx")))
+    return out if limit is None else out.where(F.col("n") <= limit)
+
+
+def links(rows: DataFrame, limit: int | None = None, width: int | None = None) -> DataFrame:
+    """Links with text, in document order: page_id, n, href, text; ``limit`` counts links before those without text
+    drop out, ``width`` cuts texts."""
     first = find_elements(rows, "a", limit=limit)
-    return first.join(subtree_text(rows), ["page_id", "idx"]).where("text <> ''").select("page_id", "n", F.try_element_at("attrs", F.lit("href")).alias("href"), F.substring("text", 1, 50).alias("text"))
+    told = subtree_text(rows, first.select("page_id", "idx")).where("text <> ''")
+    return first.join(told, ["page_id", "idx"]).select("page_id", "n", F.try_element_at("attrs", F.lit("href")).alias("href"), cut(F.col("text"), width).alias("text"))
 
 
 def invisible_injections(hidden: DataFrame, injections: DataFrame) -> DataFrame:
     """Hidden rows that contain an injection of the same page."""
     found = injections.select(F.col("page_id").alias("p_"), "content")
     return hidden.join(found, (F.col("page_id") == F.col("p_")) & F.contains("text", F.col("content")), "left_semi")
+
+
+def short_selector() -> Column:
+    """tag#id, else tag and first class, else the tag."""
+    ident, names = F.coalesce(F.try_element_at("attrs", F.lit("id")), F.lit("")), F.trim(F.coalesce(F.try_element_at("attrs", F.lit("class")), F.lit("")))
+    return F.when(ident != "", F.concat("tag", F.lit("#"), ident)).when(names != "", F.concat("tag", F.lit("."), F.split(names, r"\s+")[0])).otherwise(F.col("tag"))
+
+
+def hidden_interactive(rows: DataFrame) -> DataFrame:
+    """Links, buttons and forms that are hidden or off the screen and have text or a target: page_id, idx, element,
+    selector, content."""
+    attr = lambda n: F.coalesce(F.try_element_at("attrs", F.lit(n)), F.lit(""))
+    style = F.regexp_replace(F.lower(attr("style")), r"\s+", "")
+    prop = lambda p: F.regexp_extract(style, f"(?:^|;){p}:([^;]*)", 1)
+    hidden = (prop("display") == "none") | (prop("visibility") == "hidden") | (prop("opacity") == "0") | (attr("aria-hidden") == "true") | F.map_contains_key("attrs", "hidden")
+    away = prop("position").isin("absolute", "fixed") & F.coalesce((_number(prop("left")) < -1000) | (_number(prop("top")) < -1000), F.lit(False))
+    tag = F.col("tag")
+    live = ((tag == "a") & F.map_contains_key("attrs", "href")) | (tag == "button") | ((tag == "input") & (F.lower(attr("type")) == "submit")) | ((tag == "form") & F.map_contains_key("attrs", "action"))
+    some = rows.where(live & (hidden | away))
+    told = some.join(subtree_text(rows, some.select("page_id", "idx")), ["page_id", "idx"], "left")
+    content = F.coalesce(F.nullif("text", F.lit("")), F.nullif(attr("href"), F.lit("")), F.nullif(attr("action"), F.lit("")))
+    return told.select("page_id", "idx", F.col("tag").alias("element"), short_selector().alias("selector"), content.alias("content")).where("content IS NOT NULL")
+
+
+def classification(rows: DataFrame) -> DataFrame:
+    """page_id, idx, tag, classification: suspicious, sensitive, safe or unclassified."""
+    attr = lambda n: F.lower(F.coalesce(F.try_element_at("attrs", F.lit(n)), F.lit("")))
+    unseen = rows.where(~visible(F.col("attrs")))
+    told = rows.join(subtree_text(rows, unseen.select("page_id", "idx")), ["page_id", "idx"], "left")
+    text = F.coalesce("text", F.lit(""))
+    asks = F.col("tag").isin("input", "textarea") & (attr("type").isin(*R.SENSITIVE_INPUT_TYPES) | attr("name").rlike(R.SENSITIVE_INPUT_NAMES) | attr("id").rlike(R.SENSITIVE_INPUT_NAMES))
+    hidden = F.when(text.rlike(R.SUSPICIOUS_HIDDEN) | (F.length(text) > 20), "suspicious").otherwise("unclassified")
+    seen = F.when(asks, "sensitive").when(F.col("tag").isin("iframe", "script"), "suspicious").otherwise("safe")
+    return told.select("page_id", "idx", "tag", F.when(visible(F.col("attrs")), seen).otherwise(hidden).alias("classification"))

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import rules as R
 from ..functions import text as X
 from ..functions.ordered import fold_by_key
+from .forms import field_selector
 
 
 def first_word(normal: Column, words: tuple[str, ...]) -> Column:
@@ -149,3 +151,57 @@ def suppress_boxes(boxes: DataFrame, least: float = 0.5) -> DataFrame:
     kind = dict(boxes.dtypes)
     out = fold_by_key(ordered, "image_id", ["place", "high", "low"], set, remove, f"image_id {kind['image_id']}, box_id {kind['box_id']}")
     return boxes.join(out, ["image_id", "box_id"], "left_anti")
+
+
+def _told(sentence: str, value: Column) -> Column:
+    before, _, after = sentence.partition("{}")
+    return F.concat(F.lit(before), value, F.lit(after)) if _ else F.lit(sentence)
+
+
+def cross_modal(shown: DataFrame, injections: DataFrame) -> DataFrame:
+    """page_id, confidence, word, matched (the page's first injection) of screens that show injection language on
+    pages with an injection."""
+    first = injections.groupBy("page_id").agg(F.min_by("content", F.struct("ord", "start")).alias("matched"))
+    word = first_word(X.normalize(F.col("text")), R.INJECTION_KEYWORDS)
+    seen = shown.where(F.trim("text") != "").select("page_id", X.correlation_confidence(F.lit(0.95), F.col("confidence"), F.lit(1.0)).alias("confidence"), word.alias("word"))
+    return seen.where("word IS NOT NULL").join(first, "page_id")
+
+
+def correlations(shown: DataFrame, rows: DataFrame, injections: DataFrame, hidden: DataFrame) -> DataFrame:
+    """page_id, type, severity, confidence, word, input_idx, element, selector, matched, explanation: requests that screens
+    (page_id, text, confidence) show, injections seen on both sides, and hidden text that they do not show."""
+    names = ["page_id", "type", "severity", "confidence", "word", "input_idx", "element", "selector", "matched", "explanation"]
+    attr = lambda n: F.nullif(F.try_element_at("attrs", F.lit(n)), F.lit(""))
+    fields = rows.where(F.col("tag").isin("input", "textarea", "select")).select(
+        "page_id", F.col("idx").alias("input_idx"), F.col("tag").alias("element"), field_selector().alias("selector"), F.coalesce(attr("name"), attr("placeholder"), attr("id"), F.lit("")).alias("matched")
+    )
+    asked = visual_requests(shown, inputs_of(rows)).join(fields, ["page_id", "input_idx"], "left")
+    said = None
+    for kind, (with_input, without) in R.REQUEST_SENTENCES.items():
+        one = F.when(F.col("input_idx").isNotNull(), _told(with_input, F.col("word"))).otherwise(_told(without, F.col("word")))
+        said = F.when(F.col("type") == kind, one) if said is None else said.when(F.col("type") == kind, one)
+    out = asked.withColumn("explanation", said).select(*names)
+    crossed = cross_modal(shown, injections).withColumns({"type": F.lit("CROSS_MODAL_INJECTION"), "severity": F.lit("critical"), "input_idx": F.lit(None).cast("int"), "element": F.lit("text"), "selector": F.lit("dom")})
+    out = out.unionByName(crossed.withColumn("explanation", said).select(*names))
+    unseen = hidden_mismatches(hidden, shown).join(hidden, ["page_id", "idx"])
+    told = F.when(F.col("severity") == "high", _told(R.HIDDEN_MISMATCH_SENTENCES["high"], F.col("technique"))).otherwise(_told(R.HIDDEN_MISMATCH_SENTENCES["low"], F.col("technique")))
+    unseen = unseen.withColumns({"type": F.lit("HIDDEN_CONTENT_MISMATCH"), "word": F.lit(None).cast("string"), "input_idx": F.col("idx").cast("int"), "matched": F.col("text"), "explanation": told})
+    return out.unionByName(unseen.select(*names))
+
+
+def page_text(boxes: DataFrame, most: int = 80, least: float = 4.0) -> DataFrame:
+    """Read text of each page: page_id, text (joined by spaces), confidence (mean, two places), n_blocks, from its first ``most``
+    boxes (page_id, ord, text, confidence, width, height), without those under ``least`` in size and blank ones."""
+    first = boxes.withColumn("n_", F.row_number().over(W.partitionBy("page_id").orderBy("ord"))).where(F.col("n_") <= most)
+    fine = (F.col("width") >= least) & (F.col("height") >= least) & (F.trim("text") != "")
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(fine, F.struct("ord", "text")))), lambda x: x["text"]), " ")
+    mean = F.floor(F.coalesce(F.avg(F.when(fine, F.col("confidence"))), F.lit(0.0)) * 100 + 0.5) / 100
+    return first.groupBy("page_id").agg(joined.alias("text"), mean.alias("confidence"), F.count_if(fine).alias("n_blocks"))
+
+
+def first_block(boxes: DataFrame, words: tuple[str, ...]) -> DataFrame:
+    """Of each page that shows one of ``words``, the first of them in their order, and the first box (ord) whose own text
+    holds it; null if it goes over more than one box."""
+    whole = page_text(boxes).select("page_id", first_word(X.normalize(F.col("text")), words).alias("word")).where("word IS NOT NULL")
+    held = F.when(F.contains(X.normalize(F.col("text")), F.col("word")), F.col("ord"))
+    return whole.join(boxes, "page_id").groupBy("page_id", "word").agg(F.min(held).alias("ord"))

@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 
 
-def strip_tags(html: Column, limit: int = 4000) -> Column:
+def strip_tags(html: Column, limit: int | None = None) -> Column:
+    """Text without tags, scripts and styles, in single spaces; ``limit`` characters of it, or all."""
     bare = F.regexp_replace(html, r"(?is)<(script|style)[^>]*>.*?</(script|style)>", " ")
-    return F.substring(F.trim(F.regexp_replace(F.regexp_replace(bare, r"<[^>]+>", " "), r"\s+", " ")), 1, limit)
+    whole = F.trim(F.regexp_replace(F.regexp_replace(bare, r"<[^>]+>", " "), r"\s+", " "))
+    return whole if limit is None else F.substring(whole, 1, limit)
 
 
 def strip_think(text: Column) -> Column:
@@ -27,9 +29,10 @@ def shorten_url(url: Column, keep: int = 25) -> Column:
     return F.when((at > 0) & (F.length(rest) > keep) & (F.length(short) < F.length(url)), short).otherwise(url)
 
 
-def search(texts: DataFrame, pattern: str, key: str = "doc_id", text: str = "text", context: int = 150, most: int = 25) -> DataFrame:
-    """The first ``most`` matches of each text with the characters around them."""
-    found = F.slice(X.find_all(F.coalesce(F.col(text), F.lit("")), pattern), 1, most)
+def search(texts: DataFrame, pattern: str, key: str = "doc_id", text: str = "text", context: int = 150, most: int | None = None) -> DataFrame:
+    """The first ``most`` matches of each text, or all, with the characters around them."""
+    found = X.find_all(F.coalesce(F.col(text), F.lit("")), pattern)
+    found = found if most is None else F.slice(found, 1, most)
     t = F.col(text)
     around = lambda m: F.substring(t, F.greatest(m["start"] - context, F.lit(0)) + 1, m["end"] + context - F.greatest(m["start"] - context, F.lit(0)))
     return texts.select(key, text, F.posexplode(found).alias("n", "m")).select(key, "n", F.col("m.value").alias("value"), F.col("m.start").alias("start"), around(F.col("m")).alias("context"))

@@ -152,7 +152,7 @@ def agent_text_flags(spark, d):
 _WORDS60 = ", ".join(f"'{w}'" for w in R.TRIGGER_WORDS)
 
 
-@query(f"SELECT conv_id, turn, round(CASE WHEN len(list_intersect(regexp_extract_all(lower(text), '\\b[a-z]+\\b')[1:126], [{_WORDS60}])) > 0 THEN 1 / (1 + exp(-7.0)) ELSE 1 / (1 + exp(1.0)) END, 6) AS p FROM conversations")
+@query(f"SELECT conv_id, turn, round(CASE WHEN len(list_intersect(regexp_extract_all(lower(text), '\\b[a-z]+\\b'), [{_WORDS60}])) > 0 THEN 1 / (1 + exp(-7.0)) ELSE 1 / (1 + exp(1.0)) END, 6) AS p FROM conversations")
 def injection_scores(spark, d):
     return talks(spark, d).select("conv_id", "turn", F.round(detect.injection_score(F.col("text")), 6).alias("p"))
 
@@ -204,7 +204,7 @@ def _contributions(spark, d):
 
 @query(_CONTRIB)
 def risk_contributions(spark, d):
-    return _contributions(spark, d)
+    return _contributions(spark, d).drop("place")
 
 
 @query(f"""WITH c AS ({_CONTRIB}), g AS (SELECT doc_id, max(score) FILTER (category = 'privacy') AS p, max(score) FILTER (category = 'injection') AS i, count(*) AS n, count(DISTINCT category) AS k FROM c GROUP BY 1),
@@ -214,7 +214,7 @@ SELECT doc_id, score, CASE WHEN score >= 75 THEN 'critical' WHEN score >= 50 THE
 CASE WHEN n = 0 THEN 1.0 ELSE round(CAST(0.5 AS DOUBLE) + CASE WHEN n >= 2 THEN 0.15 ELSE 0 END + CASE WHEN n >= 4 THEN 0.1 ELSE 0 END + CASE WHEN k > 1 THEN 0.1 ELSE 0 END, 2) END AS confidence,
 privacy, injection, CAST(0 AS BIGINT) AS deception, n AS n_contributions FROM s""")
 def risk_assessment(spark, d):
-    return risk.assess(docs(spark, d), _contributions(spark, d))
+    return risk.assess(docs(spark, d), _contributions(spark, d)).drop("n_privacy", "n_injection", "n_deception")
 
 
 @query()
@@ -222,11 +222,17 @@ def risk_explanations(spark, d):
     return risk.explanation(risk.assess(docs(spark, d), _contributions(spark, d)))
 
 
-@query(f"""SELECT doc_id, 'pii:' || category || ':' || value AS merge_key, 'privacy' AS category, CASE max({_RANK.format('risk')}) WHEN 4 THEN 'critical' WHEN 3 THEN 'high' WHEN 2 THEN 'medium' ELSE 'low' END AS severity, max(confidence) AS confidence, 'single' AS strength FROM ({sql_pii()}) GROUP BY doc_id, category, value
-UNION ALL SELECT doc_id, 'inj:' || type || ':' || left(content, 50), 'injection', CASE max({_RANK.format('severity')}) WHEN 4 THEN 'critical' WHEN 3 THEN 'high' WHEN 2 THEN 'medium' ELSE 'low' END, CAST(0.9 AS DOUBLE), 'single' FROM ({_INJ}) GROUP BY doc_id, type, left(content, 50)""")
+_LABEL = "CASE category " + " ".join(f"WHEN '{c}' THEN '{n}'" for c, n in R.FINDING_LABELS.items()) + " END"
+
+
+@query(f"""SELECT doc_id, 'unique:pii:' || category || ':' || value || ':' AS merge_key, {_LABEL} AS title, 'privacy' AS category, risk AS severity, confidence, 'SINGLE_SOURCE' AS strength,
+ detected_by || ' detected ' || category || ': "' || {_MASK} || '"' AS detail, {_LABEL} || ' detected in the page. ' || action AS description FROM ({_FIRST})
+UNION ALL SELECT doc_id, 'unique:injection:' || ord || ':' || start, 'Prompt Injection (' || type || ')', 'injection', severity, CAST(CASE severity WHEN 'critical' THEN 0.95 WHEN 'high' THEN 0.9 ELSE 0.8 END AS DOUBLE), 'SINGLE_SOURCE',
+ type || ' prompt injection: "' || left(content, 120) || '"', 'A ' || type || ' prompt injection was detected: "' || left(content, 80) || '"' FROM ({_INJ})""")
 def findings_merged(spark, d):
-    rows = risk.findings(_pii(spark, d), detect.injections(docs(spark, d)))
-    return risk.merge_findings(rows).select("doc_id", "merge_key", "category", "severity", "confidence", "strength")
+    rows = risk.findings(_once(spark, d), detect.injections(docs(spark, d)))
+    told = risk.merge_findings(rows).withColumn("detail", F.get("evidence", F.lit(0))["detail"])
+    return told.select("doc_id", "merge_key", "title", "category", "severity", "confidence", "strength", "detail", "description")
 
 
 # --- redaction -------------------------------------------------------------
@@ -344,7 +350,7 @@ def url_safety(spark, d):
 # --- texts and vectors -----------------------------------------------------
 
 
-@query("SELECT page_id, substr(trim(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<(script|style)[^>]*>.*?</(script|style)>', ' ', 'g'), '<[^>]+>', ' ', 'g'), '\\s+', ' ', 'g')), 1, 4000) AS text FROM pages")
+@query("SELECT page_id, (trim(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<(script|style)[^>]*>.*?</(script|style)>', ' ', 'g'), '<[^>]+>', ' ', 'g'), '\\s+', ' ', 'g'))) AS text FROM pages")
 def tag_stripped(spark, d):
     return table(spark, d, "pages").select("page_id", texts.strip_tags(F.col("html")).alias("text"))
 
@@ -355,7 +361,7 @@ def passage_split(spark, d):
 
 
 @query("""SELECT doc_id, CAST(n - 1 AS INTEGER) AS n, value, start, substr(before || value || after, greatest(start - 150, 0) + 1, start + length(value) + 150 - greatest(start - 150, 0)) AS context FROM (
-SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY start) AS n, substr(text, start + length(value) + 1) AS after FROM (""" + sql_matches(r"idiot|moron", "documents", "doc_id, text") + ")) WHERE n <= 25")
+SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY start) AS n, substr(text, start + length(value) + 1) AS after FROM (""" + sql_matches(r"idiot|moron", "documents", "doc_id, text") + "))")
 def search_in_texts(spark, d):
     return texts.search(docs(spark, d), r"idiot|moron")
 
