@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .rules import BLOCKED_SCHEMES, LEVELS, PLACEHOLDER_PREFIX, SEVERITY_WEIGHT, WORD_EDGE
+from .rules import BLOCKED_SCHEMES, DYNAMIC_CLASSES, LEVELS, PLACEHOLDER_PREFIX, SEVERITY_WEIGHT, STATIC_ATTRIBUTES, WORD_EDGE
 
 MATCH = "array<struct<value: string, start: int, end: int>>"
 
@@ -229,3 +229,26 @@ def lookup_rank(key: Column, names: tuple[str, ...]) -> Column:
     for i, name in enumerate(names):
         out = F.when(key == name, i) if out is None else out.when(key == name, i)
     return out
+
+
+def softmax2(first: Column, second: Column) -> Column:
+    """Probability of the second of two classes from their logits."""
+    top = F.greatest(first, second)
+    return F.exp(second - top) / (F.exp(first - top) + F.exp(second - top))
+
+
+def sample_hash(text: Column, width: int = 2000) -> Column:
+    """A 64-bit hash of a text's first and last ``width`` characters and its length."""
+    return F.xxhash64(F.left(text, F.lit(width)), F.right(text, F.lit(width)), F.length(text))
+
+
+def element_hash(path: Column, attrs: Column, ax_name: Column, stable: bool = False) -> Column:
+    """16 hex digits for an element by its tags from the root on, its static attributes in order of name and its accessible name;
+    ``stable`` leaves out class names that tell a passing state."""
+    known = F.map_filter(attrs, lambda k, _: k.isin(*STATIC_ATTRIBUTES))
+    if stable:
+        lasting = lambda v: F.array_join(F.array_sort(F.filter(F.split(v, r"\s+"), lambda c: ~F.lower(c).rlike("|".join(DYNAMIC_CLASSES)))), " ")
+        known = F.map_filter(F.transform_values(known, lambda k, v: F.when(k == "class", lasting(v)).otherwise(v)), lambda k, v: (k != "class") | (v != ""))
+    told = F.array_join(F.transform(F.array_sort(F.map_entries(known)), lambda e: F.concat(e["key"], F.lit("="), e["value"])), "")
+    name = F.when(F.coalesce(ax_name, F.lit("")) != "", F.concat(F.lit("|ax_name="), ax_name)).otherwise("")
+    return F.left(F.sha2(F.concat(F.array_join(path, "/"), F.lit("|"), told, name), 256), F.lit(16))

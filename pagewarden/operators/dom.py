@@ -239,3 +239,66 @@ def classification(rows: DataFrame) -> DataFrame:
     hidden = F.when(text.rlike(R.SUSPICIOUS_HIDDEN) | (F.length(text) > 20), "suspicious").otherwise("unclassified")
     seen = F.when(asks, "sensitive").when(F.col("tag").isin("iframe", "script"), "suspicious").otherwise("safe")
     return told.select("page_id", "idx", "tag", F.when(visible(F.col("attrs")), seen).otherwise(hidden).alias("classification"))
+
+
+def page_metadata(pages: DataFrame, rows: DataFrame) -> DataFrame:
+    """page_id, title, counts of elements by tag, text nodes, their characters (in the body), hidden elements, doctype and charset of each page."""
+    tag, attr = F.col("tag"), lambda n: F.coalesce(F.try_element_at("attrs", F.lit(n)), F.lit(""))
+    counts = {
+        "n_elements": F.lit(True), "n_scripts": tag == "script", "n_styles": (tag == "style") | ((tag == "link") & (attr("rel") == "stylesheet")), "n_forms": tag == "form", "n_inputs": tag.isin("input", "textarea", "select"),
+        "n_links": tag == "a", "n_images": tag == "img", "n_iframes": tag == "iframe", "n_hidden": hiding_technique(F.col("attrs")).isin("display_none", "visibility_hidden", "opacity_zero", "aria_hidden") | F.map_contains_key("attrs", "hidden"),
+    }
+    one = rows.groupBy("page_id").agg(*[F.count_if(c).alias(n) for n, c in counts.items()], F.min(F.when(tag == "body", F.col("idx"))).alias("body_"), F.min_by(F.trim(F.regexp_replace("own_text", r"\s+", " ")), F.when(tag == "title", F.col("idx"))).alias("title_"), F.max(F.when(tag == "meta", F.nullif(attr("charset"), F.lit("")))).alias("charset"))
+    inside = rows.join(one.select("page_id", "body_"), "page_id").where(F.col("body_").isNull() | F.array_contains("path", F.col("body_")))
+    texts = inside.select("page_id", F.explode("texts").alias("t")).groupBy("page_id").agg(F.count(F.lit(1)).alias("n_texts"), F.sum(F.length("t.text")).alias("n_chars"))
+    kind = F.nullif(F.regexp_extract("html", r"(?i)<!doctype\s+([a-z0-9]+)", 1), F.lit(""))
+    named = pages.select("page_id", F.when(kind.isNotNull(), F.concat(F.lit("<!DOCTYPE "), F.lower(kind), F.lit(">"))).alias("doctype"))
+    zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
+    told = named.join(one, "page_id", "left").join(texts, "page_id", "left")
+    return told.select("page_id", F.coalesce(F.nullif("title_", F.lit("")), F.lit("(untitled)")).alias("title"), *[zero(c) for c in (*counts, "n_texts", "n_chars")], "doctype", "charset")
+
+
+def node_outline(rows: DataFrame, depth: int = 4, most: int = 30, width: int = 60) -> DataFrame:
+    """page_id, idx, parent_idx, depth, tag, attrs (cut at ``width``), n_children, n_chars (of the whole subtree), hidden: the elements less than ``depth`` deep,
+    ``most`` children each."""
+    nth = F.row_number().over(W.partitionBy("page_id", "parent_idx").orderBy("idx"))
+    kids = rows.where("parent_idx IS NOT NULL").groupBy("page_id", F.col("parent_idx").alias("idx")).agg(F.count(F.lit(1)).alias("n_children"))
+    kept = rows.withColumn("nth_", nth).where((F.col("depth") < depth) & (F.col("parent_idx").isNull() | (F.col("nth_") <= most)))
+    # the number of characters alone goes up to the few ancestors that are shown
+    chars = rows.where("own_text <> ''").select("page_id", F.length("own_text").alias("n_"), F.explode(F.slice("path", 1, depth)).alias("idx")).groupBy("page_id", "idx").agg(F.sum("n_").alias("n_chars"))
+    shown = F.transform_values("attrs", lambda k, v: F.when(F.length(v) > width, F.concat(F.substring(v, 1, width), F.lit("..."))).otherwise(v))
+    zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
+    return kept.join(kids, ["page_id", "idx"], "left").join(chars, ["page_id", "idx"], "left").select(
+        "page_id", "idx", "parent_idx", "depth", "tag", shown.alias("attrs"), zero("n_children"), zero("n_chars"), (~visible(F.col("attrs"))).alias("hidden")
+    )
+
+
+def extract_text(rows: DataFrame, tag: str = "body", limit: int | None = None) -> DataFrame:
+    """page_id, text of each page's first element of a tag; cut at ``limit`` characters and marked."""
+    first = rows.where(F.col("tag") == tag).groupBy("page_id").agg(F.min("idx").alias("idx"))
+    told = subtree_text(rows, first).join(first, ["page_id", "idx"])
+    text = F.col("text")
+    return told.select("page_id", (text if limit is None else F.when(F.length(text) > limit, F.concat(F.substring(text, 1, limit), F.lit("[...truncated]"))).otherwise(text)).alias("text"))
+
+
+def page_statistics(rows: DataFrame) -> DataFrame:
+    """links, iframes, images, interactive, total and text_chars of each page."""
+    live = F.col("tag").isin("a", "button", "input", "select", "textarea") | F.map_contains_key("attrs", "onclick")
+    of = lambda t: F.count_if(F.col("tag") == t)
+    return rows.groupBy("page_id").agg(of("a").alias("links"), of("iframe").alias("iframes"), of("img").alias("images"), F.count_if(live).alias("interactive"), F.count(F.lit(1)).alias("total"), F.sum(F.length(F.trim("own_text"))).alias("text_chars"))
+
+
+def buttons(rows: DataFrame) -> DataFrame:
+    """page_id, idx, text of buttons, submit inputs and elements in the role of a button."""
+    attr = lambda n: F.coalesce(F.try_element_at("attrs", F.lit(n)), F.lit(""))
+    some = rows.where((F.col("tag") == "button") | ((F.col("tag") == "input") & (F.lower(attr("type")) == "submit")) | (attr("role") == "button"))
+    told = some.join(subtree_text(rows, some.select("page_id", "idx")), ["page_id", "idx"], "left")
+    return told.select("page_id", "idx", F.coalesce(F.nullif("text", F.lit("")), attr("value")).alias("text"))
+
+
+def form_inputs(rows: DataFrame) -> DataFrame:
+    """page_id, form_idx, action, method, n_inputs of every form."""
+    attr = lambda n: F.coalesce(F.try_element_at("attrs", F.lit(n)), F.lit(""))
+    held = rows.where(F.col("tag").isin("input", "textarea", "select")).select("page_id", F.explode("path").alias("idx")).groupBy("page_id", "idx").agg(F.count(F.lit(1)).alias("n_"))
+    every = rows.where("tag = 'form'").select("page_id", "idx", attr("action").alias("action"), F.lower(F.coalesce(F.nullif(attr("method"), F.lit("")), F.lit("get"))).alias("method"))
+    return every.join(held, ["page_id", "idx"], "left").select("page_id", F.col("idx").alias("form_idx"), "action", "method", F.coalesce("n_", F.lit(0)).cast("long").alias("n_inputs"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions import rules as R
 from ..functions import text as X
 
 
@@ -49,8 +50,34 @@ def leaks(outgoing: DataFrame, marks: DataFrame, key: str = "doc_id", text: str
     return outgoing.join(marks, key).where((F.length("value") >= 4) & ~F.col("value").startswith("[") & F.contains(F.col(text), F.col("value"))).select(key, "value")
 
 
-def mask_known_secrets(texts: DataFrame, secrets: DataFrame, text: str = "text") -> DataFrame:
-    """Replaces stored values (name, value; a table of bounded size, checked by Spark) by <secret>name</secret>."""
-    held = secrets.agg(F.array_sort(F.collect_list(F.struct((-F.length("value")).alias("n"), "value", "name"))).alias("held_"))
-    folded = F.aggregate("held_", F.col(text), lambda t, s: F.replace(t, s["value"], F.concat(F.lit("<secret>"), s["name"], F.lit("</secret>"))))
-    return texts.crossJoin(F.broadcast(held)).withColumn(text, folded).drop("held_")  # one row
+def forbidden_keys(requests: DataFrame, column: str = "request", keys: tuple[str, ...] = R.FORBIDDEN_KEYS) -> DataFrame:
+    """Requests (JSON texts) that hold a key which must not go out, and the key: all columns and key."""
+    low = F.lower(column)
+    hits = F.array_compact(F.array(*[F.when(F.contains(low, F.lit(f'"{k.lower()}":')), F.lit(k)) for k in keys]))
+    return requests.withColumn("key", F.explode(hits))
+
+
+def mask_known_secrets(texts: DataFrame, secrets: DataFrame, text: str = "text", most: int = 10_000) -> DataFrame:
+    """Replaces stored values (name, value) by <secret>name</secret>, longest values first; also in nested values that
+    are told as JSON. The values are folded into each text, so more than ``most`` of them are an error."""
+    held = secrets.where(F.length("value") > 0).select("name", "value").distinct().limit(most + 1).collect()
+    if len(held) > most:
+        raise ValueError(f"more than {most} secrets: match them by a join on words instead")
+    masked = F.col(text)
+    for r in sorted(held, key=lambda r: (-len(r.value), r.value, r.name)):
+        masked = F.replace(masked, F.lit(r.value), F.lit(f"<secret>{r.name}</secret>"))
+    return texts.withColumn(text, masked)
+
+
+def mask_nested(rows: DataFrame, secrets: DataFrame, column: str) -> DataFrame:
+    """The same through all texts of a nested column; its type stays."""
+    kind = rows.schema[column].dataType.simpleString()
+    masked = mask_known_secrets(rows.withColumn("json_", F.to_json(column)), secrets, "json_")
+    return masked.withColumn(column, F.from_json("json_", kind)).drop("json_")
+
+
+def changes(marks: DataFrame, injections: DataFrame, key: str = "doc_id", width: int = 60) -> DataFrame:
+    """key, type, original, replacement, category: what a stored record tells of its redactions and blocked injections."""
+    a = marks.select(key, F.lit("redaction").alias("type"), F.substring("value", 1, width).alias("original"), F.col("placeholder").alias("replacement"), "category")
+    b = injections.select(key, F.lit("injection-bound"), F.substring("content", 1, width), F.concat(F.lit("[UNTRUSTED CONTENT BLOCKED — "), F.upper("severity"), F.lit("]")), F.col("type"))
+    return a.union(b)

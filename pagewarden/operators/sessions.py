@@ -6,12 +6,25 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions import rules as R
+
 
 def action_hash(name: Column, params: Column) -> Column:
-    """First 12 hex digits of the SHA-256 of an action in normal form: search tokens sorted and distinct."""
-    tokens = F.array_join(F.array_sort(F.array_distinct(F.split(F.trim(F.lower(params)), r"\s+"))), " ")
-    body = F.when(name == "search", tokens).when(name == "input", F.lower(params)).otherwise(params)
-    return F.left(F.sha2(F.concat_ws("|", name, body), 256), F.lit(12))
+    """First 12 hex digits of the SHA-256 of an action (params: a map) in normal form: a search by its sorted distinct words, clicks and
+    inputs by the element's index, inputs by their text too, navigation by its URL, scrolling by direction and index, others by all
+    parameters in order of their names."""
+    p = lambda key, default="": F.coalesce(F.try_element_at(params, F.lit(key)), F.lit(default))
+    words = F.array_sort(F.array_distinct(F.filter(F.split(F.regexp_replace(F.lower(p("query")), r"[^A-Za-z0-9_\s]", " "), r"\s+"), lambda w: w != "")))
+    known = F.array_sort(F.filter(F.map_entries(params), lambda e: e["value"].isNotNull()))
+    body = (
+        F.when(name == "search", F.concat_ws("|", F.lit("search"), p("engine", "google"), F.array_join(words, "|")))
+        .when(name == "input", F.concat_ws("|", F.lit("input"), p("index", "None"), F.lower(F.trim(p("text")))))
+        .when(name == "click", F.concat_ws("|", F.lit("click"), p("index", "None")))
+        .when(name == "navigate", F.concat_ws("|", F.lit("navigate"), p("url")))
+        .when(name == "scroll", F.concat_ws("|", F.lit("scroll"), F.when(p("down", "true") == "true", "down").otherwise("up"), p("index", "None")))
+        .otherwise(F.concat_ws("|", name, F.array_join(F.transform(known, lambda e: F.concat_ws("=", e["key"], e["value"])), ",")))
+    )
+    return F.left(F.sha2(body, 256), F.lit(12))
 
 
 def page_fingerprint(url: Column, count: Column, text: Column) -> Column:
@@ -81,7 +94,7 @@ def action_names(steps: DataFrame) -> DataFrame:
 
 def replay_decision(steps: DataFrame, skip_failures: bool = True, longest: float = 45.0, default: float = 2.0) -> DataFrame:
     why = F.when(F.col("action").isNull(), "no action").when(F.lit(skip_failures) & ~F.col("ok"), "skipped: original error").when(F.col("redundant"), "redundant retry").otherwise("replay")
-    return steps.select("session", "step", why.alias("decision"), F.coalesce(F.least(F.col("interval"), F.lit(longest)), F.lit(default)).alias("delay"))
+    return steps.select("session", "step", why.alias("decision"), F.when(F.col("interval").isNull(), default).otherwise(F.least("interval", F.lit(longest))).alias("delay"))
 
 
 def plan_states(items: DataFrame, updates: DataFrame) -> DataFrame:
@@ -99,12 +112,137 @@ def plan_states(items: DataFrame, updates: DataFrame) -> DataFrame:
 
 
 def refind_elements(recorded: DataFrame, current: DataFrame) -> DataFrame:
-    """Recorded elements in a new page state: exact hash, stable hash, xpath, then tag and name; the first level wins."""
+    """elem, level, new_idx of recorded elements (elem, frame, hash, stable_hash, xpath, tag, ax_name, attrs) in a new page state (idx and the
+    same columns): exact hash, stable hash, xpath, tag and accessible name, then tag and name, id or aria-label. The first level wins, in it
+    the same frame, then the lowest index. Each level is an equal join."""
+    named = lambda df: df.withColumns({f"{n}_": F.nullif(F.try_element_at("attrs", F.lit(k)), F.lit("")) for n, k in (("name", "name"), ("id", "id"), ("label", "aria-label"))})
+    old, new = named(recorded), named(current)
     found = None
-    for level, keys in enumerate((["hash"], ["stable_hash"], ["xpath"], ["tag", "ax_name"])):
-        own = current.select(*keys, F.col("idx").alias("new_idx"))
-        some = recorded.dropna(subset=keys).join(own.dropna(subset=keys), keys).select("elem", F.lit(level).alias("level"), "new_idx")
+    for level, keys in enumerate((["hash"], ["stable_hash"], ["xpath"], ["tag", "ax_name"], ["tag", "name_"], ["tag", "id_"], ["tag", "label_"])):
+        own = new.select(*keys, F.col("idx").alias("new_idx"), F.col("frame").alias("frame2"))
+        here = F.coalesce((F.col("frame") == F.col("frame2")).cast("int"), F.lit(0))
+        some = old.dropna(subset=keys).join(own.dropna(subset=keys), keys).select("elem", F.lit(min(level, 4)).alias("level"), F.lit(level).alias("try_"), (-here).alias("frame_"), "new_idx")
         found = some if found is None else found.unionByName(some)
-    best = W.partitionBy("elem").orderBy("level", "new_idx")
-    hit = found.withColumn("n_", F.row_number().over(best)).where("n_ = 1").drop("n_")
-    return recorded.select("elem").join(hit, "elem", "left")
+    best = found.groupBy("elem").agg(F.min(F.struct("try_", "frame_", "new_idx", "level")).alias("b")).select("elem", "b.level", "b.new_idx")
+    return recorded.select("elem").join(best, "elem", "left")
+
+
+def durations(steps: DataFrame) -> DataFrame:
+    """session, seconds (sum of ended - started), n_steps, errors (the first error of each step, in order of steps, '' for none)."""
+    span = F.unix_micros(F.col("ended").cast("timestamp")) - F.unix_micros(F.col("started").cast("timestamp"))
+    told = F.array_sort(F.collect_list(F.struct("step", F.coalesce(F.get("errors", F.lit(0)), F.lit("")).alias("error"))))
+    return steps.groupBy("session").agg((F.sum(span) / 1_000_000).alias("seconds"), F.count(F.lit(1)).alias("n_steps"), F.transform(told, lambda x: x["error"]).alias("errors"))
+
+
+def last_facts(steps: DataFrame) -> DataFrame:
+    """session, final_result, is_done, successful (null unless done), is_judged, is_validated (null unless judged), last_action of a session's
+    last step (step, action, extracted, done, success, verdict)."""
+    last = steps.groupBy("session").agg(F.max_by(F.struct("action", "extracted", "done", "success", "verdict"), "step").alias("l"))
+    done = F.coalesce("l.done", F.lit(False))
+    return last.select(
+        "session", F.nullif("l.extracted", F.lit("")).alias("final_result"), done.alias("is_done"), F.when(done, F.col("l.success")).alias("successful"),
+        F.col("l.verdict").isNotNull().alias("is_judged"), F.col("l.verdict").alias("is_validated"), F.col("l.action").alias("last_action"),
+    )
+
+
+def in_order(value: Column | str, step: str = "step", where: Column | None = None) -> Column:
+    """Aggregate: the values of a session's steps in order; only those of steps that ``where`` tells."""
+    pair = F.struct(F.col(step).alias("at"), (F.col(value) if isinstance(value, str) else value).alias("v"))
+    return F.transform(F.array_sort(F.collect_list(pair if where is None else F.when(where, pair))), lambda x: x["v"])
+
+
+def session_lists(steps: DataFrame, include: tuple[str, ...] = ()) -> DataFrame:
+    """session, urls, extracted (contents that are not empty), actions (of the names in ``include``), each in order of the steps."""
+    return steps.groupBy("session").agg(
+        in_order("url").alias("urls"), in_order("extracted", where=F.coalesce("extracted", F.lit("")) != "").alias("extracted"), in_order("action", where=F.col("action").isin(*include)).alias("actions")
+    )
+
+
+def step_reviews(steps: DataFrame) -> DataFrame:
+    """session, step, review: the numbered step's actions as JSON, then its results and errors (arrays of struct<content, error>)."""
+    n = F.row_number().over(W.partitionBy("session").orderBy("step"))
+    line = lambda kind, i, text: F.when(F.coalesce(text, F.lit("")) != "", F.concat(F.lit(f"{kind} "), (i + 1).cast("string"), F.lit(": "), text, F.lit("\n"))).otherwise("")
+    told = F.array_join(F.transform("results", lambda r, i: F.concat(line("Result", i, r["content"]), line("Error", i, r["error"]))), "")
+    acts = F.when(F.size("actions") > 0, F.concat(F.lit("Actions: "), F.to_json("actions"), F.lit("\n"))).otherwise("")
+    return steps.select("session", "step", F.concat(F.lit("Step "), n.cast("string"), F.lit(":\n"), acts, told).alias("review"))
+
+
+def action_histories(steps: DataFrame) -> DataFrame:
+    """session, step, nth, action, element, memory: actions, elements and memories (arrays) of a step side by side, as many as the shortest
+    has; without elements all actions go on with none."""
+    n = F.least(F.size("actions"), F.coalesce(F.nullif(F.size("elements"), F.lit(0)), F.size("actions")), F.size("memories"))
+    at = lambda c: F.get(c, F.col("nth"))
+    each = steps.where(n > 0).select("*", F.explode(F.sequence(F.lit(0), n - 1)).alias("nth"))
+    return each.select("session", "step", "nth", at("actions").alias("action"), at("elements").alias("element"), F.nullif(at("memories"), F.lit("")).alias("memory"))
+
+
+def interacted_elements(steps: DataFrame, elements: DataFrame) -> DataFrame:
+    """session, step, index and the element (session, step, index, element) that it stands for in that step; null if none does."""
+    return steps.select("session", "step", "index").join(elements, ["session", "step", "index"], "left")
+
+
+def expected_elements(steps: DataFrame, most: int = 50) -> DataFrame:
+    """session, step, expected: the highest index of the step's actions (array) and one, ``most`` at most; 0 without one."""
+    return steps.select("session", "step", F.least(F.coalesce(F.array_max("indexes") + 1, F.lit(0)), F.lit(most)).alias("expected"))
+
+
+def last_screenshots(steps: DataFrame, n_last: int, with_nulls: bool = True) -> DataFrame:
+    """session, step, path of the last ``n_last`` steps; steps without a path drop out afterwards, if at all."""
+    last = steps.withColumn("n_", F.row_number().over(W.partitionBy("session").orderBy(F.desc("step")))).where(F.col("n_") <= n_last)
+    return (last if with_nulls else last.where("path IS NOT NULL")).select("session", "step", "path")
+
+
+def planning_flags(steps: DataFrame, replan_at: int = 3, explore_at: int = 5, budget: float = 0.75) -> DataFrame:
+    """session, step, streak, replan, explore, over_budget. A step with one result that is an error (n_results, ok) adds to the streak, any other
+    ends it. ``planned`` tells of a plan, ``max_steps`` the session's budget (0: none)."""
+    failed = ~F.col("ok") & (F.col("n_results") == 1)
+    streaks = failure_streaks(steps.withColumn("ok", ~failed), replan_at).select("session", "step", "streak")
+    n = F.row_number().over(W.partitionBy("session").orderBy("step"))
+    used = steps.select("session", "step", "planned", "max_steps", n.alias("n_")).join(streaks, ["session", "step"])
+    near = (F.col("max_steps") > 0) & (F.col("n_") / F.col("max_steps") >= budget) & (F.col("n_") < F.col("max_steps"))
+    return used.select("session", "step", "streak", (F.col("planned") & (F.col("streak") >= replan_at)).alias("replan"), (~F.col("planned") & (F.col("n_") >= explore_at)).alias("explore"), near.alias("over_budget"))
+
+
+def compaction(steps: DataFrame, chars: int = 40_000, every: int = 25) -> DataFrame:
+    """session, step, compact: where the text so far passes another multiple of ``chars``, or ``every`` steps are full."""
+    along = W.partitionBy("session").orderBy("step").rowsBetween(W.unboundedPreceding, 0)
+    told = steps.select("session", "step", F.sum(F.length("text")).over(along).alias("n_"), F.coalesce(F.length("text"), F.lit(0)).alias("own_"), F.row_number().over(W.partitionBy("session").orderBy("step")).alias("k_"))
+    passes = F.floor(F.coalesce("n_", F.lit(0)) / chars) > F.floor((F.coalesce("n_", F.lit(0)) - F.col("own_")) / chars)
+    return told.select("session", "step", (passes | (F.col("k_") % every == 0)).alias("compact"))
+
+
+def history_line() -> Column:
+    """A step as text (step_number, error, system_message, evaluation, memory, next_goal, results)."""
+    full = lambda c: F.nullif(c, F.lit(""))
+    tag = F.when(F.col("step_number").isNotNull(), "<step>\n").otherwise("<step_unknown>\n")
+    parts = F.concat_ws("\n", *[full(c) for c in ("evaluation", "memory", "next_goal", "results")])
+    return F.when(full("error").isNotNull(), F.concat(tag, "error")).when(full("system_message").isNotNull(), F.col("system_message")).otherwise(F.concat(tag, parts))
+
+
+def substitute_variables(actions: DataFrame, values: DataFrame, keys: list[str]) -> DataFrame:
+    """``actions`` (keys, params: a map) whose parameter values that equal an old value (old, new) are the new one."""
+    each = actions.select(*keys, F.explode_outer("params").alias("name", "value"))
+    swapped = each.join(values.select(F.col("old").alias("value"), "new"), "value", "left").select(*keys, "name", F.coalesce("new", "value").alias("value"))
+    whole = swapped.groupBy(*keys).agg(F.map_from_entries(F.array_sort(F.collect_list(F.when(F.col("name").isNotNull(), F.struct("name", "value"))))).alias("params"))
+    return whole
+
+
+def new_elements(states: DataFrame) -> DataFrame:
+    """session, state, node of nodes that the session's state before (number - 1) does not hold; those of the first are not new."""
+    before = states.select("session", (F.col("state") + 1).alias("state"), "node")
+    first = states.groupBy("session").agg(F.min("state").alias("first_"))
+    return states.join(before, ["session", "state", "node"], "left_anti").join(first, "session").where("state > first_").drop("first_")
+
+
+def state_diff(before: DataFrame, after: DataFrame, keys: list[str], place: list[str]) -> DataFrame:
+    """keys and change (appeared, disappeared, moved) of elements that two states hold in other places or only one of them holds."""
+    a = before.select(*keys, F.struct(*place).alias("was_"))
+    b = after.select(*keys, F.struct(*place).alias("is_"))
+    change = F.when(F.col("was_").isNull(), "appeared").when(F.col("is_").isNull(), "disappeared").when(F.col("was_") != F.col("is_"), "moved")
+    return a.join(b, keys, "full_outer").select(*keys, change.alias("change")).where("change IS NOT NULL")
+
+
+def current_tab(tabs: DataFrame, pages: DataFrame) -> DataFrame:
+    """session, step, tab: the tab with the page's URL and title, if there is exactly one."""
+    met = tabs.join(pages.select("session", "step", "url", "title"), ["session", "step", "url", "title"])
+    return met.groupBy("session", "step").agg(F.count(F.lit(1)).alias("n_"), F.min("tab").alias("tab")).where("n_ = 1").drop("n_")

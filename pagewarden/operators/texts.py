@@ -29,6 +29,17 @@ def shorten_url(url: Column, keep: int = 25) -> Column:
     return F.when((at > 0) & (F.length(rest) > keep) & (F.length(short) < F.length(url)), short).otherwise(url)
 
 
+def url_map(urls: DataFrame, column: str = "url") -> DataFrame:
+    """short, original of every URL that is shortened, each once."""
+    pairs = urls.select(shorten_url(F.col(column)).alias("short"), F.col(column).alias("original")).where("short <> original")
+    return pairs.groupBy("short").agg(F.min("original").alias("original"))
+
+
+def restore_urls(rows: DataFrame, known: DataFrame, column: str) -> DataFrame:
+    """``rows`` with ``restored``: the original of a shortened URL in ``column``, or else the value itself."""
+    return rows.join(known.select(F.col("short").alias(column), F.col("original").alias("o_")), column, "left").withColumn("restored", F.coalesce("o_", column)).drop("o_")
+
+
 def search(texts: DataFrame, pattern: str, key: str = "doc_id", text: str = "text", context: int = 150, most: int | None = None) -> DataFrame:
     """The first ``most`` matches of each text, or all, with the characters around them."""
     found = X.find_all(F.coalesce(F.col(text), F.lit("")), pattern)

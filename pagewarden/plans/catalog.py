@@ -217,7 +217,18 @@ def risk_assessment(spark, d):
     return risk.assess(docs(spark, d), _contributions(spark, d)).drop("n_privacy", "n_injection", "n_deception")
 
 
-@query()
+def _sql_part(kind: str, n: str) -> str:
+    level = "CASE WHEN {0} >= 75 THEN 'critical' WHEN {0} >= 50 THEN 'high' WHEN {0} >= 25 THEN 'medium' ELSE 'low' END".format(kind)
+    return f"CASE WHEN {kind} > 0 THEN '{kind.capitalize()} risk is ' || {level} || ' — ' || {n} || ' finding' || CASE WHEN {n} > 1 THEN 's' ELSE '' END || ' detected.' END"
+
+
+_ADVISED = "concat_ws(' ', " + ", ".join(f"CASE WHEN {c} >= 25 THEN '{_q(t)}' END" for c, t in (("privacy", R.PRIVACY_ACTION), ("injection", R.INJECTION_ACTION))) + ")"
+
+
+@query(f"""WITH k AS (SELECT doc_id, count(*) FILTER (category = 'privacy') AS n_p, count(*) FILTER (category = 'injection') AS n_i FROM ({_CONTRIB}) GROUP BY 1)
+SELECT doc_id, CASE WHEN n_contributions = 0 THEN '{R.NO_THREATS}' ELSE concat_ws(' ', 'Overall risk: ' || upper(level) || ' (score ' || score || '/100).', {_sql_part('privacy', 'n_p')}, {_sql_part('injection', 'n_i')}) END AS explanation,
+ CASE level WHEN 'none' THEN '{R.NO_ACTION}' WHEN 'low' THEN '{R.LOW_ACTION}' WHEN 'medium' THEN '{R.LEVEL_ACTION["medium"]} ' || {_ADVISED} WHEN 'high' THEN '{R.LEVEL_ACTION["high"]} ' || {_ADVISED} ELSE '{R.LEVEL_ACTION["critical"]} ' || {_ADVISED} END AS recommendation
+FROM ({ORACLES['risk_assessment']}) LEFT JOIN k USING (doc_id)""")
 def risk_explanations(spark, d):
     return risk.explanation(risk.assess(docs(spark, d), _contributions(spark, d)))
 
@@ -258,12 +269,17 @@ def redaction_stats(spark, d):
     return redact.redaction_stats(_marks(spark, d))
 
 
-@query()
+_PAIRS = f"(SELECT doc_id, list(struct_pack(v := value, p := placeholder) ORDER BY length(value) DESC, value) AS l FROM ({_MARKS}) GROUP BY 1)"
+_FOLD = "list_reduce(list_concat([t], list_transform(l, lambda x: x.v || chr(1) || x.p)), lambda a, x: replace(a, split_part(x, chr(1), 1), split_part(x, chr(1), 2)))"
+_REDACTED = f"SELECT doc_id, CASE WHEN l IS NULL THEN t ELSE {_FOLD} END AS redacted, CAST(coalesce(len(l), 0) AS INTEGER) AS n_values FROM (SELECT doc_id, text AS t, l FROM documents LEFT JOIN {_PAIRS} USING (doc_id))"
+
+
+@query(_REDACTED)
 def redacted_texts(spark, d):
     return redact.redact_texts(docs(spark, d), _marks(spark, d))
 
 
-@query("SELECT doc_id, text AS value FROM documents WHERE false")
+@query(f"SELECT doc_id, value FROM ({_MARKS}) JOIN ({_REDACTED}) USING (doc_id) WHERE length(value) >= 4 AND NOT starts_with(value, '[') AND contains(redacted, value)")
 def leak_check(spark, d):
     marks = _marks(spark, d)
     return redact.leaks(redact.redact_texts(docs(spark, d), marks), marks)
@@ -366,7 +382,13 @@ def search_in_texts(spark, d):
     return texts.search(docs(spark, d), r"idiot|moron")
 
 
-@query("SELECT page_id, url AS short FROM pages")
+def sql_short(url: str) -> str:
+    base = f"regexp_extract({url}, '^[^?#]*')"
+    after = f"substr({url}, length({base}) + 1)"
+    return f"CASE WHEN length({after}) > 35 THEN {base} || left({after}, 25) || '...' || left(md5({after}), 7) ELSE {url} END"
+
+
+@query(f"SELECT page_id, {sql_short('url')} AS short FROM pages")
 def url_shorten(spark, d):
     return table(spark, d, "pages").select("page_id", texts.shorten_url(F.col("url")).alias("short"))
 

@@ -94,3 +94,51 @@ def scan_view(scans: DataFrame) -> DataFrame:
     level = F.when(s >= 80, "critical").when(s >= 60, "high").when(s >= 30, "medium").when(s > 0, "low").otherwise("none")
     status = F.when(F.col("level") == "critical", "critical").when(F.col("level") == "none", "clean").otherwise("warning")
     return scans.select("id", site.alias("website"), F.upper(F.left(site, F.lit(1))).alias("initial"), level.alias("injection_level"), status.alias("status"))
+
+
+def one_scan(scans: DataFrame, ident, key: str = "id") -> DataFrame:
+    return scans.where(F.col(key) == F.lit(ident))
+
+
+def delete_scans(scans: DataFrame, ids: DataFrame, key: str = "id") -> DataFrame:
+    """Each id that was asked for, and whether a scan of it was there to remove; ``without`` gives what stays."""
+    return ids.select(key).distinct().join(scans.select(key).distinct().withColumn("there_", F.lit(True)), key, "left").select(key, F.coalesce("there_", F.lit(False)).alias("removed"))
+
+
+def trim_records(scans: DataFrame, text: int = 10_000, blocks: int = 50, detail: int = 2_000, size: int = 50_000, short_text: int = 2_000, few_blocks: int = 10, few: int = 5) -> DataFrame:
+    """Records as they are stored (id, ocr_text, ocr_blocks, details: arrays of texts, correlations: array): read text and blocks are cut where either is
+    over its limit, details each; a record that is still over ``size`` (twice its JSON's length) is cut further, then its correlations."""
+    over = (F.length("ocr_text") > text) | (F.size("ocr_blocks") > blocks)
+    first = scans.withColumns({
+        "ocr_text": F.when(over, F.substring("ocr_text", 1, text)).otherwise(F.col("ocr_text")),
+        "ocr_blocks": F.when(over, F.slice("ocr_blocks", 1, blocks)).otherwise(F.col("ocr_blocks")),
+        "details": F.transform("details", lambda d: F.substring(d, 1, detail)),
+    })
+    weight = lambda df: F.length(F.to_json(F.struct(*df.columns))) * 2
+    big = weight(first) > size
+    second = first.withColumn("big_", big & F.col("ocr_text").isNotNull())
+    second = second.withColumns({"ocr_text": F.when(F.col("big_"), F.substring("ocr_text", 1, short_text)).otherwise(F.col("ocr_text")), "ocr_blocks": F.when(F.col("big_"), F.slice("ocr_blocks", 1, few_blocks)).otherwise(F.col("ocr_blocks"))}).drop("big_")
+    return second.withColumn("big_", weight(second) > size).withColumn("correlations", F.when(F.col("big_"), F.slice("correlations", 1, few)).otherwise(F.col("correlations"))).drop("big_")
+
+
+def stored_first(stored: DataFrame, current: DataFrame) -> DataFrame:
+    """The stored rows; the current ones only if nothing is stored."""
+    some = stored.limit(1).select(F.lit(1).alias("some_"))
+    return stored.unionByName(current.join(F.broadcast(some), F.lit(True), "left_anti"))  # one row
+
+
+def with_scan(found: DataFrame, scans: DataFrame, key: str = "id") -> DataFrame:
+    """Detector rows of all scans with their scan's url and time."""
+    return found.join(scans.select(key, "url", "ts"), key)
+
+
+def save_steps(steps: DataFrame, folder: str) -> None:
+    """Step histories as lines of JSON, a session's steps in one row."""
+    row = F.struct("step", *[c for c in steps.columns if c not in ("session", "step")])
+    steps.groupBy("session").agg(F.array_sort(F.collect_list(row)).alias("history")).write.mode("overwrite").json(folder)
+
+
+def load_steps(spark, folder: str, schema: str) -> DataFrame:
+    """Steps of stored histories; ``schema`` tells the columns beside session. Missing ones are null; broken lines drop out."""
+    rows = spark.read.schema(f"session bigint, history array<struct<{schema}>>, bad_ string").option("columnNameOfCorruptRecord", "bad_").json(folder)
+    return rows.where("history IS NOT NULL").select("session", F.explode("history").alias("h")).select("session", "h.*")
