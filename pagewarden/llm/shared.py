@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import contextlib
+import contextvars
 import tempfile
 import uuid
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyarrow import fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,10 +46,36 @@ def new_folder(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/pagewarden/{label}-{uuid.uuid4().hex}"
 
 
+#: Folders of the tables that are staged within ``staged_tables``.
+_noted: contextvars.ContextVar[list[str] | None] = contextvars.ContextVar("noted", default=None)
+
+
+@contextlib.contextmanager
+def staged_tables():
+    """Notes the folders of all tables that are staged within, so that they can be dropped
+    when nothing reads them any more."""
+    held: list[str] = []
+    token = _noted.set(held)
+    try:
+        yield held
+    finally:
+        _noted.reset(token)
+
+
+def drop_tables(folders: list[str]) -> None:
+    """Removes the folders and forgets them."""
+    while folders:
+        system, base = pafs.FileSystem.from_uri(folders.pop())
+        if system.get_file_info(base).type != pafs.FileType.NotFound:
+            system.delete_dir(base)
+
+
 def stage_table(df: DataFrame, label: str) -> DataFrame:
     """Writes ``df`` to the shared folder and reads it back: cuts the lineage,
     survives lost executors, and is computed once however often it is used."""
     path = new_folder(df.sparkSession, label)
+    if _noted.get() is not None:
+        _noted.get().append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
