@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Pieces that a worker remembers (about 150 bytes each) before it starts afresh.
-MEMORY_PIECES = 1_000_000
+MEMORY_PIECES = 250_000
 #: Pieces handed to the library at once.
 ENCODE_PIECES = 4096
 #: Bytes of text worked on at once.
