@@ -9,7 +9,8 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from pagewarden.llm import decontaminate, mixing, near_join, pieces, quality, secrets, sharding, tokens, toxicity, warc
+import corpus_pipeline
+from pagewarden.llm import decontaminate, mixing, near_join, pieces, quality, queries, secrets, shared, sharding, tokens, toxicity, warc
 from pagewarden.llm.components import connected_components
 from pagewarden.llm.shared import flat_text
 
@@ -87,6 +88,39 @@ def test_decontamination_matches_windows(spark, docs, none):
     assert decontaminate.contamination(none, items).count() == 0
 
 
+def item_words(text):
+    return re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
+
+
+def test_proximity_matches_in_blocks_of_words(spark):
+    """Phrase and proximity matches against brute force; every block of the vocabulary takes a pass."""
+    w = LINE.split()
+    swapped, apart = [*w[:4], w[5], w[4], *w[6:]], [*w[:6], "between", *w[6:]]
+    texts = [LINE, " ".join(swapped), " ".join(apart), " ".join(w[:12]), " ".join(["x", *swapped, "y", *w]), None]
+    docs = spark.createDataFrame([*zip([1, 2, None, 3, 3, None], texts)], "doc_id long, text string")
+    items = spark.createDataFrame([(1, LINE), (2, "one two"), (3, "nowhere to be found")], "item_id long, text string")
+    rows = [item_words(t) for t in texts]
+    held = lambda word: sum(word in r for r in rows)
+
+    def near_matches(row, window, slop=1):
+        lead = min(range(len(window)), key=lambda i: (held(window[i]), window[i], i))
+        n = 0
+        for p, word in enumerate(row):
+            start = p - lead
+            if word != window[lead] or start < 0:
+                continue
+            spots = [[q for q in range(start + i - slop, start + i + slop + 1) if 0 <= q < len(row) and row[q] == x] if i != lead else [p] for i, x in enumerate(window)]
+            n += all(spots) and not all(start + i in at for i, at in enumerate(spots))
+        return n
+
+    windows = [item_words(LINE), ["one", "two"]]
+    want = sorted(((len(r), sum(near_matches(r, x) for x in windows)) for r in rows), key=repr)
+    for max_words in (500, 5):
+        got = decontaminate.contamination(docs, items, slop=1, max_words=max_words).collect()
+        assert sorted(((r.n_words, r.n_near) for r in got), key=repr) == want
+        assert sorted((r.n_hit, r.n_items) for r in got) == sorted([(13, 2), (2, 1), (2, 1), (2, 1), (15, 2), (0, 0)])
+
+
 def test_token_files_and_counts_equal_the_library(docs, none):
     from tokenizers import Tokenizer
 
@@ -131,6 +165,61 @@ def test_shards(spark, docs, none):
     assert {r.now for r in moved.select("now").distinct().collect()} == {7}
 
 
+def test_a_stored_map_is_kept_and_edited(spark, docs, none):
+    folder = shared.new_folder(spark, "test-map")
+    first = sorted(map(tuple, sharding.shard_records(docs, n_shards=3, folder=folder).collect()), key=repr)
+    assert sorted(map(tuple, sharding.shard_records(docs, n_shards=3, folder=folder).collect()), key=repr) == first
+    one = {r.vslot: r.shard for r in sharding.load_map(spark, folder).collect()}
+    two = {r.vslot: r.shard for r in sharding.grow(spark, folder).collect()}
+    assert len(one) == len(two) == sharding.N_SLOTS and {two[v] for v in one if one[v] != two[v]} <= {3}
+    assert {r.vslot: r.shard for r in sharding.load_map(spark, folder, 1).collect()} == one
+    with pytest.raises(Exception, match="already exists"):
+        sharding.store_map(sharding.load_map(spark, folder, 1), folder)
+    assert sharding.shard_records(none, folder=shared.new_folder(spark, "test-map")).count() == 0
+    large = spark.createDataFrame([(i, i, 1015, 1) for i in range(4)], sharding._MAP)
+    assert sorted(r.shard for r in sharding.add_shard(large, 4).collect()) == [0, 1, 2, 3]  # a slot above the mean stays
+    uneven = spark.createDataFrame([(i, i % 3, 110 if i % 3 == 0 else 10, 1) for i in range(30)], sharding._MAP)
+    loads = [r[1] for r in sharding.rebalance(uneven, 3).groupBy("shard").agg(F.sum("bytes")).collect()]
+    assert sum(loads) == 1300 and max(loads) < 1100 - 500
+
+
+def test_the_ledger_over_batches_and_rule_versions(spark, docs, monkeypatch):
+    monkeypatch.setattr(secrets, "small_side", lambda df: df)  # shuffles, as for many blobs
+    ledger = secrets.BlobLedger(spark)
+    secrets.scan_versions(docs.where("doc_id < 5"), ledger).count()
+    seen = {r.blob for r in ledger.findings(1).collect()}
+    rows = secrets.scan_versions(docs.select("doc_id", "text", "source"), ledger).collect()
+    assert seen < {r.blob for r in ledger.findings(1).collect()} and ledger.findings(1).count() == len({t or "" for _, t, *_ in ROWS})
+    for r in rows:
+        text = dict((i, t) for i, t, *_ in ROWS)[r.doc_id] or ""
+        assert [(s.kind, s.start, s.end) for s in r.spans] == secrets.scan_text(text) and r.blob == hashlib.sha256(text.encode()).hexdigest()
+    other = (("word", "token", 0, 1),)
+    found = {r.doc_id: len(r.spans) for r in secrets.scan_versions(docs, ledger, rule_version=2, rules=other).collect()}
+    assert found[8] == 1 and sum(found.values()) == 1 and ledger.findings(1).count() == ledger.findings(2).count()
+
+
+def test_queries_over_small_tables(spark, tmp_path):
+    """Columns that the queries derive, against the contract."""
+    texts = [*TEXTS, "secret=" + "a" * 20 + " AKIA" + "B" * 20]
+    rows = [(i, t, "en", f"s{i % 2}") for i, t in enumerate(texts)] + [(None, "of no id", "en", None)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, i % 2, i % 2) for i in range(8)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    text_of = {r[0]: r[1] or "" for r in rows}
+    for r in queries.op1_toxicity(spark, str(tmp_path)).collect():
+        assert r.held_out == (r.doc_id is not None and zlib.crc32(str(r.doc_id).encode()) % 4 == 2)
+        assert 0 <= r.score <= 1 and r.predicted == int(r.score >= 0.3)
+    for r in queries.op6_sharding(spark, str(tmp_path)).collect():
+        raw = text_of[r.doc_id].encode()
+        assert (r.size, r.text_crc32, r.law, r.grown_shard) == (len(raw) + 16, zlib.crc32(raw), "bytes", None)
+        assert 0 <= r.shard < 40 and r.next_shard in (r.shard, 40)
+    for r in queries.op8_secrets(spark, str(tmp_path)).collect():
+        told = secrets.scan_text(text_of[r.doc_id])
+        assert [r.n_assign, r.n_access, r.n_hex] == [sum(k == x for k, *_ in told) for x in ("assign", "access", "hex")]
+        assert r.spans == ",".join(f"{k}:{a}:{b}" for k, a, b in told) and r.base_sha256 == hashlib.sha256(r.spans.encode()).hexdigest()
+    ids = {r.doc_id: r for r in queries.op4_token_files(spark, str(tmp_path)).collect()}
+    assert ids[None].start == 0 and len(ids) == len(rows)
+
+
 def test_secrets_scan_only_new_blobs(spark, docs, none):
     ledger = secrets.BlobLedger(spark)
     rows = {r.doc_id: r for r in secrets.scan_versions(docs, ledger).collect()}
@@ -159,6 +248,18 @@ def test_mix_comes_near_targets(spark, none):
     assert mixing.mix(none).count() == 0
 
 
+def test_equal_rows_are_mixed_together(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "EQUAL_ROWS", 7)
+    rows = [(1, "same words here", "a")] * 50 + [(i, "w " * (i % 9), "b") for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    mixed = mixing.mix(docs)
+    same = [r.copies for r in mixed.where("doc_id = 1 AND size = 3").collect()]
+    target = mixed.where("source_size = 150").first().target
+    assert len(same) == 50 and max(same) - min(same) <= 1 and abs(3 * sum(same) - target) <= 3
+    taken = mixing.take_mix(docs, mixed)
+    assert taken.where("source = 'a'").count() == sum(same) and taken.columns == docs.columns
+
+
 def grams(text):
     w = words(text)
     return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set())
@@ -248,12 +349,58 @@ def test_toxicity_on_held_out_documents(spark, none):
 
 
 def test_warc_records(spark):
-    html = "<title>A &amp; B</title><script>var t='</p>'</script><p>one<p>two <a href='/x'>go</a>"
-    pages = spark.createDataFrame([(1, "http://h/a", html), (2, None, None)], "page_id long, url string, html string")
-    rows = {(r.page_id, r.record_type): r for r in warc.records_of(pages).collect()}
-    assert len(rows) == 4
-    assert rows[1, "conversion"].block == "A & B\none\ntwo go" and rows[2, "conversion"].block == ""
-    assert "outlink: http://h/x" in rows[1, "metadata"].block
-    assert rows[1, "conversion"].refers_to == rows[1, "metadata"].refers_to
-    assert rows[1, "conversion"].payload_digest == warc.digest(html.encode())
-    assert warc.write_warc(warc.records_of(pages)).agg(F.sum("n_records")).first()[0] == 4
+    html = "<title>A &amp; B</title><script>var t='</p>'</script><p title='a>b'>one<p>two <a title=\"1>0\" href='/x'>go</a><!-- <p>no -->"
+    pages = spark.createDataFrame([(1, "http://h/a", html), (2, None, None), (1, "http://h/a", html + "."), (3, "http://h/b", "x < y <b>é</b> " * 9000)], "page_id long, url string, html string")
+    rows = {r.record_id: r for r in warc.records_of(pages).collect()}
+    by = {(r.page_id, r.record_type): r for r in rows.values() if r.page_id != 1 or r.payload_digest == warc.digest(html.encode())}
+    assert len(rows) == 8
+    assert by[1, "conversion"].block == "A & B\none\ntwo go" and by[2, "conversion"].block == ""
+    assert by[3, "conversion"].block == " ".join(["x < y é"] * 9000)
+    assert "outlink: http://h/x" in by[1, "metadata"].block
+    assert by[1, "conversion"].refers_to == by[1, "metadata"].refers_to
+    assert by[1, "conversion"].payload_digest == warc.digest(html.encode())
+    assert len({r.refers_to for r in rows.values() if r.page_id == 1}) == 2  # two captures of a URL
+    files = warc.write_warc(warc.records_of(pages))
+    files.cache().count()
+    read = {(r.record_id, r.record_type): r for r in warc.read_warc(files).collect()}
+    assert len(read) == 8
+    for r in by.values():
+        heads = read[r.record_id, r.record_type].headers
+        assert read[r.record_id, r.record_type].block == r.block and heads["WARC-Refers-To"] == r.refers_to
+        assert heads["X-Source-Payload-Digest"] == r.payload_digest and heads["X-Source-Content-Type"] == "text/html; charset=utf-8"
+    assert warc.records_of(pages.limit(0)).count() == 0
+
+
+def test_pipeline_keeps_every_clean_row(spark, tmp_path):
+    """Null and repeated ids, clashing columns, near copies and a contaminated document, stage by stage."""
+    rng = np.random.default_rng(5)
+    words_of = lambda n: " ".join(f"{a}{b}" for a, b in rng.integers(0, 900, (n, 2)))
+    clean = [words_of(60) for _ in range(12)]
+    bench = " ".join(f"bench{i}" for i in range(20))
+    near = " ".join([*clean[0].split()[:-1], "changed"])
+    texts = [*clean, near, near, words_of(40) + " " + bench, None, "too short"]
+    ids = [None, None, 4, 4, *range(5, 18)]
+    frame = spark.createDataFrame([(i, t, "en", f"s{k % 2}", "own", 7) for k, (i, t) in enumerate(zip(ids, texts))], "doc_id long, text string, lang string, source string, kept string, n_words int")
+    frame.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, 1, 0) for i in range(4, 17)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, bench)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs, told = frame, {}
+    for name, work in corpus_pipeline.STAGES:
+        docs = shared.stage_table(work(spark, docs, str(tmp_path)), f"test-{name}")
+        told[name] = docs
+    judged = [r.text for r in told["quality_rules"].collect()]
+    verdicts = quality.judge(frame, spark.read.parquet(f"{tmp_path}/labels.parquet").where("quality = 1")).where("verdict.kept").select("doc.text")
+    assert sorted(judged) == sorted(r.text for r in verdicts.collect()) and set(judged) <= set(texts) - {None, "too short"}
+    assert {(r.kept, r.n_words) for r in told["quality_rules"].collect()} == {("own", 7)}
+    kept = [r.text for r in told["near_duplicates"].collect()]
+    group = {clean[0], near}
+    assert len([t for t in kept if t in group]) == min(1, len([t for t in judged if t in group]))
+    assert sorted(t for t in kept if t not in group) == sorted(t for t in judged if t not in group)
+    assert sorted(r.text for r in told["decontamination"].collect()) == sorted(t for t in kept if "bench1" not in t)
+    assert told["decontamination"].columns == frame.columns == told["mix_sources"].columns
+    assert {r.text for r in told["mix_sources"].collect()} <= {t for t in kept if "bench1" not in t}
+    assert told["token_files"].count() == told["mix_sources"].count()
+    empty = frame.limit(0)
+    for name, work in corpus_pipeline.STAGES:
+        empty = shared.stage_table(work(spark, empty, str(tmp_path)), f"test-{name}")
+        assert empty.count() == 0
