@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from pagewarden.functions import text as X
 from pagewarden.operators import actions, detect, dom, redact, screens, sessions
-from pagewarden.plans import catalog
+from pagewarden.plans import agent_queries, catalog, record_queries, scan_queries  # noqa: F401
+from pagewarden.sources import history
 
 DATA = "/root/testdata/sf0.001"
 
@@ -26,7 +27,7 @@ def plain(v):
     return round(v, 6) if isinstance(v, float) else v
 
 
-@pytest.mark.parametrize("name", ["pii_email", "pii_credit_card", "injection_matches", "injection_scores", "prompt_intent", "domain_stats", "risk_trend", "semantic_topk", "loop_detector", "stagnation", "page_tag_counts", "search_in_texts", "nudges", "action_verdicts", "plan_audit", "dangerous_patterns", "visual_requests", "box_overlaps", "scroll_positions", "finding_severities", "report_totals", "normalized_texts", "evaluation_verdicts", "field_findings", "form_redactions", "attribute_redactions", "planner_steps", "gate_outcomes", "menu_steps", "hidden_mismatches", "contained_elements", "sensitive_fields", "scrollable_boxes"])
+@pytest.mark.parametrize("name", ["pii_email", "pii_credit_card", "injection_matches", "injection_scores", "prompt_intent", "domain_stats", "risk_trend", "semantic_topk", "loop_detector", "stagnation", "page_tag_counts", "search_in_texts", "nudges", "action_verdicts", "plan_audit", "dangerous_patterns", "visual_requests", "box_overlaps", "scroll_positions", "finding_severities", "report_totals", "normalized_texts", "evaluation_verdicts", "field_findings", "form_redactions", "attribute_redactions", "planner_steps", "gate_outcomes", "menu_steps", "hidden_mismatches", "contained_elements", "sensitive_fields", "scrollable_boxes", "pii_aadhaar", "pii_mask", "findings_merged", "risk_explanations", "redacted_texts", "planted_leaks", "page_anomalies", "scan_pages", "scan_with_screens", "scan_findings", "scan_reports", "element_classes", "session_facts", "step_reviews", "plan_item_states", "replay_decisions", "found_again", "matched_targets", "start_urls", "page_metadata", "node_outlines", "short_urls", "valid_records", "stored_steps"])
 def test_same_rows_as_sql(spark, sql, name):
     frame = catalog.QUERIES[name](spark, DATA)
     got = sql.execute(catalog.ORACLES[name])
@@ -108,3 +109,24 @@ def test_screens_and_inputs(spark):
     shown = spark.createDataFrame([(1, "Enter your PASSWORD and Aadhaar!", 0.9), (2, "password; upload document", 0.9), (3, None, 0.9)], "page_id long, text string, confidence double")
     got = sorted((r.page_id, r.type, r.confidence, r.input_idx) for r in screens.visual_requests(shown, inputs).collect())
     assert got == [(1, "VISUAL_CREDENTIAL_REQUEST", 0.86, 2), (1, "VISUAL_PII_REQUEST", 0.81, 3), (2, "VISUAL_DOM_MISMATCH", 0.54, None)]
+
+
+def test_matches_keep_control_characters(spark):
+    texts = spark.createDataFrame([(1, "\x01é me@a.example \x02 you@b.example"), (2, "a\x01b@c.example")], "doc_id long, text string")
+    found = detect.pii_matches(texts, categories=("email",)).collect()
+    assert {(r.doc_id, r.value, r.start) for r in found} == {(1, "me@a.example", 3), (1, "you@b.example", 18), (2, "b@c.example", 2)}
+    marks = redact.placeholders(detect.distinct_pii(detect.pii_matches(texts, categories=("email",))))
+    assert redact.leaks(redact.redact_texts(texts, marks), marks).count() == 0
+
+
+def test_large_records_are_trimmed_twice(spark):
+    rows = spark.createDataFrame([(1, "x" * 30_000, [1] * 60, ["d" * 3000] * 9, list(range(9)))], "id long, ocr_text string, ocr_blocks array<int>, details array<string>, correlations array<int>")
+    r = history.trim_records(rows).first()
+    assert (len(r.ocr_text), len(r.ocr_blocks), len(r.details[0]), len(r.correlations)) == (10_000, 50, 2000, 9) or (len(r.ocr_text), len(r.ocr_blocks)) == (2000, 10)
+
+
+def test_a_rule_can_be_added(spark, monkeypatch):
+    monkeypatch.setattr(detect, "_RULES", list(detect._RULES))
+    detect.register_rule(detect.R.Rule("custom", r"\bid-\d+\b", "low", 0.5, "Review"))
+    found = detect.pii_matches(spark.createDataFrame([(1, "see id-12")], "doc_id long, text string"))
+    assert [(r.category, r.value, r.start) for r in found.collect()] == [("custom", "id-12", 4)]
