@@ -29,7 +29,7 @@ from urllib.parse import urljoin
 import pyarrow as pa
 from pyarrow import fs as pafs
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import new_folder
@@ -37,17 +37,19 @@ from .shared import new_folder
 DATE = "2024-01-01T00:00:00Z"
 #: Elements that stand on lines of their own.
 _BLOCKS = frozenset("p div br h1 h2 h3 h4 h5 h6 li ul ol tr table article section header footer nav title head body html blockquote pre".split())
-_SPACE = re.compile(r"[ \t\r\f\v]+")
-_LINES = re.compile(r" ?\n[ \n]*")
-#: Markup by the rules of HTML tokenization: comments, elements whose content is not shown, the title with
-#: its text, and tags with their attributes. A quote counts only after an equals sign, so
-#: a > within a quoted value does not end the tag. An unclosed comment, element or tag ends with the page.
+#: Spaces and line ends that are not yet single.
+_SPACE = re.compile(r"[ \t\r\f\v]{2,}|[\t\r\f\v]")
+_LINES = re.compile(r" ?\n[ \n]+| \n")
+#: Markup by the rules of HTML tokenization: tags (name, attributes), the title with its text, then elements whose content is
+#: not shown, comments and broken markup. A quote counts only after an equals sign, so a > within a quoted value
+#: does not end the tag. An unclosed comment, element or tag ends with the page.
+_ATTRS = r"(?:[^>\"'=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s>\"'][^\s>]*+)?|[\"'])*+"
+_RAW, _TITLE = r"(?i:script|style|noscript|template)", r"(?i:title)"
 _MARKUP = re.compile(
-    r"<!--(?:-?>|.*?(?:--!?>|\Z))|<[!?][^>]*+>?|</[^a-zA-Z>][^>]*+>?|</>"
-    r"|<(?P<raw>script|style|noscript|template)(?=[\s/>])(?:[^>\"'=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s>\"'][^\s>]*+)?|[\"'])*+>.*?(?:</(?P=raw)(?=[\s/>])[^>]*+>?|\Z)"
-    r"|<title(?=[\s/>])[^>]*+>(?P<title>.*?)(?:</title(?=[\s/>])[^>]*+>?|\Z)"
-    r"|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*+)(?P<attrs>(?:[^>\"'=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s>\"'][^\s>]*+)?|[\"'])*+)(?:>|\Z)",
-    re.S | re.I,
+    rf"<(/?(?!(?:{_RAW}|{_TITLE})[\s/>])[a-zA-Z][^\s/>]*+)({_ATTRS})(?:>|\Z)"
+    rf"|<{_TITLE}(?=[\s/>])[^>]*+>(.*?)(?:</{_TITLE}(?=[\s/>])[^>]*+>?|\Z)"
+    rf"|<(?:({_RAW})(?=[\s/>]){_ATTRS}>.*?(?:</(?i:\4)(?=[\s/>])[^>]*+>?|\Z)|!--(?:-?>|.*?(?:--!?>|\Z))|[!?][^>]*+>?|/[^a-zA-Z>][^>]*+>?|/>|/?(?:{_RAW}|{_TITLE})[^>]*+(?:>|\Z))",
+    re.S,
 )
 _ATTR = re.compile(r"([^\s/>=][^\s/>=]*+)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s>]*+)))?")
 
@@ -63,27 +65,24 @@ def digest(block: bytes) -> str:
 def page_facts(page: str, url: str) -> dict:
     """text (a line for each block element), title (the first) and links (href of anchors, in order, joined
     to the page's URL) of a page."""
-    parts, links, title, at = [], [], None, 0
-    for m in _MARKUP.finditer(page):
-        if m.start() > at:
-            parts.append(page[at : m.start()])
-        at = m.end()
-        name = m["name"]
+    tokens = _MARKUP.split(page)  # text, then name, attributes, title, raw name, text of each markup
+    parts, links, title = [tokens[0]], [], None
+    for i in range(1, len(tokens), 5):
+        name, attrs, head, _, after = tokens[i : i + 5]
         if name is not None:
-            name = name.lower()
-            if name in _BLOCKS:
+            if name.removeprefix("/").lower() in _BLOCKS:
                 parts.append("\n")
-            elif name == "a" and not m["end"]:
-                for key, *value in _ATTR.findall(m["attrs"]):
+            elif name in ("a", "A"):
+                for key, *value in _ATTR.findall(attrs):
                     if key.lower() == "href":
                         links.append(html.unescape(value[0] or value[1] or value[2]))
                         break
-        elif m["title"] is not None:
-            parts += ["\n", m["title"], "\n"]
-            title = m["title"] if title is None else title
+        elif head is not None:
+            parts += ["\n", head, "\n"]
+            title = head if title is None else title
         else:
             parts.append(" ")
-    parts.append(page[at:])
+        parts.append(after)
     joined = []
     for x in links:
         try:
@@ -208,8 +207,3 @@ def read_warc(files: DataFrame) -> DataFrame:
 def records_of(pages: DataFrame, date: str = DATE) -> DataFrame:
     return derive(responses(pages, date))
 
-
-def header(record: Column, name: str) -> Column:
-    """A header field of ``source_headers``, null if absent."""
-    value = F.regexp_extract(record, f"(?im)^{name}: *(.*?)\\r?$", 1)
-    return F.nullif(value, F.lit(""))
