@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+
+from ..operators import detect
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
@@ -97,3 +99,17 @@ def plan_gates(stream: DataFrame) -> DataFrame:
     return stream.groupBy("plan").applyInPandasWithState(
         update, "plan string, step bigint, status string", "at bigint, over boolean, done array<bigint>, ids array<bigint>, oks array<boolean>, needs array<array<bigint>>", "append", GroupStateTimeout.NoTimeout
     )
+
+
+def scan_arriving(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
+    """key, kind (pii or injection), category, value, start of what the rules find in each arriving page: no state, so a
+    stream gives the same rows as a batch."""
+    pii = detect.pii_matches(pages, key, html).select(key, F.lit("pii").alias("kind"), "category", "value", "start")
+    found = detect.injections(pages, (key,), html).select(key, F.lit("injection").alias("kind"), F.col("type").alias("category"), F.col("content").alias("value"), "start")
+    return pii.unionByName(found)
+
+
+def arriving_messages(messages: DataFrame, now: Column, keyword: str = "", minutes: int = 5, text: str = "text") -> DataFrame:
+    """Messages (ts, text) newer than ``minutes`` before ``now`` that hold the keyword, in either case."""
+    recent = messages.where(F.col("ts") > now - F.make_dt_interval(mins=F.lit(minutes)))
+    return recent.where(F.contains(F.lower(text), F.lit(keyword.lower()))) if keyword else recent
