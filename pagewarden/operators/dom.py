@@ -22,9 +22,12 @@ class _Rows(HTMLParser):
         self.rows: list[dict] = []
         self.open: list[int] = []
         self.n_texts = 0
+        self.body: int | None = None
 
     def handle_starttag(self, tag, attrs):
         idx = len(self.rows)
+        if tag == "body" and self.body is None:
+            self.body = idx
         self.rows.append({"parent": self.open[-1] if self.open else None, "depth": len(self.open), "tag": tag, "attrs": [(k, v or "") for k, v in dict(attrs).items()], "text": [], "path": [*self.open, idx]})
         if tag not in VOID:
             self.open.append(idx)
@@ -41,14 +44,18 @@ class _Rows(HTMLParser):
                 break
 
     def handle_data(self, data):
-        if self.open:
-            self.rows[self.open[-1]]["text"].append({"at": self.n_texts, "text": data})
-            self.n_texts += 1
+        if not self.open and not data.strip():
+            return
+        if not self.open and self.body is None:
+            self.handle_starttag("body", [])
+        self.rows[self.open[-1] if self.open else self.body]["text"].append({"at": self.n_texts, "text": data})
+        self.n_texts += 1
 
 
 def elements(pages: DataFrame) -> DataFrame:
     """One row for each element of each page, in document order; one parse a page. Unclosed
-    elements end with their parent; text outside any element is dropped."""
+    elements end with their parent; text outside any element belongs to the first body, which begins
+    there if there is none yet."""
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.map_(pa.string(), pa.string())
