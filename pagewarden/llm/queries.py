@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, mixing, near_join, quality, secrets, sharding, tokens, toxicity, warc
+from . import decontaminate, mixing, near_join, quality, secrets, sharding, tokens, toxicity, trie, warc
 from .shared import new_folder
 
 
@@ -95,6 +95,10 @@ def op10_near_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_join.near_duplicates(table(spark, sf_dir, "documents")).drop("keep")
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -108,6 +112,7 @@ QUERIES = {
         op8_secrets,
         op9_mixing,
         op10_near_join,
+        op13_prefix_trie,
     )
 }
 
@@ -179,4 +184,25 @@ SELECT d.doc_id, class_id, copy_id, CAST(coalesce(n.n, 0) AS INTEGER) AS n_ngram
        (SELECT count(*) FROM l WHERE l.a = d.doc_id) AS n_links,
        (SELECT count(DISTINCT k.copy_id) FROM l JOIN copy k ON k.doc_id = l.b WHERE l.a = d.doc_id AND NOT l.same) AS n_class_links
 FROM documents d JOIN root USING (doc_id) JOIN copy USING (doc_id) LEFT JOIN n ON n.doc_id = d.doc_id""",
+    "op13_prefix_trie": """
+WITH RECURSIVE ids AS (SELECT DISTINCT conv_id, conv_id - conv_id % 100 AS base, CAST(conv_id AS VARCHAR) AS digits FROM conversations WHERE conv_id IS NOT NULL),
+crc AS (SELECT conv_id, digits, 0 AS i, CAST(4294967295 AS BIGINT) AS c FROM ids
+        UNION ALL
+        SELECT conv_id, digits, i + 1, xor(x >> 1, CASE WHEN x & 1 = 1 THEN CAST(3988292384 AS BIGINT) ELSE 0 END)
+        FROM (SELECT conv_id, digits, i, CASE WHEN i % 8 = 0 THEN xor(c, CAST(ascii(substr(digits, i // 8 + 1, 1)) AS BIGINT)) ELSE c END AS x FROM crc WHERE i < 8 * length(digits))),
+heads AS (SELECT conv_id, CAST(xor(c, CAST(4294967295 AS BIGINT)) % 6 AS BIGINT) AS h FROM crc WHERE i = 8 * length(digits)),
+own AS (SELECT conv_id, list({'role': role, 'text': text} ORDER BY turn NULLS FIRST, role, text) AS t
+        FROM (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL) GROUP BY 1),
+built AS (SELECT conv_id, list_concat(coalesce(b.t[1 : h], []), own.t[h + 1 :]) AS t
+          FROM ids JOIN heads USING (conv_id) JOIN own USING (conv_id) LEFT JOIN (SELECT conv_id AS base, t FROM own) b USING (base)),
+steps AS (SELECT conv_id, d, t[1 : d] AS p, len(t) = d AS ends FROM (SELECT *, unnest(range(0, len(t) + 1)) AS d FROM built)),
+nodes AS (SELECT p, any_value(d) AS depth, min(conv_id) AS conv_id, count(*) AS n_convs, (count(*) - 1) * coalesce(length(any_value(p[d].text)), 0) AS saved,
+          sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (ends), '')) AS ends_sha256 FROM steps GROUP BY p),
+kids AS (SELECT p[1 : depth - 1] AS p, count(*) AS n_children FROM nodes WHERE depth > 0 GROUP BY 1),
+told AS (SELECT nodes.*, coalesce(n_children, 0) AS n_children FROM nodes LEFT JOIN kids USING (p)),
+sums AS (SELECT p[1 : d] AS p, count(*) FILTER (n_children = 0) AS n_leaves, sum(saved) AS saved_tokens
+         FROM (SELECT *, unnest(range(0, depth + 1)) AS d FROM told) GROUP BY 1)
+SELECT told.conv_id, told.depth, up.conv_id AS parent_conv_id, told.n_convs, told.n_children, CAST(n_leaves AS BIGINT) AS n_leaves,
+       CAST(saved_tokens AS BIGINT) AS saved_tokens, told.ends_sha256
+FROM told JOIN sums USING (p) LEFT JOIN nodes up ON told.depth > 0 AND up.p = told.p[1 : told.depth - 1]""",
 }
