@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, mixing, near_join, quality, secrets, sharding, tokens, toxicity, trie, warc
+from . import decontaminate, language, mixing, near_join, quality, secrets, sharding, tokens, toxicity, trie, warc, whitening
 from .shared import new_folder
 
 
@@ -17,9 +17,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def held_out(doc_id: Column) -> Column:
+def held_out(doc_id: Column, of: int = 4, rest: int = 2) -> Column:
     """A null doc_id is never held out."""
-    return F.coalesce(F.pmod(F.crc32(doc_id.cast("string")), F.lit(4)) == 2, F.lit(False))
+    return F.coalesce(F.pmod(F.crc32(doc_id.cast("string")), F.lit(of)) == rest, F.lit(False))
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -95,6 +95,16 @@ def op10_near_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_join.near_duplicates(table(spark, sf_dir, "documents")).drop("keep")
 
 
+def op11_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, out = table(spark, sf_dir, "documents"), held_out(F.col("doc_id"), 5, 0)
+    told = language.predict(docs, *language.train(docs.where(~out)))
+    return told.select("doc_id", out.alias("held_out"), "lang_pred", "score")
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trie.prefix_trie(table(spark, sf_dir, "conversations"))
 
@@ -112,6 +122,8 @@ QUERIES = {
         op8_secrets,
         op9_mixing,
         op10_near_join,
+        op11_language,
+        op12_whitening,
         op13_prefix_trie,
     )
 }
