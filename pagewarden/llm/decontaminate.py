@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .shared import ROW_KEY, byte_slices, flat_text, is_small, numbered_rows, own_columns, small_side, stage_table
+from .shared import ROW_KEY, byte_slices, flat_text, is_small, numbered_rows, own_columns, settled, small_side, stage_table
 
 WINDOW = 13
 #: Test words that one pass over the documents looks up, about (100 bytes each), and their bytes.
@@ -240,5 +240,5 @@ def zero(name: str) -> Column:
 def drop_contaminated(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
     """``docs`` without the contaminated documents."""
     rows = numbered_rows(docs, "bench-rows")
-    bad = stage_table(contamination(rows, items, **options).where("contaminated").select(ROW_KEY), "bench-bad")
+    bad = settled(lambda: contamination(rows, items, **options).where("contaminated").select(ROW_KEY), "bench-bad")
     return rows.join(small_side(bad), ROW_KEY, "left_anti").select(*own_columns(docs))

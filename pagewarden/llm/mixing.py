@@ -8,8 +8,8 @@ within one row's size of its target. Groups of a source leave one open row each,
 those meet again in a reduction tree. Random numbers are hashes of the row: reruns agree.
 
 Defined results: a null or empty text has size 0 and takes nothing; a null source is a
-source of its own, last in order; equal rows are rounded together, to nearly equal numbers of copies; an empty table
-gives an empty result; further columns are ignored.
+source of its own, last in order; rows that are equal in all columns are rounded together, to nearly equal
+numbers of copies; rows that differ in any column are rounded apart; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .shared import own_columns, small_side, stage_table
+from .shared import ROW_KEY, own_columns, small_side, stage_table
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
@@ -77,7 +77,7 @@ def _pivot(group: pd.DataFrame) -> pd.DataFrame:
     """Rounds a group's open rows; at most one stays open (done false).
 
     Long rows meet first, so that the row that stays open is a short one."""
-    group = group.sort_values(["size", "u", "key", "doc_id"], ascending=[False, True, True, True], kind="stable").reset_index(drop=True)
+    group = group.sort_values(["size", "key", "key2", "doc_id"], ascending=[False, True, True, True], kind="stable").reset_index(drop=True)
     p, s, u = group["p"].to_numpy(copy=True), group["size"].to_numpy(float), group["u"].to_numpy()
     open_row = 0
     for j in range(1, len(group)):
@@ -100,9 +100,19 @@ def _pivot(group: pd.DataFrame) -> pd.DataFrame:
 _OPEN = "doc_id bigint, key bigint, key2 bigint, source string, source_size bigint, target double, size bigint, whole int, n bigint, p double, u double, node bigint, done boolean"
 
 
-def row_keys() -> list[Column]:
-    """128 bits that stand for a row: hashes of doc_id and text."""
-    return [F.xxhash64("doc_id", "text").alias("key"), F.xxhash64(F.lit("second"), "text", "doc_id").alias("key2")]
+def row_keys(docs: DataFrame) -> list[Column]:
+    """128 bits that stand for a row: hashes of all its columns (but a row's own number)."""
+    flat = [F.col(f"`{c}`") if _hashed(t) else F.to_json(F.struct(F.col(f"`{c}`"))) for c, t in docs.dtypes if c != ROW_KEY]
+    return [F.xxhash64(*flat).alias("key"), F.xxhash64(F.lit("second"), *reversed(flat)).alias("key2")]
+
+
+def _hashed(kind: str) -> bool:
+    return not any(x in kind for x in ("map<", "variant"))
+
+
+def draw(level: int, seed: int) -> Column:
+    """A number in [0, 1] of a row's own at each level of the tree."""
+    return F.xxhash64("key", "key2", F.lit(level), F.lit(seed)).cast("double") / F.lit(2.0**64) + F.lit(0.5)
 
 
 def mix(
@@ -114,19 +124,18 @@ def mix(
     group_rows: int = GROUP_ROWS,
     fan_in: int = FAN_IN,
 ) -> DataFrame:
-    """doc_id, key and key2 (hashes of doc_id and text), size, source_size, target, copies, taken.
+    """doc_id, key and key2 (hashes of all columns), size, source_size, target, copies, taken.
 
     n equal rows that meet each other leave floor(n * p) of 1, one open row with the rest, and zeros:
     so they are counted first and go on as one row each of these, however many they are."""
     sizes = stage_table(
-        docs.select(F.col("doc_id").cast("long").alias("doc_id"), *row_keys(), F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size")),
+        docs.select(F.col("doc_id").cast("long").alias("doc_id"), *row_keys(docs), F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size")),
         "mix-sizes",
     )
     targets = source_targets(sizes, weights, share, cap)
     counted = sizes.groupBy("source").agg(F.count(F.lit(1)).alias("n_rows")).withColumnRenamed("source", "source_")
     targets = stage_table(targets.join(counted, F.col("source").eqNullSafe(F.col("source_"))).drop("source_").withColumnRenamed("source", "of"), "mix-sources")
     equal = sizes.groupBy("doc_id", "key", "key2", "source", "size").agg(F.count(F.lit(1)).alias("n_equal"))
-    u = F.xxhash64("key", "doc_id", "size", F.lit(seed)).cast("double") / F.lit(2.0**64) + F.lit(0.5)
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     left = F.col("n_equal") * F.col("ratio_p")
     ones = F.floor(left + F.lit(1e-9)).cast("bigint")
@@ -138,7 +147,7 @@ def mix(
         .withColumn("ratio", F.when(F.col("size") > 0, ratio).otherwise(0.0))
         .withColumn("whole", F.floor(F.col("ratio") + F.lit(1e-9)).cast("int"))
         .withColumn("ratio_p", F.greatest(F.col("ratio") - F.col("whole"), F.lit(0.0)))
-        .withColumn("u", u)
+        .withColumn("u", draw(0, seed))
         .withColumn("node", F.pmod(F.xxhash64("doc_id", "key", F.lit(seed)), F.ceil(F.col("n_rows") / group_rows)).cast("long"))
         .withColumn("part", F.explode(F.filter(parts, lambda x: x["n"] > 0)))
         .withColumns({"n": F.col("part.n"), "p": F.col("part.p"), "done": F.col("part.p").isin(0.0, 1.0)})
@@ -149,13 +158,14 @@ def mix(
     nodes = -(-largest // group_rows)
     decided = rows.where("done")
     level = stage_table(rows.where("NOT done").groupBy("source", "node").applyInPandas(_pivot, _OPEN), "mix-level")
+    depth = 0
     while True:
         decided = decided.unionByName(level.where("done"))
         open_rows = level.where("NOT done")
         if nodes <= 1:
             break
-        nodes = -(-nodes // fan_in)
-        up = open_rows.withColumn("node", F.floor(F.col("node") / fan_in).cast("long"))
+        nodes, depth = -(-nodes // fan_in), depth + 1
+        up = open_rows.withColumn("node", F.floor(F.col("node") / fan_in).cast("long")).withColumn("u", draw(depth, seed))
         level = stage_table(up.groupBy("source", "node").applyInPandas(_pivot, _OPEN), "mix-level")
     # one open row a source is left: rounded to the nearer side, which errs by half its size at most
     last = open_rows.withColumn("p", F.when(F.col("p") >= 0.5, 1.0).otherwise(0.0))
@@ -175,13 +185,14 @@ def as_often(told: DataFrame, counted: DataFrame, chunk: int = EQUAL_ROWS) -> Da
 
 
 def take_mix(docs: DataFrame, mixed: DataFrame) -> DataFrame:
-    """The rows of ``docs`` as often as ``mixed`` takes them; equal rows together as often as all of
-    them. Rows of no words are not taken. Names that begin with mix_ are taken by the operator."""
+    """The rows of ``docs``, the table that ``mixed`` was made of, as often as ``mixed`` takes them; rows that
+    are equal in all columns together as often as all of them. Rows of no words are not taken. Names that begin with
+    mix_ are taken by the operator."""
     copies = stage_table(
         mixed.groupBy(F.col("key").alias("mix_key_"), F.col("key2").alias("mix_key2_")).agg(F.sum("copies").cast("int").alias("mix_copies_"), F.count(F.lit(1)).alias("mix_rows_")), "mix-copies"
     ).where("mix_copies_ > 0")
     keys = ["mix_key_", "mix_key2_"]
-    rows = docs.select(*own_columns(docs), *[k.alias(c) for k, c in zip(row_keys(), keys)])
+    rows = docs.select(*own_columns(docs), *[k.alias(c) for k, c in zip(row_keys(docs), keys)])
     joined = rows.join(small_side(copies), keys)
     if copies.where("mix_rows_ > 1").limit(1).count():
         joined = joined.where("mix_rows_ = 1").unionByName(joined.where("mix_rows_ > 1").dropDuplicates(keys))

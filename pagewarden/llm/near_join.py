@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .shared import ROW_KEY, WHITE, byte_slices, flat_text, mix64, numbered_rows, own_columns, small_side, stage_table, word_hashes
+from .shared import ROW_KEY, WHITE, byte_slices, flat_text, mix64, numbered_rows, own_columns, settled, small_side, stage_table, word_hashes
 
 NGRAM = 5
 THRESHOLD = 0.8
@@ -280,5 +280,5 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, recall: float
 def keep_one(docs: DataFrame, **options) -> DataFrame:
     """``docs`` without all but one row of each group of near duplicates."""
     rows = numbered_rows(docs, "near-rows")
-    kept = stage_table(near_duplicates(rows, **options).where("keep").select(ROW_KEY), "near-kept")
+    kept = settled(lambda: near_duplicates(rows, **options).where("keep").select(ROW_KEY), "near-kept")
     return rows.join(small_side(kept), ROW_KEY, "left_semi").select(*own_columns(docs))

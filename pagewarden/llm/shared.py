@@ -6,6 +6,7 @@ import contextlib
 import contextvars
 import tempfile
 import uuid
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -53,13 +54,15 @@ _noted: contextvars.ContextVar[list[str] | None] = contextvars.ContextVar("noted
 @contextlib.contextmanager
 def staged_tables():
     """Notes the folders of all tables that are staged within, so that they can be dropped
-    when nothing reads them any more."""
+    when nothing reads them any more. Those that are left at the end count as staged further out."""
     held: list[str] = []
     token = _noted.set(held)
     try:
         yield held
     finally:
         _noted.reset(token)
+        if _noted.get() is not None:
+            _noted.get().extend(held)
 
 
 def drop_tables(folders: list[str]) -> None:
@@ -80,6 +83,16 @@ def stage_table(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def settled(make: Callable[[], DataFrame], label: str) -> DataFrame:
+    """The staged table that ``make`` tells; what was staged on the way is dropped when it is written."""
+    with staged_tables() as made:
+        out = stage_table(make(), label)
+        *before, last = made
+        drop_tables(before)
+        made[:] = [last]
+    return out
+
+
 def own_columns(docs: DataFrame) -> list[Column]:
     """All columns of ``docs``, whatever their names."""
     return [F.col(f"`{c}`") for c in docs.columns]
