@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import rules as R
 from ..functions import text as X
+from . import dom
 
 
 def _attr(name: str) -> Column:
@@ -36,7 +37,8 @@ def fields(rows: DataFrame) -> DataFrame:
     )
     told = F.coalesce(F.try_element_at("attrs", F.lit("value")), F.trim("own_text"))
     rank = F.struct(~F.map_contains_key("attrs", "selected"), "idx")
-    options = rows.where(F.col("tag") == "option").select("page_id", F.explode("path").alias("idx"), told.alias("told"), rank.alias("rank"))
+    picks = rows.where(F.col("tag").isin("select", "option")).withColumn("select_", dom.nearest(F.col("tag") == "select", F.col("idx")))
+    options = picks.where("tag = 'option' AND select_ IS NOT NULL").select("page_id", F.col("select_").alias("idx"), told.alias("told"), rank.alias("rank"))
     chosen = options.groupBy("page_id", "idx").agg(F.min_by("told", "rank").alias("chosen_"))
     value = F.when(F.col("tag") == "select", F.coalesce("chosen_", F.lit(""))).otherwise(F.col("own_"))
     return every.join(chosen, ["page_id", "idx"], "left").withColumn("value", value).drop("own_", "chosen_")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import rules as R
 from ..functions import text as X
+from . import dom
 
 
 def _n(x: Column) -> Column:
@@ -161,7 +162,6 @@ def start_url(text: Column) -> Column:
 
 def options_of(rows: DataFrame) -> DataFrame:
     """page_id, select_idx, idx, text, value of the options in element rows."""
-    picks = rows.where("tag = 'select'").select("page_id", F.col("idx").alias("select_idx"))
-    each = rows.where("tag = 'option'").select("page_id", "idx", F.explode("path").alias("select_idx"), F.col("own_text").alias("text"), F.try_element_at("attrs", F.lit("value")).alias("value"))
-    return each.join(picks, ["page_id", "select_idx"])
+    picks = rows.where("tag IN ('select', 'option')").withColumn("select_idx", dom.nearest(F.col("tag") == "select", F.col("idx")))
+    return picks.where("tag = 'option' AND select_idx IS NOT NULL").select("page_id", "select_idx", "idx", F.col("own_text").alias("text"), F.try_element_at("attrs", F.lit("value")).alias("value"))
 

@@ -116,15 +116,16 @@ def contained_elements(rows: DataFrame, least: float = 0.99) -> DataFrame:
     """page_id, idx, within of elements (with x, y, width, height, null without a box) that lie to ``least`` of their area in
     their nearest ancestor whose box stands for all within it. Fields, labels, such boxes themselves and elements with a
     handler, a label or a role of their own stay out of it."""
-    tops = rows.where(_click_box() & F.col("x").isNotNull()).select("page_id", F.col("idx").alias("top"), F.struct("x", "y", "width", "height").alias("b"))
+    tops = rows.where(_click_box() & F.col("x").isNotNull()).select("page_id", F.col("idx").alias("top"), F.col("last_idx").alias("end_"), F.struct("x", "y", "width", "height").alias("b"))
     attr = lambda n: F.try_element_at("attrs", F.lit(n))
     own_right = (
         F.col("tag").isin("input", "select", "textarea", "label") | _click_box() | F.map_contains_key("attrs", "onclick")
         | (F.trim(F.coalesce(attr("aria-label"), F.lit(""))) != "") | F.coalesce(attr("role").isin(*R.CLICK_ROLES), F.lit(False))
     )
     inner = rows.where(~own_right & F.col("x").isNotNull() & (F.col("width") * F.col("height") != 0))
-    above = inner.select("page_id", "idx", F.struct("x", "y", "width", "height").alias("a"), F.posexplode("path").alias("depth", "top")).where("top <> idx")
-    nearest = above.join(tops, ["page_id", "top"]).groupBy("page_id", "idx").agg(F.max_by(F.struct("top", "a", "b"), "depth").alias("n"))
+    own = inner.select("page_id", "idx", F.struct("x", "y", "width", "height").alias("a"))
+    above = own.join(tops, "page_id").where("idx > top AND idx <= end_")
+    nearest = above.groupBy("page_id", "idx").agg(F.max_by(F.struct("top", "a", "b"), "top").alias("n"))
     side = lambda p, s: F.greatest(F.least(F.col(f"n.a.{p}") + F.col(f"n.a.{s}"), F.col(f"n.b.{p}") + F.col(f"n.b.{s}")) - F.greatest(f"n.a.{p}", f"n.b.{p}"), F.lit(0.0))
     share = side("x", "width") * side("y", "height") / (F.col("n.a.width") * F.col("n.a.height"))
     return nearest.where(share >= least).select("page_id", "idx", F.col("n.top").alias("within"))

@@ -111,20 +111,27 @@ def plan_states(items: DataFrame, updates: DataFrame) -> DataFrame:
     return joined.select("plan", "item", state.alias("state"))
 
 
-def refind_elements(recorded: DataFrame, current: DataFrame) -> DataFrame:
-    """elem, level, new_idx of recorded elements (elem, frame, hash, stable_hash, xpath, tag, ax_name, attrs) in a new page state (idx and the
-    same columns): exact hash, stable hash, xpath, tag and accessible name, then tag and name, id or aria-label. The first level wins, in it
-    the same frame, then the lowest index. Each level is an equal join."""
+#: What elements are found again by, one level after another.
+_LEVELS = ((0, ("hash",)), (1, ("stable_hash",)), (2, ("xpath",)), (3, ("tag", "ax_name")), (4, ("tag", "name_")), (4, ("tag", "id_")), (4, ("tag", "label_")))
+
+
+def refind_elements(recorded: DataFrame, current: DataFrame, by: tuple[str, ...] = ("page_id",)) -> DataFrame:
+    """``by``, elem, level, new_idx of recorded elements (``by``, elem, frame, hash, stable_hash, xpath, tag, ax_name, attrs) in the new state of
+    the same page or session (``by``, idx and the same columns): exact hash, stable hash, xpath, tag and accessible name,
+    then tag and name, id or aria-label. A level looks only for what the levels before did not find. Of equal elements one in the same
+    frame wins, then the lowest index: the lowest of each frame stands for them, so equal elements never meet in pairs."""
     named = lambda df: df.withColumns({f"{n}_": F.nullif(F.try_element_at("attrs", F.lit(k)), F.lit("")) for n, k in (("name", "name"), ("id", "id"), ("label", "aria-label"))})
-    old, new = named(recorded), named(current)
-    found = None
-    for level, keys in enumerate((["hash"], ["stable_hash"], ["xpath"], ["tag", "ax_name"], ["tag", "name_"], ["tag", "id_"], ["tag", "label_"])):
-        own = new.select(*keys, F.col("idx").alias("new_idx"), F.col("frame").alias("frame2"))
-        here = F.coalesce((F.col("frame") == F.col("frame2")).cast("int"), F.lit(0))
-        some = old.dropna(subset=keys).join(own.dropna(subset=keys), keys).select("elem", F.lit(min(level, 4)).alias("level"), F.lit(level).alias("try_"), (-here).alias("frame_"), "new_idx")
-        found = some if found is None else found.unionByName(some)
-    best = found.groupBy("elem").agg(F.min(F.struct("try_", "frame_", "new_idx", "level")).alias("b")).select("elem", "b.level", "b.new_idx")
-    return recorded.select("elem").join(best, "elem", "left")
+    found = named(recorded).withColumn("hit_", F.lit(None).cast("struct<level:int,idx:bigint>"))
+    new = named(current)
+    for level, keys in _LEVELS:
+        lowest = new.dropna(subset=list(keys)).groupBy(*by, *keys, "frame").agg(F.min("idx").cast("bigint").alias("idx"))
+        held = lowest.groupBy(*by, *keys).agg(F.collect_list(F.struct("frame", "idx")).alias("held_"))
+        held = held.select(*[F.col(c).alias(f"of_{c}") for c in (*by, *keys)], "held_")
+        same = [F.col(c) == F.col(f"of_{c}") for c in by] + [F.when(F.col("hit_").isNull(), F.col(c)) == F.col(f"of_{c}") for c in keys]
+        best = F.array_min(F.transform("held_", lambda h: F.struct((~F.coalesce(h["frame"] == F.col("frame"), F.lit(False))).alias("away"), h["idx"].alias("idx"))))
+        hit = F.when(F.col("held_").isNotNull(), F.struct(F.lit(level).alias("level"), best["idx"].alias("idx")))
+        found = found.join(held, same, "left").withColumn("hit_", F.coalesce("hit_", hit)).drop("held_", *[f"of_{c}" for c in (*by, *keys)])
+    return found.select(*by, "elem", F.col("hit_.level").alias("level"), F.col("hit_.idx").alias("new_idx"))
 
 
 def durations(steps: DataFrame) -> DataFrame:

@@ -41,9 +41,8 @@ def _outline_line() -> Column:
         .when(named, F.concat(F.lit("<"), "tag", label, F.lit(">")))
         .when(F.col("tag").isin("p", "span", "td", "li") & (own != ""), safe)
     )
-    in_body = F.col("body_").isNull() | F.array_contains("path", F.col("body_.idx"))
-    above = F.slice("path", 1, F.size("path") - 1)
-    shown = in_body & ~F.col("tag").isin("head", *_UNSEEN) & ~F.coalesce(F.arrays_overlap(above, F.col("stops_")), F.lit(False))
+    in_body = F.col("body_").isNull() | F.col("idx").between(F.col("body_.idx"), F.col("body_.last_idx"))
+    shown = in_body & ~F.col("tag").isin("head", *_UNSEEN) & ~F.col("stopped_")
     level = F.coalesce(F.col("depth") - F.col("body_.depth"), F.col("depth") + 1)
     return F.when(shown, F.concat(F.repeat(F.lit("  "), level + 1), line))
 
@@ -55,15 +54,16 @@ def structured_view(rows: DataFrame, pii: DataFrame, injections: DataFrame, hidd
     every = forms.fields(rows)
     told = forms.field_findings(every).groupBy("page_id", "selector").agg(F.min_by("category", F.struct(F.col("category") != "password_field", "idx")).alias("told_"))
     gone = hidden.groupBy("page_id", "idx").agg(F.min(F.struct("technique", "selector")).alias("h_")).select("page_id", "idx", "h_.technique", F.col("h_.selector").alias("hidden_at"))
-    known = rows.withColumn("selector", forms.field_selector()).join(dom.subtree_text(rows), ["page_id", "idx"], "left").join(gone, ["page_id", "idx"], "left").join(told, ["page_id", "selector"], "left")
+    told_of = rows.where(F.col("tag").isin("a", "button", "input", "title", *_HEADINGS) | (_attr("role") == "button"))
+    known = rows.withColumn("selector", forms.field_selector()).join(dom.subtree_text(rows, told_of), ["page_id", "idx"], "left").join(gone, ["page_id", "idx"], "left").join(told, ["page_id", "selector"], "left")
 
     tag, role = F.col("tag"), _attr("role")
     linked = (tag == "a") & F.map_contains_key("attrs", "href")
     acts = (tag == "button") | ((tag == "input") & (F.lower(_attr("type")) == "submit")) | (role == "button")
     idx_if = lambda test: F.array_sort(F.collect_list(F.when(test, F.col("idx"))))
     facts = known.groupBy("page_id").agg(
-        F.min_by(F.struct("idx", "depth"), F.when(tag == "body", F.col("idx"))).alias("body_"), F.min_by("text", F.when(tag == "title", F.col("idx"))).alias("title_"),
-        idx_if(F.col("technique").isNotNull() | tag.isin("head", *_UNSEEN, *_HEADINGS)).alias("stops_"), idx_if(tag == "form").alias("forms_"), idx_if(linked).alias("links_"),
+        F.min_by(F.struct("idx", "last_idx", "depth"), F.when(tag == "body", F.col("idx"))).alias("body_"), F.min_by("text", F.when(tag == "title", F.col("idx"))).alias("title_"),
+        idx_if(tag == "form").alias("forms_"), idx_if(linked).alias("links_"),
         F.bool_or(acts).alias("acts_"), F.count("technique").alias("n_hidden_"),
     )
     values = pii.groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("ord", "value", X.lookup(F.col("category"), R.VIEW_PLACEHOLDER, "[REDACTED]").alias("by")))).alias("pii_"))
@@ -88,7 +88,9 @@ def structured_view(rows: DataFrame, pii: DataFrame, injections: DataFrame, hidd
         F.when(acts & (shown != ""), _lines(4, idx, 0, F.concat(F.lit("  [Button] "), shown))),
         F.when(F.col("technique").isNotNull(), _lines(6, idx, 0, F.concat(F.lit("  [REMOVED] <"), "tag", F.lit("> via "), F.replace(F.col("technique"), F.lit("_"), F.lit(" ")), F.lit(" at "), "hidden_at"))),
     ))
-    inner = F.when(tag.isin("input", "textarea", "select"), F.transform(F.array_intersect("path", "forms_"), lambda f: _lines(2, f, idx, field)))
+    inner = F.when(tag.isin("input", "textarea", "select"), F.transform(F.array_compact(F.array("form_")), lambda f: _lines(2, f, idx, field)))
+    stops = F.col("technique").isNotNull() | tag.isin("head", *_UNSEEN, *_HEADINGS)
+    known = known.withColumn("stopped_", dom.within(stops, strictly=True)).withColumn("form_", dom.nearest(tag == "form", F.col("idx")))
     lines = known.join(facts, "page_id").select("page_id", F.explode_outer(F.concat(own, F.coalesce(inner, nothing))).alias("l_"))
     gathered = lines.groupBy("page_id").agg(F.array_sort(F.collect_list("l_")).alias("l_")).join(facts, "page_id")
 

@@ -145,9 +145,10 @@ def page_fingerprints(spark, d):
 # --- elements over states --------------------------------------------------
 
 
-@query("""SELECT elem, CAST(CASE k WHEN 0 THEN 0 WHEN 1 THEN 1 WHEN 2 THEN 2 WHEN 3 THEN 3 WHEN 4 THEN 4 WHEN 5 THEN 4 END AS INTEGER) AS level, CASE WHEN k < 6 THEN CASE WHEN k = 0 AND elem % 2 = 0 THEN elem * 2 + 1 ELSE elem * 2 END END AS new_idx FROM (SELECT p_partkey AS elem, p_partkey % 7 AS k FROM part)""")
+@query("""SELECT elem % 5 AS page_id, elem, CAST(CASE k WHEN 0 THEN 0 WHEN 1 THEN 1 WHEN 2 THEN 2 WHEN 3 THEN 3 WHEN 4 THEN 4 WHEN 5 THEN 4 END AS INTEGER) AS level, CASE WHEN k < 6 THEN CASE WHEN k = 0 AND elem % 2 = 0 THEN elem * 2 + 1 ELSE elem * 2 END END AS new_idx FROM (SELECT p_partkey AS elem, p_partkey % 7 AS k FROM part)""")
 def found_again(spark, d):
-    """Elements that the new state holds twice (the second in frame b), changed so that one level after another applies."""
+    """Elements that the new state holds twice (the second in frame b), changed so that one level after another applies. Another page
+    holds the same elements under lower numbers, which must not be found."""
     k, n = F.col("p_partkey") % 7, F.col("p_partkey")
     text = lambda p, same: F.concat(F.lit(p), n.cast("string"), F.when(same, "").otherwise("-new"))
 
@@ -155,15 +156,16 @@ def found_again(spark, d):
         keeps = lambda level: F.lit(True) if not new else k <= level
         attrs = F.when(k == 5, F.create_map(F.lit("aria-label"), text("l", F.lit(True)))).otherwise(F.create_map(F.lit("name"), text("m", keeps(4))))
         return table(spark, d, "part").select(
-            n.alias("elem"), text("h", keeps(0)).alias("hash"), text("s", keeps(1)).alias("stable_hash"), text("x", keeps(2)).alias("xpath"), F.lit("a").alias("tag"), text("n", keeps(3)).alias("ax_name"), attrs.alias("attrs"),
+            (n % 5).alias("page_id"), n.alias("elem"), text("h", keeps(0)).alias("hash"), text("s", keeps(1)).alias("stable_hash"), text("x", keeps(2)).alias("xpath"), F.lit("a").alias("tag"), text("n", keeps(3)).alias("ax_name"), attrs.alias("attrs"),
             F.when(n % 2 == 0, "b").otherwise("a").alias("frame"),
         )
 
     new = state(True)
     # equal to the first of each pair only by its whole hash
-    second = new.where(k == 0).select((F.col("elem") * 2 + 1).alias("idx"), "hash", F.lit(None).cast("string").alias("stable_hash"), F.lit(None).cast("string").alias("xpath"), "tag", F.lit(None).cast("string").alias("ax_name"), F.expr("map()").cast("map<string,string>").alias("attrs"), F.lit("b").alias("frame"))
-    first = new.select((F.col("elem") * 2).alias("idx"), "hash", "stable_hash", "xpath", "tag", "ax_name", "attrs", F.lit("a").alias("frame"))
-    return sessions.refind_elements(state(False), first.unionByName(second)).select("elem", "level", "new_idx")
+    second = new.where(k == 0).select("page_id", (F.col("elem") * 2 + 1).alias("idx"), "hash", F.lit(None).cast("string").alias("stable_hash"), F.lit(None).cast("string").alias("xpath"), "tag", F.lit(None).cast("string").alias("ax_name"), F.expr("map()").cast("map<string,string>").alias("attrs"), F.lit("b").alias("frame"))
+    first = new.select("page_id", (F.col("elem") * 2).alias("idx"), "hash", "stable_hash", "xpath", "tag", "ax_name", "attrs", F.lit("a").alias("frame"))
+    elsewhere = first.withColumns({"page_id": F.col("page_id") + 100, "idx": F.lit(-1).cast("bigint")})
+    return sessions.refind_elements(state(False), first.unionByName(second).unionByName(elsewhere)).select("page_id", "elem", "level", "new_idx")
 
 
 _STATES = "(SELECT DISTINCT l_suppkey AS session, l_linenumber AS state, l_partkey % 20 AS node FROM lineitem)"

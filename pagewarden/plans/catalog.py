@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import rules as R
 from ..functions import text as X
-from ..operators import actions, detect, dom, forms, redact, risk, screens, sessions, texts, views
+from ..operators import actions, detect, dom, forms, interactive, redact, risk, screens, sessions, texts, views
 from ..sources import history
 from ..sources.tables import read_table as table
 from ..sources.tables import spread
@@ -439,7 +439,7 @@ def hidden_content(spark, d):
 
 @query()
 def interactive_elements(spark, d):
-    return dom.interactive_index(_elements(spark, d))
+    return interactive.interactive_index(_elements(spark, d))
 
 
 @query()
@@ -638,7 +638,7 @@ def _form(spark, d) -> DataFrame:
         ("button", attrs(title="a secret token", formaction=account)),
     ]
     rows = F.array(*[F.struct(F.lit(i).alias("idx"), F.lit(t).alias("tag"), a.alias("attrs"), (market if t == "textarea" else F.lit("")).alias("own_text")) for i, (t, a) in enumerate(every)])
-    return table(spark, d, "customer").select(F.col("c_custkey").alias("page_id"), F.explode(rows).alias("r")).select("page_id", "r.*", F.array("r.idx").alias("path"))
+    return table(spark, d, "customer").select(F.col("c_custkey").alias("page_id"), F.explode(rows).alias("r")).select("page_id", "r.*", F.col("r.idx").alias("last_idx"))
 
 
 _FIELDS = """(SELECT c_custkey AS page_id, unnest([
@@ -694,7 +694,8 @@ def scrollable_boxes(spark, d):
 
 
 def _page_texts(spark, d):
-    return dom.subtree_text(_elements(spark, d)).where("idx = 0").select("page_id", "text")
+    rows = _elements(spark, d)
+    return dom.subtree_text(rows, rows.where("idx = 0")).select("page_id", "text")
 
 
 @query()
@@ -798,8 +799,8 @@ def _boxes(spark, d):
 def contained_elements(spark, d):
     boxes = _boxes(spark, d).select(F.col("image_id").alias("page_id"), F.col("box_id").alias("idx"), "x", "y", "width", "height")
     attrs = F.when(F.col("idx") % 5 == 0, F.create_map(F.lit("onclick"), F.lit("f()"))).otherwise(F.create_map(F.lit("role"), F.lit("none")))
-    inner = boxes.select("*", F.array(F.lit(-1).cast("bigint"), F.col("idx")).alias("path"), F.lit("b").alias("tag"), attrs.alias("attrs"))
-    top = boxes.select("page_id").distinct().select("page_id", F.lit(-1).cast("bigint").alias("idx"), F.lit(-80.0).alias("x"), F.lit(-60.0).alias("y"), F.lit(160.0).alias("width"), F.lit(120.0).alias("height"), F.array(F.lit(-1).cast("bigint")).alias("path"), F.lit("a").alias("tag"), F.create_map(F.lit("href"), F.lit("/")).alias("attrs"))
+    inner = boxes.select("*", F.col("idx").alias("last_idx"), F.lit("b").alias("tag"), attrs.alias("attrs"))
+    top = boxes.select("page_id").distinct().select("page_id", F.lit(-1).cast("bigint").alias("idx"), F.lit(-80.0).alias("x"), F.lit(-60.0).alias("y"), F.lit(160.0).alias("width"), F.lit(120.0).alias("height"), F.lit(2**40).alias("last_idx"), F.lit("a").alias("tag"), F.create_map(F.lit("href"), F.lit("/")).alias("attrs"))
     return screens.contained_elements(inner.unionByName(top))
 
 

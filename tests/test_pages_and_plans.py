@@ -170,10 +170,10 @@ def test_boxes_are_suppressed_greedily(spark):
 
 
 def test_contained_elements(spark):
-    schema = "page_id long, idx int, path array<int>, tag string, attrs map<string,string>, x double, y double, width double, height double"
+    schema = "page_id long, idx int, last_idx int, tag string, attrs map<string,string>, x double, y double, width double, height double"
     rows = [
-        (1, 0, [0], "button", {}, 0.0, 0.0, 100.0, 100.0), (1, 1, [0, 1], "span", {}, 10.0, 10.0, 50.0, 50.0), (1, 2, [0, 2], "span", {}, 98.0, 0.0, 100.0, 10.0), (1, 3, [0, 3], "input", {}, 0.0, 0.0, 10.0, 10.0),
-        (1, 4, [0, 4], "b", {"onclick": "f"}, 0.0, 0.0, 10.0, 10.0), (1, 5, [0, 5], "b", {}, 5.0, 5.0, 0.0, 5.0), (1, 6, [0, 1, 6], "i", {}, 10.0, 10.0, 5.0, 5.0), (1, 7, [7], "i", {}, 10.0, 10.0, 5.0, 5.0), (1, 8, [0, 8], "i", {}, None, None, None, None),
+        (1, 0, 7, "button", {}, 0.0, 0.0, 100.0, 100.0), (1, 1, 1, "span", {}, 10.0, 10.0, 50.0, 50.0), (1, 2, 2, "span", {}, 98.0, 0.0, 100.0, 10.0), (1, 3, 3, "input", {}, 0.0, 0.0, 10.0, 10.0),
+        (1, 4, 4, "b", {"onclick": "f"}, 0.0, 0.0, 10.0, 10.0), (1, 5, 6, "b", {}, 5.0, 5.0, 0.0, 5.0), (1, 6, 6, "i", {}, 10.0, 10.0, 5.0, 5.0), (1, 8, 8, "i", {}, 10.0, 10.0, 5.0, 5.0), (1, 7, 7, "i", {}, None, None, None, None),
     ]
     assert sorted((r.idx, r.within) for r in screens.contained_elements(spark.createDataFrame(rows, schema)).collect()) == [(1, 0), (6, 0)]
 
