@@ -17,21 +17,43 @@ def holds(text: Column, needs: str) -> Column:
     return F.contains(text, F.lit(needs)) if re.fullmatch(r"[\w@-]+", needs) else text.rlike(needs)
 
 
+#: Marks around matches, and what stands for them where a text holds them itself.
+_BEGIN, _END, _OTHER = "\x01", "\x02", "\ufffd"
+#: Matches whose places are summed in one go: positions are sums within blocks, then over blocks, so that no array grows
+#: by one match at a time.
+_BLOCK = 256
+
+
 def find_all(text: Column, pattern: str, needs: str | None = None) -> Column:
     """All matches, left to right, with code-point offsets (end exclusive). The pattern must not match an
-    empty text. ``needs`` is cheap to look for (see ``holds``) and occurs in every text with a match."""
+    empty text. ``needs`` is cheap to look for (see ``holds``) and occurs in every text with a match. A text is
+    searched once; its matches are marked and it is cut at the marks."""
     java = pattern.replace(r"\b", WORD_EDGE) if WORD_EDGE not in pattern else pattern
-    between = F.zip_with(F.split(text, java), F.regexp_extract_all(text, F.lit(java), F.lit(0)), lambda gap, value: F.struct(F.length(gap).alias("gap"), value.alias("value")))
+    marked = F.regexp_replace(F.translate(text, _BEGIN + _END, _OTHER * 2), F.lit(java), F.lit(f"{_BEGIN}$0{_END}"))
+
+    def placed(parts: Column) -> Column:
+        n = F.size(parts) - 1
+        value = lambda s: F.substring_index(s, _END, 1)
+
+        def step(state: Column, s: Column) -> Column:
+            end = state["pos"] + F.length(value(s))
+            one = F.array(F.struct(value(s).alias("value"), state["pos"].alias("start"), end.alias("end")))
+            return F.struct((state["pos"] + F.length(s) - 1).alias("pos"), F.concat(state["found"], one).alias("found"))
 
-    def step(state: Column, x: Column) -> Column:
-        start = state["pos"] + x["gap"]
-        end = start + F.length(x["value"])
-        one = F.array(F.struct(x["value"].alias("value"), start.alias("start"), end.alias("end")))
-        return F.when(x["value"].isNotNull(), F.struct(end.alias("pos"), F.concat(state["found"], one).alias("found"))).otherwise(state)
+        def block(b: Column) -> Column:
+            nothing = F.struct(F.lit(0).alias("pos"), F.array().cast(MATCH).alias("found"))
+            return F.aggregate(F.slice(parts, b * _BLOCK + 2, F.lit(_BLOCK)), nothing, step)
 
-    start = F.struct(F.lit(0).alias("pos"), F.array().cast(MATCH).alias("found"))
-    hit = text.rlike(java) if needs is None else holds(text, needs) & text.rlike(java)
-    return F.when(hit, F.aggregate(between, start, step, lambda s: s["found"])).otherwise(F.array().cast(MATCH))
+        def join(state: Column, held: Column) -> Column:
+            moved = F.transform(held["found"], lambda m: F.struct(m["value"].alias("value"), (m["start"] + state["base"]).alias("start"), (m["end"] + state["base"]).alias("end")))
+            return F.struct((state["base"] + held["pos"]).alias("base"), F.concat(state["out"], F.array(moved)).alias("out"))
+
+        blocks = F.transform(F.sequence(F.lit(0), F.floor((n - 1) / _BLOCK).cast("int")), block)
+        none = F.struct(F.length(F.get(parts, F.lit(0))).alias("base"), F.array().cast(f"array<{MATCH}>").alias("out"))
+        return F.when(n > 0, F.flatten(F.aggregate(blocks, none, join, lambda s: s["out"]))).otherwise(F.array().cast(MATCH))
+
+    found = F.get(F.transform(F.array(F.split(marked, _BEGIN)), placed), F.lit(0))
+    return found if needs is None else F.when(holds(text, needs), found).otherwise(F.array().cast(MATCH))
 
 
 def digits(value: Column) -> Column:
@@ -216,6 +238,11 @@ def replace_first(text: Column, value: Column, by: Column) -> Column:
     return F.when((at > 0) & (F.length(value) > 0), F.concat(F.substring(text, F.lit(1), at - 1), by, F.substring(text, at + F.length(value), F.length(text)))).otherwise(text)
 
 
+def first_match(text: Column, patterns: tuple[tuple[str, str], ...]) -> Column:
+    """The name of the first pattern that ``text`` matches; null without one."""
+    return F.coalesce(*[F.when(text.rlike(pattern), F.lit(name)) for name, pattern in patterns])
+
+
 def lookup(key: Column, entries: dict[str, str], default: str) -> Column:
     out = None
     for name, value in entries.items():

@@ -177,6 +177,21 @@ def plan_results(ran: DataFrame) -> DataFrame:
     return last.select("plan", status.alias("status"), F.when(ended, F.col("l.step")).alias("stopped_at"), F.when(ended, F.col("l.reason")).alias("reason"))
 
 
+def plan_summary(ran: DataFrame, steps: DataFrame) -> DataFrame:
+    """plan, n_completed, n_failed, n_skipped, n_pending, and completed, the descriptions of the completed steps in order: what is told when a plan
+    ends. ``ran`` is what :func:`run_plans` gives, ``steps`` has plan, step, description."""
+    told = ran.join(steps.select("plan", "step", "description"), ["plan", "step"], "left")
+    n = lambda s: F.count_if(F.col("status") == s).alias(f"n_{s}")
+    done = F.array_sort(F.collect_list(F.when(F.col("status") == "completed", F.struct("step", "description"))))
+    return told.groupBy("plan").agg(*map(n, ("completed", "failed", "skipped", "pending")), F.transform(done, lambda d: d["description"]).alias("completed"))
+
+
+def rerun_counts(results: DataFrame) -> DataFrame:
+    """run, n_results, n_success, n_errors of results (run, error; null or empty without one)."""
+    wrong = F.coalesce(F.col("error"), F.lit("")) != ""
+    return results.groupBy("run").agg(F.count(F.lit(1)).alias("n_results"), F.count_if(~wrong).alias("n_success"), F.count_if(wrong).alias("n_errors"))
+
+
 def plans_from_json(raw: DataFrame) -> DataFrame:
     """Steps of planner output (plan, raw: JSON text, prompt): plan, step, type, selector, value, description, requires_approval, safe, timeout_ms,
     depends_on, rollback, reasoning, risk. Steps are numbered anew, unknown types wait, fills need approval, dependencies reach back only; text that is no

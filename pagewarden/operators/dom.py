@@ -155,7 +155,7 @@ def page_texts(rows: DataFrame) -> DataFrame:
 def subtree_text(rows: DataFrame, of: DataFrame | None = None, separator: str | None = None, max_depth: int | None = None) -> DataFrame:
     """page_id, idx and the text of an element with all its descendants, in document order; of all elements, or of those in ``of``
     (page_id, idx, depth, first_text, end_text) alone, so that each costs its own slice of the page's texts. Texts are joined by single
-    spaces and squeezed; with a ``separator``, trimmed and joined by it without empty ones. ``max_depth``: of descendants so
+    spaces and squeezed; with a ``separator``, joined by it as they are, the whole trimmed. ``max_depth``: of descendants so
     many levels down."""
     tops = (rows if of is None else of).select("page_id", "idx", F.col("depth").alias("top_"), "first_text", "end_text").where("end_text > first_text")
     n = F.col("end_text") - F.col("first_text")
@@ -167,7 +167,7 @@ def subtree_text(rows: DataFrame, of: DataFrame | None = None, separator: str |
     if separator is None:
         text = F.trim(F.regexp_replace(F.array_join(F.transform(own, lambda t: t["text"]), " "), r"\s+", " "))
     else:
-        text = F.array_join(F.filter(F.transform(own, lambda t: F.regexp_replace(t["text"], r"^\s+|\s+$", "")), lambda t: t != ""), separator)
+        text = F.regexp_replace(F.array_join(F.transform(own, lambda t: t["text"]), separator), r"^\s+|\s+$", "")
     told = tops.join(page_texts(rows), "page_id").withColumn("n_", F.size(own))
     return told.where("n_ > 0").select("page_id", "idx", text.alias("text"))
 
@@ -242,6 +242,29 @@ def short_selector() -> Column:
     return F.when(ident != "", F.concat("tag", F.lit("#"), ident)).when(names != "", F.concat("tag", F.lit("."), F.split(names, r"\s+")[0])).otherwise(F.col("tag"))
 
 
+def place_selector(classes: int = 0, by_name: bool = False) -> Column:
+    """For rows with ``place`` (see ``sibling_place``): tag#id, else tag[name="…"] (``by_name``), else the tag with its first ``classes`` classes, else
+    tag:nth-of-type(place) among siblings of the same tag, else the tag."""
+    attr = lambda n: F.coalesce(F.try_element_at("attrs", F.lit(n)), F.lit(""))
+    named = F.slice(F.filter(F.split(attr("class"), r"\s+"), lambda c: c != ""), 1, classes)
+    out = F.when(attr("id") != "", F.concat("tag", F.lit("#"), attr("id")))
+    if by_name:
+        out = out.when(attr("name") != "", F.concat("tag", F.lit('[name="'), attr("name"), F.lit('"]')))
+    if classes:
+        out = out.when(F.size(named) > 0, F.concat("tag", F.lit("."), F.array_join(named, ".")))
+    return out.when(F.col("place") > 0, F.concat("tag", F.lit(":nth-of-type("), F.col("place").cast("string"), F.lit(")"))).otherwise(F.col("tag"))
+
+
+def element_paths(rows: DataFrame, of: DataFrame, separator: str = " > ", classes: int = 2) -> DataFrame:
+    """page_id, idx, path of the elements in ``of`` (page_id, idx): the selectors (see ``place_selector``) of an element and all above it, outermost
+    first. An element meets those that begin before it and end after it, by page."""
+    placed = rows.join(sibling_place(rows), ["page_id", "idx"])
+    steps = placed.select("page_id", F.col("idx").alias("top_"), "last_idx", "depth", place_selector(classes).alias("step_"))
+    met = of.select("page_id", "idx").join(steps, "page_id").where("idx >= top_ AND idx <= last_idx")
+    path = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("depth", "step_"))), lambda s: s["step_"]), separator)
+    return met.groupBy("page_id", "idx").agg(path.alias("path"))
+
+
 def hidden_interactive(rows: DataFrame) -> DataFrame:
     """Links, buttons and forms that are hidden or off the screen and have text or a target: page_id, idx, element,
     selector, content."""

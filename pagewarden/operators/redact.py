@@ -64,6 +64,17 @@ def forbidden_keys(requests: DataFrame, column: str = "request", keys: tuple[str
     return requests.withColumn("key", F.explode(hits))
 
 
+def redact_corpus(texts: DataFrame, found: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """key, redacted, total, emails, phones, credentials, form_values, other and n_leaks of each row: ``found`` (see ``detect.distinct_pii``) becomes numbered
+    placeholders, which replace its values; what still holds one is counted."""
+    marks = placeholders(found, key)
+    done = redact_texts(texts, marks, key, text)
+    leaked = leaks(done, marks, key).groupBy(key).agg(F.count(F.lit(1)).alias("n_leaks"))
+    told = done.drop("n_values").join(redaction_stats(marks, key), key, "left").join(leaked, key, "left")
+    counts = ("total", "emails", "phones", "credentials", "form_values", "other", "n_leaks")
+    return told.select(key, "redacted", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in counts])
+
+
 # --- stored secrets --------------------------------------------------------------
 
 #: Bytes of stored values that one automaton holds; more of them take further passes over a text.

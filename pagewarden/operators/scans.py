@@ -100,10 +100,11 @@ class Scan:
         return risk.merge_findings(risk.findings(self.pii, self.injections, self.hidden, self.anomalies, self.correlations, "page_id"), "page_id")
 
 
-def scan_pages(pages: DataFrame) -> Scan:
+def scan_pages(pages: DataFrame, rows: DataFrame | None = None) -> Scan:
     """All detectors over pages (page_id, html): personal data in the source and in form fields, injections, hidden content,
-    anomalies. Nothing runs before a result is asked for."""
-    rows = dom.elements(pages)
+    anomalies. Nothing runs before a result is asked for. ``rows`` are the pages' elements where they are stored (see
+    ``sources.store``), so that no detector parses a page; else each parses for itself."""
+    rows = dom.elements(pages) if rows is None else rows
     pii = detect.distinct_pii(detect.pii_matches(pages, "page_id", "html"), "page_id").withColumn("selector", F.lit(None).cast("string"))
     asked = forms.field_findings(forms.fields(rows))
     pii = pii.unionByName(asked.select(

@@ -253,3 +253,19 @@ def current_tab(tabs: DataFrame, pages: DataFrame) -> DataFrame:
     """session, step, tab: the tab with the page's URL and title, if there is exactly one."""
     met = tabs.join(pages.select("session", "step", "url", "title"), ["session", "step", "url", "title"])
     return met.groupBy("session", "step").agg(F.count(F.lit(1)).alias("n_"), F.min("tab").alias("tab")).where("n_ = 1").drop("n_")
+
+
+def session_health(steps: DataFrame, window: int = 20, exempt=("wait", "done", "go_back"), fingerprint: str = "fingerprint") -> DataFrame:
+    """One row for each session (session, step, action, hash, ok, element, ``fingerprint``): n_steps, n_errors, worst_repetition, longest_stagnation,
+    n_redundant, longest_streak, n_replans, nudge (the strongest) and last_action. All windows share one order by session and step."""
+    along = ["session", "step"]
+    every = (
+        steps.select(*along).join(repetition(steps, window, exempt), along, "left").join(stagnation(steps, fingerprint), along).join(retries(steps), along).join(failure_streaks(steps), along)
+    )
+    told = every.withColumn("n_", nudge(F.coalesce("max_repetition", F.lit(0)), F.col("stagnation")))
+    strength = F.array_position(F.array(*map(F.lit, ("none", "gentle", "strong", "stop"))), F.col("n_"))
+    health = told.groupBy("session").agg(
+        F.coalesce(F.max("max_repetition"), F.lit(0)).alias("worst_repetition"), F.max("stagnation").alias("longest_stagnation"), F.count_if("redundant").alias("n_redundant"),
+        F.max("streak").alias("longest_streak"), F.count_if("replan").alias("n_replans"), F.max_by("n_", strength).alias("nudge"),
+    )
+    return totals(steps).select("session", "n_steps", "n_errors", "last_action").join(health, "session")

@@ -210,13 +210,14 @@ def _mapped(rows: DataFrame, key: str, text: str, work, schema: str, kinds: list
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[list] = [[] for _ in range(len(kinds) + 1)]
-            for k, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                for made in work(value):
-                    for column, v in zip(out, (k, *made)):
-                        column.append(v)
-            arrays = [pa.array(out[0], batch.schema.field(0).type), *[pa.array(c, t) for c, (_, t) in zip(out[1:], kinds)]]
-            yield pa.RecordBatch.from_arrays(arrays, [key, *[n for n, _ in kinds]])
+            for some in dom.page_slices(batch, text):
+                out: list[list] = [[] for _ in range(len(kinds) + 1)]
+                for k, value in zip(some.column(0).to_pylist(), some.column(1).to_pylist()):
+                    for made in work(value):
+                        for column, v in zip(out, (k, *made)):
+                            column.append(v)
+                arrays = [pa.array(out[0], some.schema.field(0).type), *[pa.array(c, t) for c, (_, t) in zip(out[1:], kinds)]]
+                yield pa.RecordBatch.from_arrays(arrays, [key, *[n for n, _ in kinds]])
 
     return rows.select(key, text).mapInArrow(run, f"{key} {dict(rows.dtypes)[key]}, {schema}")
 
@@ -284,7 +285,7 @@ def _units(lines: list[str], kinds: list[str]) -> Iterator[tuple[int, int]]:
         at = end
 
 
-def _chunks(text: str | None, most: int, overlap: int) -> Iterator[tuple]:
+def text_chunks(text: str | None, most: int, overlap: int) -> Iterator[tuple]:
     if not text:
         yield 0, 1, 0, 0, "", "", False
         return
@@ -318,5 +319,5 @@ def markdown_chunks(texts: DataFrame, key: str = "doc_id", text: str = "text", m
     ``most`` characters (a longer unit stays whole), before a heading if half of that is full. ``prefix`` is the last ``overlap`` lines
     of the chunk before; a table that goes on has its heading there. Null and empty texts are one empty chunk; chunks that end at ``start`` or before are left out."""
     names = [("chunk", pa.int32()), ("n_chunks", pa.int32()), ("start", pa.int64()), ("end", pa.int64()), ("prefix", pa.string()), ("content", pa.string()), ("has_more", pa.bool_())]
-    made = _mapped(texts, key, text, lambda t: _chunks(t, most, overlap), "chunk int, n_chunks int, start bigint, end bigint, prefix string, content string, has_more boolean", names)
+    made = _mapped(texts, key, text, lambda t: text_chunks(t, most, overlap), "chunk int, n_chunks int, start bigint, end bigint, prefix string, content string, has_more boolean", names)
     return made.where((F.col("end") > start) | (F.col("end") == 0)) if start > 0 else made

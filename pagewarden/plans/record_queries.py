@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..operators import detect, dom, redact, texts
-from ..sources import history
+from ..sources import history, store
 from . import catalog as C
 from .catalog import query, table
 from .scan_queries import _case, _pages, _s, _scan
@@ -237,9 +237,7 @@ def unit_vectors(spark, d):
 def stored_steps(spark, d):
     """Written as JSON and read again; a column that no stored step has is null."""
     steps = table(spark, d, "events").select(F.col("user_id").alias("session"), F.col("event_id").alias("step"), F.col("event_type").alias("action"))
-    import tempfile
-
-    folder = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-steps-")
-    history.save_steps(steps, f"{folder.rstrip('/')}/pagewarden/stored-steps")
-    return history.load_steps(spark, f"{folder.rstrip('/')}/pagewarden/stored-steps", "step bigint, action string, note string")
+    folder = store.shared_folder(spark, "stored-steps")
+    history.save_steps(steps, folder)
+    return history.load_steps(spark, folder, "step bigint, action string, note string")
 

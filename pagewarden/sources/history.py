@@ -142,3 +142,25 @@ def load_steps(spark, folder: str, schema: str) -> DataFrame:
     """Steps of stored histories; ``schema`` tells the columns beside session. Missing ones are null; broken lines drop out."""
     rows = spark.read.schema(f"session bigint, history array<struct<{schema}>>, bad_ string").option("columnNameOfCorruptRecord", "bad_").json(folder)
     return rows.where("history IS NOT NULL").select("session", F.explode("history").alias("h")).select("session", "h.*")
+
+
+def report(scans: DataFrame, today: Column, days: int = 30, most: int = 5) -> DataFrame:
+    """section, place, name, value: what a report on stored scans says: its numbers, the riskiest and the most scanned domains and the
+    average risk by day, each in order."""
+    rows = lambda df, section, name, value: df.select(
+        F.lit(section).alias("section"), F.col("place_").cast("long").alias("place"), name.cast("string").alias("name"), value.cast("long").alias("value")
+    )
+    numbers = stats(scans, today)
+    names = [c for c in numbers.columns]
+    told = numbers.select(F.posexplode(F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).cast("long").alias("value")) for c in names])).alias("place_", "n_"))
+    domains = domain_stats(scans)
+    numbered = lambda df, *order: df.withColumn("place_", F.row_number().over(W.orderBy(*order)) - 1)  # noqa: E731  over a few rows
+    worst = numbered(riskiest(domains, most), F.desc("highest_score"), F.desc("scan_count"), "hostname")
+    usual = numbered(most_scanned(domains, most), F.desc("scan_count"), "hostname")
+    daily = numbered(trend(scans, days), "date")
+    return (
+        rows(told, "numbers", F.col("n_.name"), F.col("n_.value"))
+        .unionByName(rows(worst, "riskiest", F.col("hostname"), F.col("highest_score")))
+        .unionByName(rows(usual, "most scanned", F.col("hostname"), F.col("scan_count")))
+        .unionByName(rows(daily, "trend", F.col("date"), F.col("avg_score")))
+    )

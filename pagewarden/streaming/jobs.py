@@ -8,15 +8,24 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import detect
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..operators import detect
+from ..sources import batches
+
 
 def first_by_id(stream: DataFrame, key: str = "id", ts: str = "ts", late: str = "30 days") -> DataFrame:
     """Each id once, within the watermark."""
     return stream.withWatermark(ts, late).dropDuplicatesWithinWatermark([key])
 
 
+def save_first(stream: DataFrame, folder: str, checkpoint: str, key: str = "id", ts: str = "ts"):
+    """A query that adds each id once to a table of batches (see ``sources.batches``): a retried batch and an id that is stored add nothing,
+    however late they come."""
+    return stream.writeStream.foreachBatch(batches.batch_writer(folder, key, ts)).option("checkpointLocation", checkpoint)
+
+
 def daily_trend(stream: DataFrame, ts: str = "ts", late: str = "1 hour") -> DataFrame:
     day = F.window(ts, "1 day")
     grouped = stream.withWatermark(ts, late).groupBy(day).agg(F.floor(F.avg("score") + 0.5).cast("long").alias("avg_score"), F.count(F.lit(1)).alias("scan_count"))
@@ -47,6 +56,43 @@ def loops(stream: DataFrame, window: int = 20) -> DataFrame:
     )
 
 
+class SessionLoops(StatefulProcessor):
+    """What a session's loops are told by: its last ``window`` action hashes, last ``kept`` page fingerprints, and for how many steps the page has
+    been the same. A session that is idle for ``idle_ms`` leaves the state."""
+
+    def __init__(self, window: int, kept: int, idle_ms: int):
+        self.window, self.kept, self.idle_ms = window, kept, idle_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.state = handle.getValueState("session", "hashes array<string>, prints array<string>, streak int", self.idle_ms)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        hashes, prints, streak = (list(x) if i < 2 else x for i, x in enumerate(self.state.get())) if self.state.exists() else ([], [], 0)
+        for frame in rows:
+            out = []
+            for step, action, page in frame.sort_values(["ts", "step"])[["step", "hash", "fingerprint"]].itertuples(index=False):
+                if isinstance(action, str):
+                    hashes = [*hashes, action][-self.window :]
+                if isinstance(page, str):
+                    streak = streak + 1 if prints and prints[-1] == page else 0
+                    prints = [*prints, page][-self.kept :]
+                out.append((key[0], step, max((hashes.count(h) for h in set(hashes)), default=0), streak))
+            yield pd.DataFrame(out, columns=["session", "step", "max_repetition", "stagnation"])
+        self.state.update((hashes, prints, int(streak)))
+
+    def close(self) -> None:
+        pass
+
+
+def session_loops(stream: DataFrame, window: int = 20, kept: int = 5, idle: int = 3_600) -> DataFrame:
+    """session, step, max_repetition, stagnation of steps (session, step, ts, hash, fingerprint) by arrival: the highest frequency of one hash in the
+    last ``window`` actions (a null hash is none) and for how many steps the page's fingerprint has not changed (a null one is not looked at). The
+    state of a session ends ``idle`` seconds after its last step. Needs the RocksDB state store."""
+    return stream.groupBy("session").transformWithStateInPandas(
+        SessionLoops(window, kept, idle * 1000), "session bigint, step bigint, max_repetition int, stagnation int", "Append", "ProcessingTime"
+    )
+
+
 def session_phases(stream: DataFrame, gap: str = "30 minutes", late: str = "10 minutes") -> DataFrame:
     """Progress of sessions (session, ts, type, phase): the newest phase, steps begun, ended and open, by session window. Events later than
     the watermark are left out; an older event never replaces a newer phase."""

@@ -153,7 +153,7 @@ def test_subtree_texts(rows):
                 for up, a in enumerate(ancestors(tree, k)):
                     if max_depth is None or up <= max_depth:
                         want.setdefault((i, a), []).extend(texts)
-        join = lambda t: " ".join(" ".join(x for _, x in sorted(t)).split()) if separator is None else separator.join(x.strip() for _, x in sorted(t) if x.strip())
+        join = lambda t: " ".join(" ".join(x for _, x in sorted(t)).split()) if separator is None else separator.join(x for _, x in sorted(t)).strip()
         got = {(r.page_id, r.idx): r.text for r in dom.subtree_text(rows, separator=separator, max_depth=max_depth).collect()}
         assert got == {k: join(v) for k, v in want.items() if v}
     shown = {(r.page_id, r.idx): r.text for r in dom.subtree_text(dom.without_hidden(rows)).collect()}
