@@ -8,7 +8,6 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators import detect
@@ -56,40 +55,34 @@ def loops(stream: DataFrame, window: int = 20) -> DataFrame:
     )
 
 
-class SessionLoops(StatefulProcessor):
-    """What a session's loops are told by: its last ``window`` action hashes, last ``kept`` page fingerprints, and for how many steps the page has
-    been the same. A session that is idle for ``idle_ms`` leaves the state."""
-
-    def __init__(self, window: int, kept: int, idle_ms: int):
-        self.window, self.kept, self.idle_ms = window, kept, idle_ms
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("session", "hashes array<string>, prints array<string>, streak int", self.idle_ms)
+def session_loops(stream: DataFrame, window: int = 20, kept: int = 5, idle: int = 3_600) -> DataFrame:
+    """session, step, max_repetition, stagnation of steps (session, step, ts, hash, fingerprint) by arrival: the highest frequency of one hash in the
+    last ``window`` actions (a null hash is none) and for how many steps the page's fingerprint has not changed (a null one is not looked at). State
+    is those hashes, the last ``kept`` fingerprints, the streak and the time of the last step; a session that is idle for ``idle`` seconds leaves it and begins
+    anew when it comes back."""
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        hashes, prints, streak = (list(x) if i < 2 else x for i, x in enumerate(self.state.get())) if self.state.exists() else ([], [], 0)
-        for frame in rows:
+    def update(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        now = state.getCurrentProcessingTimeMs()
+        hashes, prints, streak, seen = state.get if state.exists else ((), (), 0, now)
+        hashes, prints, streak = (list(hashes), list(prints), streak) if now - seen < idle * 1000 else ([], [], 0)
+        for frame in frames:
             out = []
             for step, action, page in frame.sort_values(["ts", "step"])[["step", "hash", "fingerprint"]].itertuples(index=False):
                 if isinstance(action, str):
-                    hashes = [*hashes, action][-self.window :]
+                    hashes = [*hashes, action][-window:]
                 if isinstance(page, str):
                     streak = streak + 1 if prints and prints[-1] == page else 0
-                    prints = [*prints, page][-self.kept :]
+                    prints = [*prints, page][-kept:]
                 out.append((key[0], step, max((hashes.count(h) for h in set(hashes)), default=0), streak))
             yield pd.DataFrame(out, columns=["session", "step", "max_repetition", "stagnation"])
-        self.state.update((hashes, prints, int(streak)))
+        state.update((hashes, prints, int(streak), now))
+        state.setTimeoutDuration(idle * 1000)
 
-    def close(self) -> None:
-        pass
-
-
-def session_loops(stream: DataFrame, window: int = 20, kept: int = 5, idle: int = 3_600) -> DataFrame:
-    """session, step, max_repetition, stagnation of steps (session, step, ts, hash, fingerprint) by arrival: the highest frequency of one hash in the
-    last ``window`` actions (a null hash is none) and for how many steps the page's fingerprint has not changed (a null one is not looked at). The
-    state of a session ends ``idle`` seconds after its last step. Needs the RocksDB state store."""
-    return stream.groupBy("session").transformWithStateInPandas(
-        SessionLoops(window, kept, idle * 1000), "session bigint, step bigint, max_repetition int, stagnation int", "Append", "ProcessingTime"
+    return stream.groupBy("session").applyInPandasWithState(
+        update, "session bigint, step bigint, max_repetition int, stagnation int", "hashes array<string>, prints array<string>, streak int, seen bigint", "append", GroupStateTimeout.ProcessingTimeTimeout
     )
 
 

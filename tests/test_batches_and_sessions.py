@@ -72,24 +72,19 @@ def test_a_stream_saves_each_id_once(spark, tmp_path):
     assert got == [(1, "a"), (2, "c"), (None, "n")]
 
 
-@pytest.fixture
-def rocks(spark):
-    key = "spark.sql.streaming.stateStore.providerClass"
-    spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    yield spark
-    spark.conf.unset(key)
-
-
 def run(spark, tmp_path, parts, job, wait=0):
-    place, out = tmp_path / "in", []
+    """Runs a job on parts, one file each; a job with timeouts never rests, so its rows are waited for."""
+    place, out, due = tmp_path / "in", [], 0
     place.mkdir()
     stream = spark.readStream.schema(STEPS).option("maxFilesPerTrigger", 1).parquet(str(place))
-    query = job(stream).writeStream.option("checkpointLocation", str(tmp_path / "cp")).foreachBatch(lambda b, _: out.extend(b.collect())).start()
+    query = job(stream).writeStream.trigger(processingTime="1 second").option("checkpointLocation", str(tmp_path / "cp")).foreachBatch(lambda b, _: out.extend(b.collect())).start()
     try:
         for k, rows in enumerate(parts):
             time.sleep(wait if k else 0)
             spark.createDataFrame(rows, STEPS).coalesce(1).write.mode("append").parquet(str(place))
-            query.processAllAvailable()
+            due, until = due + len(rows), time.time() + 60
+            while len(out) < due and time.time() < until:
+                time.sleep(0.2)
     finally:
         query.stop()
     return out
@@ -99,8 +94,8 @@ def steps(n, sessions_=3):
     return [(s, k, T + dt.timedelta(seconds=k), f"h{(k * (s + 1)) % 5}" if (k + s) % 4 else None, f"p{k // (s + 2)}" if k % 7 else None) for k in range(n) for s in range(sessions_)]
 
 
-def test_session_loops_equal_the_batch(rocks, tmp_path):
-    spark, rows = rocks, steps(40)
+def test_session_loops_equal_the_batch(spark, tmp_path):
+    rows = steps(40)
     out = run(spark, tmp_path, [rows[:30], rows[30:33], rows[33:]], lambda s: jobs.session_loops(s, window=6))
     assert len(out) == len(rows)
     frame = spark.createDataFrame(rows, STEPS)
@@ -112,9 +107,9 @@ def test_session_loops_equal_the_batch(rocks, tmp_path):
     assert all(got[k][0] == v for k, v in want.items()) and all(got[k][1] == v for k, v in same.items())
 
 
-def test_idle_sessions_leave_the_state(rocks, tmp_path):
+def test_idle_sessions_leave_the_state(spark, tmp_path):
     row = lambda k: [(1, k, T + dt.timedelta(seconds=k), "h", "p")]
-    out = run(rocks, tmp_path, [row(0) + row(1), row(2)], lambda s: jobs.session_loops(s, idle=2), wait=6)
+    out = run(spark, tmp_path, [row(0) + row(1), row(2)], lambda s: jobs.session_loops(s, idle=2), wait=6)
     assert sorted((r.step, r.max_repetition, r.stagnation) for r in out) == [(0, 1, 0), (1, 2, 1), (2, 1, 0)]
 
 
