@@ -86,10 +86,17 @@ def _change(step: int, place: Column, kind: str, category: Column, original: Col
     ]
 
 
-def remove_hidden(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Elements outside hidden ones that hold text, and the log: one row for each hidden element with text, also within others."""
+def remove_hidden(rows: DataFrame, listed: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Elements outside hidden ones that hold text, and the log: one row for each hidden element with text, also within others. ``listed``
+    (page_id, selector) names more that are hidden, by id, name, first class or place among siblings."""
     below = in_body(rows).select("page_id", "idx")
-    marked = rows.join(below, ["page_id", "idx"], "left_semi").where(unsafe_hidden(F.col("attrs")))
+    known = rows.join(below, ["page_id", "idx"], "left_semi")
+    if listed is None:
+        marked = known.where(unsafe_hidden(F.col("attrs")))
+    else:
+        named = listed.select("page_id", F.col("selector").alias("its_")).distinct().withColumn("listed_", F.lit(True))
+        placed = known.join(dom.sibling_place(rows), ["page_id", "idx"]).withColumn("its_", dom.place_selector(1, by_name=True))
+        marked = placed.join(named, ["page_id", "its_"], "left").where(unsafe_hidden(F.col("attrs")) | F.coalesce("listed_", F.lit(False))).select(*rows.columns)
     trimmed = F.regexp_replace("text", r"^\s+|\s+$", "")
     told = dom.subtree_text(rows, marked, separator="").withColumn("text", trimmed).where("text <> ''")
     gone = marked.join(told, ["page_id", "idx"])

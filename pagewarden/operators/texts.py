@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import itertools
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -54,12 +59,86 @@ def passages(texts: DataFrame, key: str = "doc_id", text: str = "text", least: i
     return lines.select(key, "line", F.trim("raw").alias("passage")).where(F.length("passage") > least)
 
 
-def top_similar(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
-    """Most similar rows of each query vector (query_id, query; few, so they are broadcast if
-    Spark finds them small). Rows without a vector drop out."""
-    pairs = queries.join(vectors.where("embedding IS NOT NULL")).select("query_id", "vec_id", F.round(X.cosine(F.col("query"), F.col("embedding")), 6).alias("similarity"))
+#: Queries that are compared in one pass over the vectors, and vectors that are compared at once.
+QUERY_BLOCK, VECTOR_BLOCK = 1_000, 2_048
+
+
+def _matrix(rows: list, lengths: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """The places of the rows of a length, and those rows as unit vectors; rows without direction are zero."""
+    at = np.flatnonzero(lengths == length)
+    m = np.array([rows[i] for i in at], float).reshape(len(at), length)
+    norm = np.sqrt((m * m).sum(axis=1))
+    fine = np.isfinite(norm) & (norm >= 1e-12)
+    return at, np.where(fine[:, None], m, 0.0) / np.where(fine, norm, 1.0)[:, None]
+
+
+def _best(query: np.ndarray, similarity: np.ndarray, ident: np.ndarray, k: int) -> np.ndarray:
+    """Places of the ``k`` best rows of each query: the most similar, then by id."""
+    order = np.lexsort((ident, -similarity, query))
+    begins = np.searchsorted(query[order], query[order], side="left")
+    return order[np.arange(len(order)) - begins < k]
+
+
+def top_similar(vectors: DataFrame, queries: DataFrame, k: int = 10, block: int = QUERY_BLOCK) -> DataFrame:
+    """query_id, vec_id, similarity, n: the ``k`` most similar rows of each query vector (query_id, query) by cosine, rounded to six digits; equal ones by
+    vec_id. ``block`` queries at a time pass over the vectors: a task multiplies blocks of vectors by them and keeps the best of each
+    query, so that only those are shuffled. Rows without a vector drop out; vectors of other lengths, without direction or with entries
+    that are no numbers have similarity 0."""
+    spark, out = vectors.sparkSession, None
+    rows = vectors.where("embedding IS NOT NULL").select(F.col("vec_id").cast("long").alias("vec_id"), F.transform("embedding", lambda e: F.coalesce(e.cast("double"), F.lit(float("nan")))).alias("embedding"))
+    asked = queries.select(F.col("query_id").cast("long").alias("query_id"), F.transform("query", lambda e: F.coalesce(e.cast("double"), F.lit(float("nan")))).alias("query"))
+    for some in _blocks_of(asked.toLocalIterator(), block):
+        part = rows.mapInArrow(_compare(spark.sparkContext.broadcast(some), k), "query_id bigint, vec_id bigint, similarity double")
+        out = part if out is None else out.unionByName(part)
+    if out is None:
+        return spark.createDataFrame([], "query_id bigint, vec_id bigint, similarity double, n int")
     best = W.partitionBy("query_id").orderBy(F.desc("similarity"), "vec_id")
-    return pairs.withColumn("n", F.row_number().over(best)).where(F.col("n") <= k)
+    return out.withColumn("n", F.row_number().over(best)).where(F.col("n") <= k)
+
+
+def _blocks_of(rows: Iterator, size: int) -> Iterator[list]:
+    rows = iter(rows)
+    while some := list(itertools.islice(rows, size)):
+        yield [(r.query_id, r.query) for r in some]
+
+
+def _compare(held, k: int):
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = [q for q, _ in held.value]
+        asked = [v if v is not None else [] for _, v in held.value]
+        sizes = np.array([len(v) for v in asked])
+        matrices = {n: _matrix(asked, sizes, n) for n in set(sizes.tolist()) if n}
+        state = (np.zeros(0, int), np.zeros(0), np.zeros(0, np.int64), np.zeros(0, bool))
+        for batch in batches:
+            for at in range(0, batch.num_rows, VECTOR_BLOCK):
+                some = batch.slice(at, VECTOR_BLOCK)
+                ids, rows = some.column("vec_id"), some.column("embedding").to_pylist()
+                lengths = np.array([len(r) for r in rows])
+                similar = np.zeros((len(asked), len(rows)))
+                for n in set(lengths.tolist()) & set(matrices):
+                    mine, unit = matrices[n]
+                    place, other = _matrix(rows, lengths, n)
+                    similar[np.ix_(mine, place)] = unit @ other.T
+                similar = np.round(np.clip(similar, -1, 1), 6) + 0.0
+                least = np.partition(similar, -k, axis=1)[:, -k] if len(rows) > k else np.full(len(asked), -2.0)
+                q, v = np.nonzero(similar >= least[:, None])
+                null = ids.is_null().to_numpy(zero_copy_only=False)
+                number = np.where(null, np.iinfo(np.int64).min, ids.fill_null(0).to_numpy(zero_copy_only=False))
+                state = tuple(np.concatenate([a, b]) for a, b in zip(state, (q, similar[q, v], number[v], null[v])))
+                kept = _best(state[0], state[1], state[2], k)
+                state = tuple(a[kept] for a in state)
+        q, similarity, number, null = state
+        yield pa.RecordBatch.from_arrays([pa.array([names[i] for i in q], pa.int64()), pa.array(number, pa.int64(), mask=null), pa.array(similarity, pa.float64())], ["query_id", "vec_id", "similarity"])
+
+    return compare
+
+
+def relevant_passages(passages: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
+    """query_id, context: the ``k`` passages (vec_id, passage, embedding) most similar to each query, the best first, a line each."""
+    best = top_similar(passages.select("vec_id", "embedding"), queries, k)
+    told = best.join(passages.select("vec_id", "passage"), "vec_id")
+    lines = F.array_sort(F.collect_list(F.struct("n", "passage")))
+    return told.groupBy("query_id").agg(F.array_join(F.transform(lines, lambda l: l["passage"]), "\n").alias("context"))
 
 
 def markdown_headers(texts: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

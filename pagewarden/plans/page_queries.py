@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import rules as R
 from ..functions import tables
-from ..operators import actions, detect, dom, interactive, redact, sanitize, scans, sessions, views
+from ..operators import actions, detect, dom, interactive, redact, sanitize, scans, sessions, texts
 from ..sources import history, store
 from . import catalog
 from .catalog import ORACLES, _q, query, sql_injections, sql_pii, table
@@ -171,8 +171,8 @@ def scan_corpus(spark, d):
 @query(f"""SELECT r.doc_id, redacted, coalesce(total, 0) AS total, coalesce(emails, 0) AS emails, coalesce(phones, 0) AS phones, coalesce(credentials, 0) AS credentials, coalesce(form_values, 0) AS form_values, coalesce(other, 0) AS other, coalesce(n_leaks, 0) AS n_leaks
 FROM ({ORACLES['redacted_texts']}) r LEFT JOIN ({ORACLES['redaction_stats']}) s USING (doc_id) LEFT JOIN (SELECT doc_id, count(*) AS n_leaks FROM ({ORACLES['leak_check']}) GROUP BY 1) l USING (doc_id)""")
 def redact_corpus(spark, d):
-    texts = catalog.docs(spark, d)
-    return redact.redact_corpus(texts, detect.distinct_pii(detect.pii_matches(texts)))
+    corpus = catalog.docs(spark, d)
+    return redact.redact_corpus(corpus, detect.distinct_pii(detect.pii_matches(corpus)))
 
 
 _NUMBERS = ("total_scans", "critical_count", "high_count", "medium_count", "low_count", "none_count", "scans_today", "average_risk", "high_risk_domains")
@@ -204,3 +204,12 @@ def session_health(spark, d):
 def rerun_counts(spark, d):
     error = F.when(F.col("event_type") == "error", F.col("props"))
     return actions.rerun_counts(table(spark, d, "events").select(F.col("user_id").alias("run"), error.alias("error")))
+
+
+@query(f"""SELECT query_id, string_agg(text, chr(10) ORDER BY n) AS context FROM ({ORACLES['semantic_topk']}) JOIN documents ON doc_id = vec_id GROUP BY 1""")
+def relevant_passages(spark, d):
+    """The ten texts whose vectors are most like those of each query, as one context."""
+    vectors, corpus = table(spark, d, "embeddings"), table(spark, d, "documents")
+    known = vectors.join(corpus.select(F.col("doc_id").alias("vec_id"), F.col("text").alias("passage")), "vec_id", "left").select("vec_id", "embedding", "passage")
+    asked = vectors.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    return texts.relevant_passages(known, asked, 10)

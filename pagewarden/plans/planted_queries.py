@@ -88,7 +88,7 @@ def planted_injections(spark, d):
 
 @query(_over_docs(f"""SELECT doc_id, value FROM ({catalog._MARKS}) JOIN (SELECT doc_id, redacted || CASE WHEN doc_id % 2 = 0 THEN right(text, 12) ELSE '' END AS redacted FROM ({ORACLES['redacted_texts']}) JOIN documents USING (doc_id)) USING (doc_id)
 WHERE length(value) >= 4 AND NOT starts_with(value, '[') AND contains(redacted, value)"""))
-def planted_leaks(spark, d):
+def planted_leak_check(spark, d):
     """Redacted texts, of which every other one goes out with its last twelve characters as they were."""
     texts = planted_docs(spark, d)
     marks = redact.placeholders(detect.distinct_pii(detect.pii_matches(texts)))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from pagewarden.functions import text as X
 from pagewarden.operators import actions, detect, dom, redact, screens, sessions
-from pagewarden.plans import agent_queries, catalog, record_queries, scan_queries  # noqa: F401
+from pagewarden.plans import agent_queries, catalog, page_queries, planted_queries, record_queries, scan_queries  # noqa: F401
 from pagewarden.sources import history
 
 DATA = "/root/testdata/sf0.001"
@@ -27,7 +27,7 @@ def plain(v):
     return round(v, 6) if isinstance(v, float) else v
 
 
-@pytest.mark.parametrize("name", ["pii_email", "pii_credit_card", "injection_matches", "injection_scores", "prompt_intent", "domain_stats", "risk_trend", "semantic_topk", "loop_detector", "stagnation", "page_tag_counts", "search_in_texts", "nudges", "action_verdicts", "plan_audit", "dangerous_patterns", "visual_requests", "box_overlaps", "scroll_positions", "finding_severities", "report_totals", "normalized_texts", "evaluation_verdicts", "field_findings", "form_redactions", "attribute_redactions", "planner_steps", "gate_outcomes", "menu_steps", "hidden_mismatches", "contained_elements", "sensitive_fields", "scrollable_boxes", "pii_aadhaar", "pii_mask", "findings_merged", "risk_explanations", "redacted_texts", "planted_leaks", "page_anomalies", "scan_pages", "scan_with_screens", "scan_findings", "scan_reports", "element_classes", "session_facts", "step_reviews", "plan_item_states", "replay_decisions", "found_again", "matched_targets", "start_urls", "page_metadata", "node_outlines", "short_urls", "valid_records", "stored_steps"])
+@pytest.mark.parametrize("name", ["pii_email", "pii_credit_card", "injection_matches", "injection_scores", "prompt_intent", "domain_stats", "risk_trend", "semantic_topk", "loop_detector", "stagnation", "page_tag_counts", "search_in_texts", "nudges", "action_verdicts", "plan_audit", "dangerous_patterns", "visual_requests", "box_overlaps", "scroll_positions", "finding_severities", "report_totals", "normalized_texts", "evaluation_verdicts", "field_findings", "form_redactions", "attribute_redactions", "planner_steps", "gate_outcomes", "menu_steps", "hidden_mismatches", "contained_elements", "sensitive_fields", "scrollable_boxes", "pii_aadhaar", "pii_mask", "findings_merged", "risk_explanations", "redacted_texts", "planted_leaks", "page_anomalies", "scan_pages", "scan_with_screens", "scan_findings", "scan_reports", "element_classes", "session_facts", "step_reviews", "plan_item_states", "replay_decisions", "found_again", "matched_targets", "start_urls", "page_metadata", "node_outlines", "short_urls", "valid_records", "stored_steps", "hidden_parts", "shown_elements", "interactive_reasons", "preserved_parts", "page_links", "element_categories", "interactive_elements", "elements_in_sql", "scan_corpus", "history_report", "session_health", "rerun_counts", "planted_api_key", "planted_aadhaar", "planted_injections", "planted_leak_check", "planted_requests", "redact_corpus"])
 def test_same_rows_as_sql(spark, sql, name):
     frame = catalog.QUERIES[name](spark, DATA)
     got = sql.execute(catalog.ORACLES[name])

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from pagewarden.functions import tables
 from pagewarden.functions import text as X
-from pagewarden.operators import actions, detect, dom, interactive, sanitize, scans, scorers, sessions, views
+from pagewarden.operators import actions, detect, dom, interactive, sanitize, scans, scorers, sessions, texts, views
 from pagewarden.sources import history, store
 from pagewarden.sources.html_tree import page_tree
 
@@ -202,3 +202,38 @@ def test_plan_summaries(spark):
 def test_rejected_pages(spark):
     rows = history.rejected_pages(pages_of(spark, "<p>", "  ", None)).collect()
     assert sorted(map(tuple, rows)) == [(1, "No page content"), (2, "No page content")]
+
+
+def test_listed_selectors_are_hidden_too(spark):
+    rows = dom.elements(pages_of(spark, '<body><p>a<p>b<p class="k l">c<input name=n><p id=i></body>', "<body><p>a<p>b</body>"))
+    listed = spark.createDataFrame([(0, "p:nth-of-type(2)"), (0, "p.k"), (0, "p#i"), (0, "absent"), (1, "p.k")], "page_id long, selector string")
+    kept, log = sanitize.remove_hidden(rows, listed)
+    assert sorted((r.page_id, r.own_text) for r in kept.where("tag = 'p'").collect()) == [(0, ""), (0, "a"), (1, "a"), (1, "b")]
+    assert sorted((r.page_id, r.original) for r in log.collect()) == [(0, "b"), (0, "c")]
+    assert {r.page_id for r in sanitize.remove_hidden(rows)[0].collect()} == {0, 1} and sanitize.remove_hidden(rows)[1].count() == 0
+
+
+def test_most_similar_vectors(spark):
+    """Ties, nulls, other lengths, no direction, no numbers, several blocks of queries, against all pairs."""
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    vectors = [(i, rng.integers(-2, 3, 4).astype(float).tolist()) for i in range(3000)] + [(3000, None), (3001, [1.0]), (3002, [float("nan")] * 4), (3003, []), (None, [1.0, 0.0, 0.0, 0.0]), (7, [1.0, 1.0, 1.0, 1.0]), (3004, [None, 1.0, 0.0, 0.0])]
+    queries = [(k, vectors[k][1]) for k in range(0, 100, 9)] + [(900, None), (901, [0.0] * 4), (902, [2.0])]
+
+    def cosine(a, b):
+        if a is None or len(a) != len(b) or not len(a) or None in b:
+            return 0.0
+        norm = np.linalg.norm(a) * np.linalg.norm(b)
+        return 0.0 if not np.isfinite(norm) or norm < 1e-12 else float(np.round(np.clip(np.dot(a, b) / norm, -1, 1), 6))
+
+    want = []
+    for q, v in queries:
+        every = sorted((-cosine(v, x), i is not None, i or 0) for i, x in vectors if x is not None)
+        want += [(q, i if known else None, -s + 0.0, n + 1) for n, (s, known, i) in enumerate(every[:5])]
+    frame = spark.createDataFrame(vectors, "vec_id long, embedding array<double>").repartition(3)
+    asked = spark.createDataFrame(queries, "query_id long, query array<double>")
+    for block in (1000, 4):
+        got = texts.top_similar(frame, asked, 5, block)
+        assert sorted(map(tuple, got.select("query_id", "vec_id", "similarity", "n").collect()), key=repr) == sorted(want, key=repr)
+    assert texts.top_similar(frame, asked.limit(0)).count() == texts.top_similar(frame.limit(0), asked).count() == 0
