@@ -90,12 +90,6 @@ def nearest(top: Column, value: Column) -> Column:
     return F.when(last["end_"] >= F.col("idx"), last["value_"])
 
 
-def style_of(attrs: Column) -> Column:
-    """The inline style as a map of lower-cased properties."""
-    plain = F.regexp_replace(F.lower(F.coalesce(F.try_element_at(attrs, F.lit("style")), F.lit(""))), r"\s+", "")
-    return F.map_from_entries(F.array_distinct(F.transform(F.filter(F.split(plain, ";"), lambda x: F.contains(x, F.lit(":"))), lambda x: F.struct(F.substring_index(x, ":", 1), F.regexp_extract(x, ":(.*)", 1)))))
-
-
 def _number(value: Column) -> Column:
     return F.regexp_extract(value, r"^[-+]?[0-9.]+", 0).try_cast("double")
 

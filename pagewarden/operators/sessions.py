@@ -227,9 +227,11 @@ def history_line() -> Column:
 
 
 def substitute_variables(actions: DataFrame, values: DataFrame, keys: list[str]) -> DataFrame:
-    """``actions`` (keys, params: a map) whose parameter values that equal an old value (old, new) are the new one."""
+    """``actions`` (keys, params: a map) whose parameter values that equal an old value (old, new) are the new one; of several new ones for an
+    old value the first in order."""
+    one = values.groupBy(F.col("old").alias("value")).agg(F.min("new").alias("new"))
     each = actions.select(*keys, F.explode_outer("params").alias("name", "value"))
-    swapped = each.join(values.select(F.col("old").alias("value"), "new"), "value", "left").select(*keys, "name", F.coalesce("new", "value").alias("value"))
+    swapped = each.join(one, "value", "left").select(*keys, "name", F.coalesce("new", "value").alias("value"))
     whole = swapped.groupBy(*keys).agg(F.map_from_entries(F.array_sort(F.collect_list(F.when(F.col("name").isNotNull(), F.struct("name", "value"))))).alias("params"))
     return whole
 

@@ -237,3 +237,10 @@ def test_most_similar_vectors(spark):
         got = texts.top_similar(frame, asked, 5, block)
         assert sorted(map(tuple, got.select("query_id", "vec_id", "similarity", "n").collect()), key=repr) == sorted(want, key=repr)
     assert texts.top_similar(frame, asked.limit(0)).count() == texts.top_similar(frame.limit(0), asked).count() == 0
+
+
+def test_old_values_with_several_new_ones(spark):
+    rows = spark.createDataFrame([(1, {"a": "x", "b": "y"}), (2, {}), (3, None)], "step long, params map<string,string>")
+    values = spark.createDataFrame([("x", "n2"), ("x", "n1"), ("z", "n3")], "old string, new string")
+    got = {r.step: r.params for r in sessions.substitute_variables(rows, values, ["step"]).collect()}
+    assert got == {1: {"a": "n1", "b": "y"}, 2: {}, 3: {}}
