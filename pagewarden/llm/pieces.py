@@ -3,9 +3,10 @@
 The byte-level pre-tokenizer never joins what stands before a white-space character
 with what follows it, if that white space stands alone. So a text may be cut before each
 single space or line feed with other characters on both sides: the pieces' ids, in order,
-are the text's ids. Special strings hold no white space and stay whole. Most pieces occur
-often: each distinct piece of a batch is looked up once, and the library encodes, many in
-one call, those that this worker has not met. The memory of pieces is bounded.
+are the text's ids. It never joins a letter with a sign that follows it, so a text may be cut
+between an ASCII letter and such signs, too. Special strings must hold no white space and none of
+these signs, and stay whole. Most pieces occur often: a worker's pieces and a batch's are dictionary-encoded together, and the library
+encodes, many in one call, those that are new. The memory of pieces is bounded.
 """
 
 from __future__ import annotations
@@ -15,16 +16,35 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
-#: Pieces that a worker remembers (about 150 bytes each) before it starts afresh.
-MEMORY_PIECES = 250_000
-#: Pieces handed to the library at once.
-ENCODE_PIECES = 4096
+from .shared import flat_text
+
+#: Pieces that a worker remembers (about 50 bytes each) before it keeps only those met again.
+MEMORY_PIECES = 500_000
+#: Pieces handed to the library at once, and those of them that make one text.
+ENCODE_PIECES, JOINED_PIECES = 4096, 64
 #: Bytes of text worked on at once.
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 8 << 20
 
 _WHITE = np.zeros(256, bool)
 _WHITE[[0x20, *range(0x09, 0x0E)]] = True
+_SIGNS = b'.,;:!?)"'
+_SIGN, _LETTER = np.zeros(256, bool), np.zeros(256, bool)
+_SIGN[list(_SIGNS)] = True
+_LETTER[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = True
+
+
+def _white_before(data: np.ndarray, to: np.ndarray) -> np.ndarray:
+    """Whether the characters that end at ``to`` are, or may be, Unicode white space."""
+    back, back2, back3 = (data[to - k] for k in (1, 2, 3))
+    return _WHITE[back] | ((back2 == 0xC2) & ((back == 0x85) | (back == 0xA0))) | ((back3 >= 0xE1) & (back3 <= 0xE3) & (back >= 0x80))
+
+
+def _white_at(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Whether the characters at ``at`` are, or may be, Unicode white space."""
+    then, then2 = data[at], data[np.minimum(at + 1, len(data) - 1)]
+    return _WHITE[then] | ((then == 0xC2) & ((then2 == 0x85) | (then2 == 0xA0))) | ((then >= 0xE1) & (then <= 0xE3))
 
 
 def safe_pieces(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -35,21 +55,15 @@ def safe_pieces(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     n = len(data)
     at = np.flatnonzero((data == 0x20) | (data == 0x0A))
     at = at[(at > 2) & (at < n - 2)]
-    back, back2, back3, then, then2 = (data[at + k] for k in (-1, -2, -3, 1, 2))
-    fine = ~(_WHITE[back] | _WHITE[then])
-    fine &= ~((back2 == 0xC2) & ((back == 0x85) | (back == 0xA0))) & ~((then == 0xC2) & ((then2 == 0x85) | (then2 == 0xA0)))
-    fine &= ~((back3 >= 0xE1) & (back3 <= 0xE3) & (back >= 0x80)) & ~((then >= 0xE1) & (then <= 0xE3))
     first = np.zeros(n + 1, bool)
-    first[at[fine]] = True
+    first[at[~(_white_before(data, at) | _white_at(data, at + 1))]] = True
+    first[1:n] |= _LETTER[data[:-1]] & _SIGN[data[1:]]
     first[offsets] = True
     first[n] = False
     starts = np.flatnonzero(first)
     return starts, np.searchsorted(starts, offsets)
 
 
-_JOINABLE = re.compile(r"[ \n]\S.*\S$|[ \n]\S$", re.S).match
-
-
 class PieceEncoder:
     """Ids of texts by pieces; one for each worker and vocabulary file."""
 
@@ -61,12 +75,15 @@ class PieceEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.marks = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        if any(set(m) & set(_SIGNS.decode()) or re.search(r"\s", m) for m in self.marks):
+            raise ValueError(f"special strings of {path} may hold no white space and none of {_SIGNS.decode()}")
         self.id_bytes = np.zeros(self.tokenizer.get_vocab_size(), np.int64)  # one letter of a token stands for a byte
         for token, i in self.tokenizer.get_vocab().items():
             self.id_bytes[i] = len(token)
         # ids are kept as 16 bits if the vocabulary allows
         self.width = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
-        self.forget()
+        self.known = pa.array([], pa.large_string())
+        self.ids, self.begins, self.lengths = np.zeros(0, self.width), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     @classmethod
     def of(cls, path: str) -> "PieceEncoder":
@@ -74,44 +91,55 @@ class PieceEncoder:
             cls._held[path] = cls(path)
         return cls._held[path]
 
-    def forget(self, keep: list[str] = ()) -> None:
-        """Starts afresh, but for pieces met again."""
-        kept = [(p, self.ids[self.ends[i] : self.ends[i + 1]]) for p in keep for i in [self.known[p]]]
-        self.known: dict[str, int] = {}
-        self.ids = np.zeros(1 << 20, self.width)
-        self.used = 0
-        self.ends = np.zeros(1 << 18, np.int64)
-        if kept:
-            self._keep([p for p, _ in kept], np.concatenate([x for _, x in kept]), np.cumsum([len(x) for _, x in kept]))
-
-    def _learn(self, pieces: list[str]) -> None:
-        """Encodes new pieces. Those that begin with a single white space and end with none
-        are again safe side by side, so one call encodes many as one text; the ids' known
-        byte lengths tell where each piece ends. The others are encoded one by one."""
-        joint = [p for p in pieces if _JOINABLE(p) and not any(m in p for m in self.marks)]
-        for k in range(0, len(joint), ENCODE_PIECES):
-            some = joint[k : k + ENCODE_PIECES]
-            texts = ["".join(some[j : j + 64]) for j in range(0, len(some), 64)]
-            got = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-            ids = np.concatenate([np.array(e.ids, np.int64) for e in got])
-            to = np.cumsum(np.fromiter((len(p.encode()) for p in some), np.int64, len(some)))
-            self._keep(some, ids, np.searchsorted(np.cumsum(self.id_bytes[ids]), to) + 1)
-        for p in set(pieces).difference(joint):
-            ids = np.array(self.tokenizer.encode(p, add_special_tokens=False).ids, np.int64)
-            self._keep([p], ids, np.array([len(ids)]))
-
-    def _keep(self, pieces: list[str], ids: np.ndarray, ends: np.ndarray) -> None:
-        if not pieces:
-            return
-        n = len(self.known)
-        while n + len(pieces) >= len(self.ends):
-            self.ends = np.concatenate([self.ends, np.zeros(len(self.ends), np.int64)])
-        while self.used + len(ids) > len(self.ids):
-            self.ids = np.concatenate([self.ids, np.zeros(len(self.ids), self.width)])
-        self.ids[self.used : self.used + len(ids)] = ids
-        self.ends[n + 1 : n + 1 + len(pieces)] = self.used + ends
-        self.used += len(ids)
-        self.known.update(zip(pieces, range(n, n + len(pieces))))
+    def _joinable(self, pieces: pa.Array) -> np.ndarray:
+        """Pieces that begin with a single white space and end with none: they are again safe side by side."""
+        data, offsets = flat_text(pieces)
+        at, to = offsets[:-1], offsets[1:]
+        fine = ((data[at] == 0x20) | (data[at] == 0x0A)) & (to - at > 1)
+        fine &= ~(_white_at(data, np.minimum(at + 1, len(data) - 1)) | _white_before(data, to))
+        for mark in self.marks:
+            fine &= ~pc.match_substring(pieces, mark).to_numpy(zero_copy_only=False)
+        return fine
+
+    def _encode_joined(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of joinable pieces and how many each has: one call encodes many as one text, and
+        the ids' known byte lengths tell where each piece ends."""
+        data, offsets = flat_text(pieces)
+        cuts = np.append(offsets[:-1:JOINED_PIECES], offsets[-1]).tolist()
+        whole = data.tobytes()
+        got = self.tokenizer.encode_batch_fast([whole[a:b].decode() for a, b in zip(cuts, cuts[1:])], add_special_tokens=False)
+        ids = np.concatenate([np.array(e.ids, np.int64) for e in got])
+        ends = np.searchsorted(np.cumsum(self.id_bytes[ids]), offsets[1:]) + 1
+        return ids, np.diff(ends, prepend=0)
+
+    def _encode_apart(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        got = [e.ids for e in self.tokenizer.encode_batch_fast(pieces.to_pylist(), add_special_tokens=False)]
+        return np.concatenate([np.array(x, np.int64) for x in got]), np.array([len(x) for x in got], np.int64)
+
+    def _learn(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of new pieces, and where in them each piece's begin and how many they are."""
+        joinable = self._joinable(pieces)
+        parts, begins, lengths, used = [], np.zeros(len(pieces), np.int64), np.zeros(len(pieces), np.int64), 0
+        for some, encode in ((np.flatnonzero(joinable), self._encode_joined), (np.flatnonzero(~joinable), self._encode_apart)):
+            for k in range(0, len(some), ENCODE_PIECES):
+                which = some[k : k + ENCODE_PIECES]
+                ids, n = encode(pieces.take(pa.array(which)))
+                parts.append(ids.astype(self.width))
+                begins[which], lengths[which] = used + np.cumsum(n) - n, n
+                used += len(ids)
+        return np.concatenate(parts), begins, lengths
+
+    def _keep(self, met: np.ndarray) -> None:
+        """Forgets all pieces but those whose numbers are ``met``."""
+        places, ends = self._places(met)
+        self.ids, self.lengths = self.ids[places], self.lengths[met]
+        self.begins, self.known = ends[:-1], self.known.take(pa.array(met))
+
+    def _places(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the ids of the pieces lie, in order, and how many there are before each piece (n + 1)."""
+        lengths = self.lengths[numbers]
+        ends = np.append(0, np.cumsum(lengths))
+        return np.arange(ends[-1]) + np.repeat(self.begins[numbers] - ends[:-1], lengths), ends
 
     def look_up(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """For all pieces of the texts, their numbers in this memory, and each text's first piece."""
@@ -121,28 +149,28 @@ class PieceEncoder:
         pieces = pa.LargeStringArray.from_buffers(
             len(starts), pa.py_buffer(np.append(starts, len(data)).astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data))
         )
-        coded = pieces.dictionary_encode()
-        distinct = coded.dictionary.to_pylist()
-        if len(self.known) > MEMORY_PIECES:
-            self.forget(keep=[p for p in distinct if p in self.known])
-        known = self.known
-        new = [p for p in distinct if p not in known]
-        if new:
-            self._learn(new)
-        numbers = np.fromiter(map(known.__getitem__, distinct), np.int64, len(distinct))
-        return numbers[coded.indices.to_numpy()], first
+        # the dictionary begins with the known pieces, which are distinct: their numbers stay
+        coded = pa.chunked_array([self.known, pieces]).dictionary_encode().chunks[-1]  # an empty first chunk is left out
+        every, numbers = coded.dictionary, coded.indices.to_numpy()
+        n = len(self.known)
+        if n > MEMORY_PIECES:
+            seen = np.zeros(len(every), bool)
+            seen[numbers] = True
+            self._keep(np.flatnonzero(seen[:n]))
+            every, numbers, n = every.take(pa.array(np.flatnonzero(seen))), (np.cumsum(seen) - 1)[numbers], len(self.known)
+        if len(every) > n:
+            ids, begins, lengths = self._learn(every.slice(n))
+            self.begins = np.concatenate([self.begins, begins + len(self.ids)])
+            self.ids, self.lengths, self.known = np.concatenate([self.ids, ids]), np.concatenate([self.lengths, lengths]), every
+        return numbers, first
 
     def counts(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Ids in each text."""
         numbers, first = self.look_up(data, offsets)
-        lengths = self.ends[numbers + 1] - self.ends[numbers]
-        return np.diff(np.append(0, np.cumsum(lengths))[first])
+        return np.diff(np.append(0, np.cumsum(self.lengths[numbers]))[first])
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, in order, and each text's first (n + 1)."""
         numbers, first = self.look_up(data, offsets)
-        begins = self.ends[numbers]
-        lengths = self.ends[numbers + 1] - begins
-        ends = np.append(0, np.cumsum(lengths))
-        places = np.arange(ends[-1]) + np.repeat(begins - ends[:-1], lengths)
+        places, ends = self._places(numbers)
         return self.ids[places], ends[first]

@@ -148,6 +148,49 @@ def test_pieces_are_forgotten_without_loss(monkeypatch):
         assert ids.tolist() == encoder.tokenizer.encode(text, add_special_tokens=False).ids
 
 
+def test_pieces_cut_anywhere_give_the_ids_of_the_library(monkeypatch):
+    import random
+
+    import pyarrow as pa
+
+    rng = random.Random(4)
+    bits = ["a", "Word", "it's", "'", "we'll", ".", ",", '"', ")", "?!", "...", " ", "  ", "\n", "\n\n", "\t", "\r\n", "\x85", "\xa0", "\u1680"]
+    bits += ["\u2003", "\u3000", "\u3042", "\u4e2d", "\xe9", "e\u0301", "\U0001f600", "7", "3.5", "<|endoftext|>", "<|", "|>", "\x1c", "\0", "_", "\u2019s"]
+    texts = ["".join(rng.choices(bits, k=rng.randint(0, 30))) for _ in range(3000)] + [None, "", " ", "."]
+    for memory in (500, 100_000):
+        monkeypatch.setattr(pieces, "MEMORY_PIECES", memory)
+        encoder = pieces.PieceEncoder(tokens.vocabulary_path())
+        want = [encoder.tokenizer.encode(t or "", add_special_tokens=False).ids for t in texts]
+        for k in range(0, len(texts), 301):
+            data, offsets = flat_text(pa.array(texts[k : k + 301]))
+            ids, first = encoder.encode(data, offsets)
+            assert [ids[a:b].tolist() for a, b in zip(first, first[1:])] == want[k : k + 301]
+            assert encoder.counts(data, offsets).tolist() == [len(x) for x in want[k : k + 301]]
+
+
+def test_the_library_is_asked_seldom_and_once_for_each_word():
+    import pyarrow as pa
+
+    class Asked:
+        def __init__(self, library):
+            self.library, self.calls, self.n_bytes = library, 0, 0
+
+        def encode(self, text, **how):
+            self.calls, self.n_bytes = self.calls + 1, self.n_bytes + len(text)
+            return self.library.encode(text, **how)
+
+        def encode_batch_fast(self, texts, **how):
+            self.calls, self.n_bytes = self.calls + 1, self.n_bytes + sum(map(len, texts))
+            return self.library.encode_batch_fast(texts, **how)
+
+    encoder = pieces.PieceEncoder(tokens.vocabulary_path())
+    encoder.tokenizer = asked = Asked(encoder.tokenizer)
+    texts = [f"begin{i} wordy wordy, wordy. wordy; wordy: wordy! wordy? (wordy)" for i in range(200)]
+    for _ in range(2):  # all is known the second time
+        encoder.encode(*flat_text(pa.array(texts)))
+        assert asked.calls <= 2 and asked.n_bytes < sum(len(f"begin{i}") for i in range(200)) + 40
+
+
 def test_shards(spark, docs, none):
     rows = sharding.shard_records(docs, n_shards=3).collect()
     assert len(rows) == len(ROWS)
