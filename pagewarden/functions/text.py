@@ -226,10 +226,14 @@ def correlation_confidence(base: Column, conf: Column, strength: Column) -> Colu
     return F.floor(F.least(base * F.least(conf, F.lit(1.0)) * strength, F.lit(1.0)) * 100 + 0.5) / 100
 
 
+def age_label(seconds: Column) -> Column:
+    """An age in whole seconds as "just now", or its whole minutes, hours, days or months of 30 days."""
+    n = lambda k, unit: F.concat(F.call_function("div", seconds, F.lit(k)).cast("string"), F.lit(unit))
+    return F.when(seconds < 60, "just now").when(seconds < 3600, n(60, "m ago")).when(seconds < 86400, n(3600, "h ago")).when(seconds < 30 * 86400, n(86400, "d ago")).otherwise(n(30 * 86400, "mo ago"))
+
+
 def time_ago(ts: Column, now: Column) -> Column:
-    s = F.unix_timestamp(now.cast("timestamp")) - F.unix_timestamp(ts.cast("timestamp"))
-    n = lambda k, unit: F.concat(F.floor(s / k).cast("string"), F.lit(unit))
-    return F.when(s < 60, "just now").when(s < 3600, n(60, "m ago")).when(s < 86400, n(3600, "h ago")).when(s < 30 * 86400, n(86400, "d ago")).otherwise(n(30 * 86400, "mo ago"))
+    return age_label(F.unix_timestamp(now.cast("timestamp")) - F.unix_timestamp(ts.cast("timestamp")))
 
 
 def replace_first(text: Column, value: Column, by: Column) -> Column:

@@ -329,8 +329,8 @@ def category_titles(spark, d):
 
 @query("SELECT event_id, CASE WHEN s < 60 THEN 'just now' WHEN s < 3600 THEN (s // 60) || 'm ago' WHEN s < 86400 THEN (s // 3600) || 'h ago' WHEN s < 2592000 THEN (s // 86400) || 'd ago' ELSE (s // 2592000) || 'mo ago' END AS label FROM (SELECT event_id, CAST(event_id * event_id AS BIGINT) AS s FROM events)")
 def time_labels(spark, d):
-    now = F.lit("2024-06-01 00:00:00").cast("timestamp")
-    return table(spark, d, "events").select("event_id", X.time_ago(F.timestamp_seconds(F.unix_timestamp(now) - _n() * _n()), now).alias("label"))
+    """Ages in seconds: those of events from 4,294,968 on are longer than any two timestamps are apart."""
+    return table(spark, d, "events").select("event_id", X.age_label(_n() * _n()).alias("label"))
 
 
 @query("SELECT event_id, round(1 / (1 + exp(value - event_id % 5)), 6) AS p FROM events")

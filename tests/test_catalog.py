@@ -89,6 +89,22 @@ def test_plan_states_and_vectors(spark):
     assert tuple(v.select(X.cosine(F.col("a"), F.col("a")), X.cosine(F.col("a"), F.col("b")), X.cosine(F.col("a"), F.col("c"))).first()) == (1.0, 0.0, -1.0)
 
 
+def test_time_labels_of_any_age(spark, tmp_path):
+    """Ages beyond the range of timestamps; the last is 359 seconds short of a whole month, which a double cannot tell."""
+    ids = [0, 7, 8, 59, 60, 293, 294, 1609, 1610, 3_037_000, 3_038_000, 4_294_968, 5_999_999, 180_000_000, 3_034_007_621]
+    spark.createDataFrame([(i,) for i in [*ids, None]], "event_id long").write.parquet(f"{tmp_path}/events.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    theirs = con.execute(f"SELECT event_id, label FROM ({catalog.ORACLES['time_labels']})").fetchall()
+    assert sorted(map(tuple, catalog.QUERIES["time_labels"](spark, str(tmp_path)).collect()), key=repr) == sorted(theirs, key=repr)
+
+
+def test_time_ago(spark):
+    now, told = "2024-06-01 00:00:00", {"2024-05-31 23:59:01": "just now", "2024-05-31 23:59:00": "1m ago", "2024-05-31 00:00:01": "23h ago", "2024-05-02 00:00:01": "29d ago", "2024-05-02 00:00:00": "1mo ago", "2024-06-02 00:00:00": "just now"}
+    rows = spark.createDataFrame([(t,) for t in told], "t string").select("t", X.time_ago(F.col("t").cast("timestamp"), F.lit(now)).alias("label"))
+    assert {r.t: r.label for r in rows.collect()} == told
+
+
 def test_action_verdicts(spark):
     plain = dict(plan="p", step=1, type="click", value=None, selector="#a", description="d", tag="input", attrs={}, requires_approval=True, safe=True, timeout_ms=5, depends_on=[])
     cases = [
